@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .dedup import exact_dedup
 from .mixing import mix_plan
 from .sharding import shard_documents
+from .simhash import simhash_classes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +66,17 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(_documents(spark, sf_dir))
+
+
 def queries():
-    return {"op1_mix": op1_mix, "op4_shard": op4_shard, "op5_exact_dedup": op5_exact_dedup}
+    return {
+        "op1_mix": op1_mix,
+        "op4_shard": op4_shard,
+        "op5_exact_dedup": op5_exact_dedup,
+        "op9_simhash": op9_simhash,
+    }
 
 
 def oracle_sql():

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .dedup import exact_dedup
 from .mixing import mix_plan
+from .packing import pack_documents
+from .quality import judge_documents, train
 from .sharding import shard_documents
 from .simhash import simhash_classes
 
@@ -50,6 +53,10 @@ FROM ordered JOIN plan USING (source_key)
 """
 
 
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_documents(spark, sf_dir))
 
@@ -66,6 +73,11 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return judge_documents(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(_documents(spark, sf_dir))
 
@@ -73,8 +85,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_mix": op1_mix,
+        "op3_pack": op3_pack,
         "op4_shard": op4_shard,
         "op5_exact_dedup": op5_exact_dedup,
+        "op8_quality": op8_quality,
         "op9_simhash": op9_simhash,
     }
 

@@ -11,6 +11,8 @@ from .dedup import exact_dedup
 from .mixing import mix_plan
 from .packing import pack_documents
 from .quality import judge_documents, train
+from .secrets import find_secrets, labelled_findings, spans_text
+from .secrets import train as train_secrets
 from .sharding import shard_documents
 from .simhash import simhash_classes
 
@@ -107,6 +109,17 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_documents(spark, sf_dir), train_secrets(labelled_findings()))
+    base = found.withColumn("base", F.filter("findings", lambda f: f["kind"] != "model"))
+
+    def number(kind):
+        return F.size(F.filter("base", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in ("assign", "access", "hex")]
+    return base.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("findings")).alias("spans"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return judge_documents(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -123,6 +136,7 @@ def queries():
         "op3_pack": op3_pack,
         "op4_shard": op4_shard,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_secrets": op6_secrets,
         "op8_quality": op8_quality,
         "op9_simhash": op9_simhash,
     }

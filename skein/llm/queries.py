@@ -15,6 +15,8 @@ from .secrets import find_secrets, labelled_findings, spans_text
 from .secrets import train as train_secrets
 from .sharding import shard_documents
 from .simhash import simhash_classes
+from .toxicity import score_documents
+from .toxicity import train as train_toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +131,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(_documents(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return score_documents(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def queries():
     return {
         "op1_mix": op1_mix,
@@ -139,6 +146,7 @@ def queries():
         "op6_secrets": op6_secrets,
         "op8_quality": op8_quality,
         "op9_simhash": op9_simhash,
+        "op10_toxicity": op10_toxicity,
     }
 
 

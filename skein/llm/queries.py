@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_chat, read_loss, read_turns, text_messages
 from .dedup import exact_dedup
+from . import lm_scoring
 from .mixing import mix_plan
 from .packing import pack_documents
 from .quality import judge_documents, train
@@ -122,6 +123,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("findings")).alias("spans"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_documents(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return judge_documents(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -144,6 +149,7 @@ def queries():
         "op4_shard": op4_shard,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_secrets": op6_secrets,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_quality": op8_quality,
         "op9_simhash": op9_simhash,
         "op10_toxicity": op10_toxicity,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,7 +134,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_classes(_documents(spark, sf_dir))
+    return simhash_classes(_documents(spark, sf_dir)).drop("class_print")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +154,10 @@ def queries():
         "op8_quality": op8_quality,
         "op9_simhash": op9_simhash,
         "op10_toxicity": op10_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op1_mix": OP1_SQL, "op2_chat": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+    found = {"op1_mix": OP1_SQL, "op2_chat": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -56,16 +56,18 @@ def fingerprint_of(text: bytes | None, shingle: int = 3, seed: int = SEED) -> in
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a signed long), one row per input row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``carry`` and fingerprint (the 64 bits as a signed long), one row per input row."""
+    fields = [("doc_id", id_col), *[(c, c) for c in carry]]
+    schema = ", ".join(f"`{name}` {docs.schema[c].dataType.simpleString()}" for name, c in fields)
+    names = [name for name, _ in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint_of(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], ["doc_id", "fingerprint"])
+            prints = [fingerprint_of(t.as_py(), shingle) for t in batch.column(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], [*names, "fingerprint"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, f"doc_id {kind}, fingerprint long")
+    return docs.select(*[F.col(c) for _, c in fields], F.col(text_col).cast("binary")).mapInArrow(run, f"{schema}, fingerprint long")
 
 
 def trie_pairs(prints: np.ndarray, starts: np.ndarray, stops: np.ndarray, budget: int, other: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -300,15 +302,23 @@ def _relabel(edges: DataFrame, step: DataFrame, end: str) -> DataFrame:
     return edges.join(ahead, end, "left").select(F.coalesce("label", end).alias(end), other)
 
 
-def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (smallest id reachable).
+def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, ``carry``, fingerprint (16 hexadecimal digits), component_id (smallest id
+    reachable) and class_print (a fingerprint that names the class).
 
     Repeated rows stay repeated; null ids rank after all others; an empty table gives no rows.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    prints = materialise(fingerprints(docs, id_col, text_col, shingle, carry), "simhash")
     distinct = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     classes = spread_labels(materialise(linked_prints(distinct.select("fingerprint"), budget), "simhash-links"))
     labelled = distinct.join(classes.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("label", F.coalesce("label", "fingerprint"))
     heads = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(heads, "label").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    named = labelled.join(heads, "label").select("fingerprint", "component_id", F.col("label").alias("class_print"))
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
+    return prints.join(named, "fingerprint").select("doc_id", *carry, digits, "component_id", "class_print")
+
+
+def class_representatives(classes: DataFrame, digest: str) -> DataFrame:
+    """Of each class the row with the smallest id, of equal ids the smallest ``digest``: columns doc_id, digest."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(digest).alias("digest"))
+    return classes.groupBy("class_print").agg(F.min(key).alias("first")).select("first.doc_id", "first.digest")

@@ -1,19 +1,22 @@
-"""Registry of the library's own queries and their DuckDB twins."""
+"""Registry of the library's own queries and their DuckDB twins, by family."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from . import cells, relational
+
+FAMILIES = (relational, cells)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    """Usage by region and month."""
+    return relational.usage_by_region_month(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: query for family in FAMILIES for name, (query, _) in family.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for family in FAMILIES for name, (_, sql) in family.QUERIES.items() if sql}

@@ -32,7 +32,7 @@ def number_text(text: Column, money: bool = False) -> Column:
 
 
 def parse_number(text: Column, money: bool = False) -> Column:
-    return F.try_cast(number_text(text, money), "double") if hasattr(F, "try_cast") else number_text(text, money).try_cast("double")
+    return number_text(text, money).try_cast("double")
 
 
 def half_up(value: Column, digits: int) -> Column:
@@ -44,7 +44,8 @@ def half_up(value: Column, digits: int) -> Column:
 
 def money_text(text: Column) -> Column:
     """Two-decimal text of an amount; null when it is none."""
-    return F.format_string("%.2f", half_up(parse_number(text, money=True), 2))
+    amount = half_up(parse_number(text, money=True), 2)
+    return F.when(amount.isNotNull(), F.format_string("%.2f", amount))
 
 
 def decimals(text: Column) -> Column:

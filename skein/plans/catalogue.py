@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cells, relational
+from . import cells, relational, values
 
-FAMILIES = (relational, cells)
+FAMILIES = (relational, cells, values)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -37,46 +38,61 @@ def wall_vendor(html: Column, server: Column) -> Column:
     )
 
 
-def wall_kind(html: Column, title: Column) -> Column:
-    """challenge, refused or null. Only thin pages are walls, by what they say or a vendor's challenge markup."""
-    text, head, low = F.lower(H.visible_text(html)), F.lower(F.coalesce(title, F.lit(""))), F.lower(html)
-    said = F.concat_ws("\n", head, text)
-    challenge = _any(said, CHALLENGE_WORDS) | said.rlike(r"\bcaptcha\b") | _any(low, CHALLENGE_MARKERS)
-    return F.when(F.length(text) >= SUBSTANTIAL, F.lit(None).cast("string")).when(challenge, "challenge").when(_any(said, DENIED_WORDS), "refused")
-
-
-def page_health(html: Column, title: Column) -> Column:
-    """ok, an error page's code, soft-404 or blank; the first rule that holds."""
-    head, low = F.lower(F.coalesce(title, F.lit(""))), F.lower(html)
-    text = H.visible_text(html)
-    code = F.lit(None).cast("string")
-    for words in reversed(ERROR_TITLES):
-        code = F.when(F.contains(head, F.lit(words)) | F.contains(F.substring(low, 1, 2000), F.lit(words)), words[:3]).otherwise(code)
-    named = head.rlike(r"\b404\b") & (head.rlike("not found|error") | (F.length(text) < SUBSTANTIAL))
-    sorry = _any(head, ["sorry", "page not found", "couldn't find"]) & _any(F.substring(low, 1, 10_000), ["try searching", "go to", "home page"])
-    oops = _any(head, ["oops", "something went wrong", "error"]) & _any(F.substring(low, 1, 10_000), ["try again", "go back", "home page"])
+def page_signs(pages: DataFrame, html: str, title: str) -> DataFrame:
+    """What the verdict looks at, each read from the page once: _head, _start and _top (lower-case title and first
+    characters), _text (lower-case visible text), _marker (a vendor's challenge markup)."""
+    low = F.lower(F.coalesce(html, F.lit("")))
+    return pages.withColumns(
+        {
+            "_head": F.lower(F.coalesce(title, F.lit(""))),
+            "_start": F.substring(low, 1, 2000),
+            "_top": F.substring(low, 1, 10_000),
+            "_text": F.lower(H.visible_text(F.coalesce(html, F.lit("")))),
+            "_marker": _any(low, CHALLENGE_MARKERS),
+        }
+    )
+
+
+def wall_kind() -> Column:
+    """challenge, refused or null, from ``page_signs``. Only thin pages are walls, by what they say or a vendor's
+    challenge markup."""
+    said = F.concat_ws("\n", "_head", "_text")
+    challenge = said.rlike(r"\bcaptcha\b") | F.col("_marker") | said.rlike("|".join(re.escape(w) for w in CHALLENGE_WORDS))
+    return F.when(F.length("_text") >= SUBSTANTIAL, F.lit(None).cast("string")).when(challenge, "challenge").when(_any(said, DENIED_WORDS), "refused")
+
+
+def page_health() -> Column:
+    """ok, an error page's code, soft-404 or blank, from ``page_signs``; the first rule that holds."""
+    head, top = F.col("_head"), F.col("_top")
+    code = F.regexp_extract(F.concat_ws("\n", "_head", "_start"), "(" + "|".join(ERROR_TITLES) + ")", 1)
+    named = head.rlike(r"\b404\b") & (head.rlike("not found|error") | (F.length("_text") < SUBSTANTIAL))
+    sorry = _any(head, ["sorry", "page not found", "couldn't find"]) & _any(top, ["try searching", "go to", "home page"])
+    oops = _any(head, ["oops", "something went wrong", "error"]) & _any(top, ["try again", "go back", "home page"])
     return (
-        F.when(code.isNotNull(), code)
+        F.when(code != "", F.substring(code, 1, 3))
         .when(named | sorry | _any(head, MISSING_TITLES) | oops, "soft-404")
-        .when(F.length(text) < BLANK, "blank")
+        .when(F.length("_text") < BLANK, "blank")
         .otherwise("ok")
     )
 
 
-def verdict(html: Column, title: Column, status: Column, requested: Column, final: Column) -> Column:
-    """challenge, refused, not-found, redirected, blank or ok."""
-    wall, health = wall_kind(html, title), page_health(html, title)
-    moved = U.root_domain(U.host(requested)) != U.root_domain(U.host(final))
-    return (
-        F.when((wall == "challenge") & status.isin(401, 403), "refused")
+def with_verdict(pages: DataFrame, html: str, title: str, status: str, requested: str, final: str) -> DataFrame:
+    """Adds verdict: challenge, refused, not-found, redirected, blank or ok."""
+    signs = page_signs(pages, html, title)
+    judged = signs.withColumns({"_wall": wall_kind(), "_health": page_health()})
+    moved = U.root_domain(U.host(F.col(requested))) != U.root_domain(U.host(F.col(final)))
+    answer, wall, health = F.col(status), F.col("_wall"), F.col("_health")
+    verdict = (
+        F.when((wall == "challenge") & answer.isin(401, 403), "refused")
         .when(wall.isNotNull(), wall)
-        .when(status.isin(404, 410), "not-found")
-        .when(status >= 400, "refused")
+        .when(answer.isin(404, 410), "not-found")
+        .when(answer >= 400, "refused")
         .when(F.coalesce(moved, F.lit(False)), "redirected")
         .when(health.isin("404", "soft-404"), "not-found")
         .when(health != "ok", "blank")
         .otherwise("ok")
     )
+    return judged.withColumn("verdict", verdict).drop("_head", "_start", "_top", "_text", "_marker", "_wall", "_health")
 
 
 def link_table(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -145,8 +161,6 @@ def detail_hint(json_ld_type: Column) -> Column:
 def input_urls(inputs: DataFrame, template: str, order: str) -> DataFrame:
     """Start addresses of input rows: placeholders ``{name}`` take a column's value, percent-encoded. A row with an
     empty placeholder or a result that is no http(s) address becomes an error row; never a guess."""
-    import re
-
     names = list(dict.fromkeys(re.findall(r"\{(\w+)\}", template)))
     filled, missing = F.lit(template), []
     for name in names:

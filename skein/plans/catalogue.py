@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cells, relational, values
+from . import cells, pages, relational, values
 
-FAMILIES = (relational, cells, values)
+FAMILIES = (relational, cells, values, pages)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,8 +74,11 @@ def nested_rows(rows: DataFrame, key: str, order: Sequence[str], product_fields:
     members = F.array_sort(F.collect_list(F.struct(*order, *[F.coalesce(F.col(m).cast("string"), F.lit("")).alias(f"_m_{m}") for m in member_fields])))
     first = F.min_by(F.struct(*[F.col(p) for p in product_fields]), F.struct(*order)).alias("_first")
     grouped = rows.groupBy(key).agg(first, members.alias("_members"), F.min(F.struct(*order)).alias("_order"))
-    joined = [F.array_join(F.transform("_members", lambda x, m=m: x[f"_m_{m}"]), separator).alias(m) for m in member_fields]
-    return grouped.select(key, "_first.*", *joined, F.size("_members").alias("members"))
+
+    def joined(name: str) -> Column:
+        return F.array_join(F.transform("_members", lambda x: x[f"_m_{name}"]), separator).alias(name)
+
+    return grouped.select(key, "_first.*", *[joined(m) for m in member_fields], F.size("_members").alias("members"))
 
 
 def variant_documents(rows: DataFrame, key: str, order: Sequence[str], product_fields: Sequence[str], member_fields: Sequence[str]) -> DataFrame:

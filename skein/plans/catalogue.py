@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cells, pages, relational, values
+from . import cells, exports, pages, relational, values, work
 
-FAMILIES = (relational, cells, values, pages)
+FAMILIES = (relational, cells, values, pages, exports, work)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,49 +26,84 @@ from .storage import materialise
 #: Pieces packed together on average; a task holds one block.
 BLOCK = 8192
 #: Distinct words whose ids a Python worker keeps; beyond that it forgets them and goes on.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 700_000
+#: Bytes of text encoded together (a longer document is a block of its own), and new words per call of the tokenizer.
+BLOCK_BYTES, CALL_WORDS = 4 << 20, 4096
 
 
 class WordEncoder:
-    """Token ids of whole texts from a tokenizers file whose pre-tokens never cross ASCII white space."""
+    """Token ids of whole texts from a tokenizers file whose pre-tokens never cross ASCII white space.
+
+    A block of texts is split and its words are numbered by Arrow; only words not met before visit the tokenizer, many
+    in one call, parted by a special token of the vocabulary.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.separator = next(((i, t.content) for i, t in added.items() if t.special), None)
+        self.added = [t.content for t in added.values()]
+        normalizer = self.tokenizer.normalizer
+        self.lowers = normalizer is not None and normalizer.normalize_str("Az") == "az"
         self.forget()
 
     def forget(self):
         self.known: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, dtype=np.uint32)
-        self.starts = np.zeros(1, dtype=np.int64)
+        self.starts = np.zeros(1 << 16, dtype=np.int64)
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and the number of ids of each."""
+        if self.separator:
+            mark, text = self.separator
+            ids = np.array(self.tokenizer.encode_batch_fast([text.join(words)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(ids == mark)
+            if len(ends) == len(words) - 1:
+                return np.delete(ids, ends), np.diff(np.concatenate(([-1], ends, [len(ids)]))) - 1
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter((i for ids in each for i in ids), dtype=np.uint32), np.fromiter(map(len, each), dtype=np.int64, count=len(each))
 
     def learn(self, words: list[bytes]):
-        new = list(dict.fromkeys(w for w in words if w not in self.known))
-        if not new:
-            return
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        base, first = len(self.known), self.starts[-1]
-        self.known.update(zip(new, range(base, base + len(new))))
-        ends = first + np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
-        self.starts = np.concatenate((self.starts, ends))
-        if ends[-1] > len(self.ids):
-            self.ids = np.concatenate((self.ids[:first], np.empty(max(ends[-1] - first, first), dtype=np.uint32)))
-        self.ids[first : ends[-1]] = np.fromiter((i for e in ids for i in e), dtype=np.uint32, count=int(ends[-1] - first))
-
-    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        split = [t.split() for t in texts]
+        for low in range(0, len(words), CALL_WORDS):
+            part = words[low : low + CALL_WORDS]
+            ids, sizes = self._ids_of([w.decode("utf-8", "replace") for w in part])
+            base = len(self.known)
+            first = self.starts[base]
+            if base + len(part) >= len(self.starts):
+                self.starts = np.concatenate((self.starts, np.zeros(max(len(self.starts), len(part)), dtype=np.int64)))
+            if first + len(ids) > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.empty(max(len(self.ids), len(ids)), dtype=np.uint32)))
+            self.known.update(zip(part, range(base, base + len(part))))
+            self.starts[base + 1 : base + len(part) + 1] = first + np.cumsum(sizes)
+            self.ids[first : first + len(ids)] = ids
+
+    def _folded(self, texts: pa.Array) -> pa.Array:
+        """Texts with A-Z lowered, so that fewer words are new, where the tokenizer lowers them anyway and no added token
+        (found before case is folded) appears or disappears."""
+        if not self.lowers:
+            return texts
+        lowered = pc.ascii_lower(texts)
+        clash = any(pc.any(pc.match_substring(t, c)).as_py() for c in self.added for t in (texts, lowered))
+        return texts if clash else lowered
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (a binary array without nulls) one after another, and where each text's begin and end."""
         if len(self.known) > CACHED_WORDS:
             self.forget()
-        self.learn([w for words in split for w in words])
-        known = self.known
-        for words in split:
-            at = np.fromiter((known[w] for w in words), dtype=np.int64, count=len(words))
-            begin, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
-            total = int(sizes.sum())
-            where = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
-            yield self.ids[where]
+        split = pc.ascii_split_whitespace(self._folded(texts.view(pa.string())))  # byte by byte: needs no valid UTF-8
+        words = split.flatten().view(pa.binary()).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        self.learn([w for w in distinct if w not in self.known])
+        number = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        at = number[words.indices.to_numpy()]
+        begin = self.starts[at]
+        sizes = self.starts[at + 1] - begin
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        where = np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])
+        borders = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return self.ids[where], ends[borders]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -79,24 +115,36 @@ def _encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of about ``BLOCK_BYTES`` with their first row."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(texts):
+        limit = (sizes[low - 1] if low else 0) + BLOCK_BYTES
+        high = max(low + 1, int(np.searchsorted(sizes, limit, side="right")))
+        yield low, texts.slice(low, high - low)
+        low = high
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens (and ids, if asked for)."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
+    end = np.array([end_id], dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            for low, texts in _blocks(pc.fill_null(batch.column(1), b"")):
+                all_ids, borders = encoder.encode(texts)
                 rows: list[list] = [[], [], [], [], [], []]
-                for n, ids in enumerate(encoder.encode([t or b"" for t in part.column(1).to_pylist()])):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for n in range(len(texts)):
+                    ids = np.concatenate((all_ids[borders[n] : borders[n + 1]], end)).astype("<u4", copy=False)
                     for start in range(0, len(ids), window):
                         piece = ids[start : start + window]
-                        for column, value in zip(rows, (n, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece.astype(np.int32) if with_ids else None)):
+                        for column, value in zip(rows, (low + n, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece.astype(np.int32) if with_ids else None)):
                             column.append(value)
-                arrays = [part.column(0).take(pa.array(rows[0], type=pa.int32())), *[pa.array(c, type=pa.int64()) for c in rows[1:5]]]
+                arrays = [batch.column(0).take(pa.array(rows[0], type=pa.int32())), *[pa.array(c, type=pa.int64()) for c in rows[1:5]]]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(rows[5], type=pa.list_(pa.int32()))] * with_ids, names)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids

@@ -33,8 +33,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     narrow = materialise(keyed.drop("whole_text"), "dedup")
 
-    by_length = narrow.groupBy("length").count().where("count > 1").select("length")
-    by_prefix = narrow.join(by_length, "length", "left_semi").groupBy("length", "prefix_hash").count().where("count > 1")
+    # a group of copies shares its length: lengths are counted before any row moves, and rows then stay where they are
+    by_length = materialise(narrow.groupBy("length").count().where("count > 1").select("length"), "dedup-lengths")
+    few_lengths = F.broadcast(by_length) if by_length.count() <= BROADCAST_KEYS else by_length
+    by_prefix = narrow.join(few_lengths, "length", "left_semi").groupBy("length", "prefix_hash").count().where("count > 1")
     survivors = materialise(by_prefix.select("length", "prefix_hash"), "dedup-keys")
 
     hashed = keyed.withColumn("full_hash", F.unhex(F.sha2("whole_text", 256)))

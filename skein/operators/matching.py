@@ -13,15 +13,13 @@ from skein.functions import urls as U
 from skein.functions.emptiness import is_filled
 from skein.functions.json_leaves import by_path
 
-from .relational import small
 
-
-def first_hit(containers: DataFrame, paths: DataFrame, keys: Sequence[str]) -> DataFrame:
+def first_hit(containers: DataFrame, paths: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """For each path the first container (keys, seq, url, body) of a page in which it leads to a filled value: (keys,
-    path, value, response). Paths are few and meet every container by broadcast, checked for size."""
-    read = containers.join(small(paths.select("path").distinct()), F.lit(True))
+    path, value, response). Each body is read once for all paths."""
+    read = containers.select(*keys, "seq", U.response_key(F.col("url")).alias("response"), "body", F.explode(F.array(*map(F.lit, paths))).alias("path"))
     valued = read.withColumn("value", by_path(F.col("body"), F.col("path"))).where(is_filled(F.col("value")))
-    best = F.min_by(F.struct("value", U.response_key(F.col("url")).alias("response")), F.col("seq"))
+    best = F.min_by(F.struct("value", "response"), F.col("seq"))
     return valued.groupBy(*keys, "path").agg(best.alias("b")).select(*keys, "path", "b.*")
 
 

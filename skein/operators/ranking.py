@@ -179,8 +179,20 @@ def stride_series(values: DataFrame, keys: Sequence[str], value: str) -> DataFra
 def proof_triple(candidates: DataFrame, name: str, price: str, order: str, most: int = 30) -> DataFrame:
     """The first three candidates, in lexicographic order of their places, with distinct names and prices. Only the
     first ``most`` candidates are looked at: proof pages are picked from the top of a listing."""
-    first = candidates.orderBy(order).limit(most).select(F.col(order).alias("o"), F.col(name).alias("n"), F.col(price).alias("p"))
-    a, b, c = (first.select(*[F.col(x).alias(f"{x}{i}") for x in "onp"]) for i in (1, 2, 3))
-    apart = lambda i, j: (F.col(f"o{i}") < F.col(f"o{j}")) & (F.col(f"n{i}") != F.col(f"n{j}")) & (F.col(f"p{i}") != F.col(f"p{j}"))
-    triples = a.join(b, apart(1, 2)).join(c, apart(2, 3) & apart(1, 3))
-    return triples.select(F.min(F.struct("o1", "o2", "o3")).alias("t")).where("t IS NOT NULL").select(F.col("t.o1").alias("first"), F.col("t.o2").alias("second"), F.col("t.o3").alias("third"))
+    first = candidates.orderBy(order).limit(most).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n"), F.col(price).alias("p")))).alias("a"))
+
+    def after(*chosen):
+        def apart(c, x):
+            return (x["o"] > c["o"]) & (x["n"] != c["n"]) & (x["p"] != c["p"])
+
+        def fits(x):
+            test = apart(chosen[0], x)
+            for c in chosen[1:]:
+                test = test & apart(c, x)
+            return test
+
+        return F.filter("a", fits)
+
+    third = lambda x, y: F.transform(after(x, y), lambda z: F.struct(x["o"].alias("first"), y["o"].alias("second"), z["o"].alias("third")))
+    triples = F.flatten(F.transform("a", lambda x: F.flatten(F.transform(after(x), lambda y: third(x, y)))))
+    return first.select(F.array_min(triples).alias("t")).where("t IS NOT NULL").select("t.*")

@@ -94,17 +94,27 @@ def cycle_times(df: DataFrame, key: str, order: Sequence[str], at: str) -> DataF
     return df.withColumn("cycle_seconds", seconds - before)
 
 
-def floor_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+def floor_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
     """Order statistics at position floor(q * n), the last one at most, with the rows counted per key.
 
-    Positions need a sort within a key. The key's values are first counted, so equal values move once, and the
-    running count is a window over distinct values.
+    A key may hold a third of all rows, so no task sorts a whole key: equal values are counted first, their counts are
+    added up in ``bins`` ranges between the key's smallest and largest value, and only the ranges that hold a wanted
+    position are sorted.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    order = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*keys)
-    upto = counted.withColumn("_upto", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(whole))
-    picks = [
-        F.min(F.when(F.col("_upto") > F.least(F.floor(F.lit(q) * F.col("_n")), F.col("_n") - 1), F.col(value))).alias(name) for name, q in shares.items()
-    ]
-    return upto.groupBy(*keys).agg(F.max("_n").alias("n"), *picks)
+    ends = counted.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_c").alias("n"))
+    width = F.col("_high").cast("double") - F.col("_low").cast("double")
+    at = F.when(width > 0, F.floor((F.col(value).cast("double") - F.col("_low").cast("double")) / width * bins)).otherwise(F.lit(0))
+    binned = counted.join(small(ends), list(keys)).withColumn("_bin", at.cast("long"))
+    sums = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_in"), F.first("n").alias("n"))
+    upto = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
+    wanted = F.array(*[F.least(F.floor(F.lit(q) * F.col("n")), F.col("n") - 1) for q in shares.values()])
+    placed = sums.withColumn("_before", F.sum("_in").over(upto) - F.col("_in")).withColumn(
+        "_hits", F.filter(wanted, lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_in")))
+    )
+    holding = placed.where(F.size("_hits") > 0).select(*keys, "_bin", "_before")
+    inside = W.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    sorted_in = binned.join(small(holding), [*keys, "_bin"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+    position = lambda q: F.least(F.floor(F.lit(q) * F.col("n")), F.col("n") - 1)
+    picks = [F.min(F.when((F.col("_upto") > position(q)) & (F.col("_upto") - F.col("_c") <= position(q)), F.col(value))).alias(name) for name, q in shares.items()]
+    return sorted_in.groupBy(*keys).agg(F.max("n").alias("n"), *picks)

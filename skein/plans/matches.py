@@ -19,7 +19,7 @@ def first_hits(spark, folder):
     events = table(spark, folder, "events")
     body = F.when(F.col("event_type") == "error", F.lit('{"k": ""}')).otherwise(F.col("props"))
     bodies = events.select("user_id", F.col("event_id").alias("seq"), F.concat(F.lit("https://x.example/e/"), "event_id", F.lit("?q=1")).alias("url"), body.alias("body"))
-    return M.first_hit(bodies, spark.createDataFrame([("k",), ("none",)], "path string"), ["user_id"])
+    return M.first_hit(bodies, ["k", "none"], ["user_id"])
 
 
 FIRST_HITS = """

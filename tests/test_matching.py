@@ -47,7 +47,7 @@ def test_redacted_maps_and_placeholders(spark):
 
 def test_first_hit_takes_capture_order(spark):
     rows = [(1, 0, "https://x/a?1", '{"b": ""}'), (1, 1, "https://x/b?2", '{"b": "v", "c": [{"d": 5}]}'), (1, 2, "https://x/c", '{"b": "w"}'), (1, 3, "https://x/d", "{")]
-    found = M.first_hit(spark.createDataFrame(rows, "page int, seq int, url string, body string"), spark.createDataFrame([("b",), ("c[0].d",), ("zz",)], "path string"), ["page"])
+    found = M.first_hit(spark.createDataFrame(rows, "page int, seq int, url string, body string"), ["b", "c[0].d", "zz"], ["page"])
     assert {r.path: (r.value, r.response) for r in found.collect()} == {"b": ("v", "https://x/b"), "c[0].d": ("5", "https://x/b")}
 
 

@@ -4,7 +4,7 @@ Rows are refined in narrow form only (id, length, prefix hash); a text is hashed
 still has two or more rows after both cheap levels. Texts are equal when byte-identical; null counts as empty.
 Of equal texts the row with the largest id stays, null ids last; of rows that also share the id exactly one is
 kept. An empty table gives no rows. All groups are counted with map-side aggregation, and the joins back carry
-no text, so a group that holds a third of all rows costs only narrow rows (split by AQE's skew join).
+no text; groups too large for a task are broadcast to their rows, so a third of all rows in one group stays where it is.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from .storage import materialise
 PREFIX_CHARS = 256
 #: Rows (of 12 bytes) up to which the surviving keys are sent to every task instead of shuffled: under 10 MB.
 BROADCAST_KEYS = 500_000
+#: Groups of copies above this size, and above this share of all copies (so at most 20,000 groups), are sent to their
+#: rows rather than joined by a shuffle on the hash.
+LARGE_GROUP, LARGE_GROUPS = 1000, 20_000
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -45,14 +48,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         hashed = hashed.drop("whole_text")
     else:
         hashed = hashed.drop("whole_text").join(survivors, ["length", "prefix_hash"], "left_semi")
-    hashed = materialise(hashed, "dedup-full")
+    hashed = materialise(hashed.withColumn("row", F.monotonically_increasing_id()), "dedup-full")
 
-    groups = hashed.groupBy("full_hash").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    matched = hashed.join(groups, "full_hash")
-    one_of = W.partitionBy("full_hash", "doc_id").orderBy(F.lit(0))
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(one_of) == 1)
+    best = F.max(F.struct("doc_id", "row")).alias("best")
+    groups = materialise(hashed.groupBy("full_hash").agg(best, F.count("*").alias("group_size")), "dedup-groups")
+    rows = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    # the largest groups are few whatever the corpus; they go to the rows instead of the rows to them
+    large = F.col("group_size") > max(LARGE_GROUP, rows // LARGE_GROUPS)
+    hot = F.broadcast(groups.where(large))
+    cold = hashed.join(hot.select("full_hash"), "full_hash", "left_anti").join(groups.where(~large), "full_hash")
+    matched = hashed.join(hot, "full_hash").unionByName(cold)
     out = ["doc_id", *carry, "keep_id", "group_size", "kept"]
-    decided = matched.withColumn("kept", stays).select(*out)
+    decided = matched.withColumns({"keep_id": F.col("best.doc_id"), "kept": F.col("row") == F.col("best.row")}).select(*out)
     alone = narrow.join(survivors, ["length", "prefix_hash"], "left_anti")
     alone = alone.withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     return decided.unionByName(alone.select(*out))

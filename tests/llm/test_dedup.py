@@ -12,9 +12,10 @@ def digest():
     return F.sha2(F.coalesce("text", F.lit("")), 256)
 
 
-@pytest.mark.parametrize("keys", [500_000, 0])
-def test_against_brute_force(awkward, awkward_rows, monkeypatch, keys):
+@pytest.mark.parametrize("keys, large", [(500_000, 1000), (0, 1)])
+def test_against_brute_force(awkward, awkward_rows, monkeypatch, keys, large):
     monkeypatch.setattr(dedup, "BROADCAST_KEYS", keys)  # both with sent and with shuffled keys
+    monkeypatch.setattr(dedup, "LARGE_GROUP", large)
     groups = defaultdict(list)
     for i, text, *_ in awkward_rows:
         groups[hashlib.sha256((text or "").encode()).hexdigest()].append(i)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions.json_leaves import key_set
+from skein.functions.names import name_words, same_words
 from skein.functions.urls import is_third_party_noise, url_words
 
 # Authority of a path's source, and the order of certified sources.
@@ -177,22 +179,23 @@ def stride_series(values: DataFrame, keys: Sequence[str], value: str) -> DataFra
 
 
 def proof_triple(candidates: DataFrame, name: str, price: str, order: str, most: int = 30) -> DataFrame:
-    """The first three candidates, in lexicographic order of their places, with distinct names and prices. Only the
-    first ``most`` candidates are looked at: proof pages are picked from the top of a listing."""
-    first = candidates.orderBy(order).limit(most).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n"), F.col(price).alias("p")))).alias("a"))
-
-    def after(*chosen):
-        def apart(c, x):
-            return (x["o"] > c["o"]) & (x["n"] != c["n"]) & (x["p"] != c["p"])
-
-        def fits(x):
-            test = apart(chosen[0], x)
-            for c in chosen[1:]:
-                test = test & apart(c, x)
-            return test
-
-        return F.filter("a", fits)
-
-    third = lambda x, y: F.transform(after(x, y), lambda z: F.struct(x["o"].alias("first"), y["o"].alias("second"), z["o"].alias("third")))
-    triples = F.flatten(F.transform("a", lambda x: F.flatten(F.transform(after(x), lambda y: third(x, y)))))
-    return first.select(F.array_min(triples).alias("t")).where("t IS NOT NULL").select("t.*")
+    """Three proof products: of the first ``most`` the lexicographically first triple of different products whose prices
+    are not all equal (an unknown price differs from any), else of different products, else the first three. Only the
+    top of a listing is looked at, as one array."""
+    card = F.struct(F.col(order).alias("o"), name_words(F.col(name)).alias("n"), F.col(price).alias("p"))
+    first = candidates.orderBy(order).limit(most).agg(F.array_sort(F.collect_list(card)).alias("a"))
+
+    def triples(x):
+        def behind(*chosen):
+            return F.filter("a", lambda c: reduce(lambda s, t: s & t, [(c["o"] > k["o"]) & ~same_words(c["n"], k["n"]) for k in chosen]))
+
+        def with_third(y):
+            alike = lambda z: F.coalesce((x["p"] == y["p"]) & (y["p"] == z["p"]), F.lit(False))
+            return F.transform(behind(x, y), lambda z: F.struct(alike(z).alias("alike"), x["o"].alias("first"), y["o"].alias("second"), z["o"].alias("third")))
+
+        return F.flatten(F.transform(behind(x), with_third))
+
+    place = lambda n: F.try_element_at("a", F.lit(n))["o"]
+    plain = F.struct(F.lit(True).alias("alike"), place(1).alias("first"), place(2).alias("second"), place(3).alias("third"))
+    best = F.coalesce(F.array_min(F.flatten(F.transform("a", triples))), F.when(F.size("a") >= 3, plain))
+    return first.select(best.alias("t")).where("t IS NOT NULL").select("t.first", "t.second", "t.third")

@@ -270,9 +270,9 @@ def proof_products(spark, folder):
 
 
 PROOF_PRODUCTS = """
-WITH f AS (SELECT p_partkey AS o, p_name AS n, p_retailprice AS p FROM part ORDER BY p_partkey LIMIT 30)
-SELECT a.o AS first, b.o AS second, c.o AS third FROM f a, f b, f c WHERE a.o < b.o AND b.o < c.o AND a.n <> b.n AND b.n <> c.n AND a.n <> c.n AND a.p <> b.p AND b.p <> c.p AND a.p <> c.p
-ORDER BY 1, 2, 3 LIMIT 1
+WITH f AS (SELECT p_partkey AS o, p_name AS n, p_retailprice AS p FROM part ORDER BY p_partkey LIMIT 30),
+t AS (SELECT a.o AS first, b.o AS second, c.o AS third, a.p = b.p AND b.p = c.p AS alike FROM f a, f b, f c WHERE a.o < b.o AND b.o < c.o AND a.n <> b.n AND b.n <> c.n AND a.n <> c.n)
+SELECT first, second, third FROM t ORDER BY alike, first, second, third LIMIT 1
 """
 
 

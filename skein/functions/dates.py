@@ -57,11 +57,9 @@ def shift_month(month: Column, by: int) -> Column:
 
 
 def duration_label(seconds: Column) -> Column:
-    """``2h 05m``, ``3m 07s`` or ``12s``."""
-    s = seconds.cast("long")
-    h, m = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60)
-    return (
-        F.when(s >= 3600, F.format_string("%dh %02dm", h, m))
-        .when(s >= 60, F.format_string("%dm %02ds", m, F.pmod(s, F.lit(60))))
-        .otherwise(F.format_string("%ds", s))
-    )
+    """``12 s`` under a minute, ``5 min`` under an hour, then ``1 h 04 min``, each rounded."""
+    s = F.greatest(F.floor(seconds.cast("double") + 0.5), F.lit(0)).cast("long")
+    minutes = F.floor(s / 60.0 + 0.5).cast("long")
+    hours = F.format_string("%d h %02d min", F.floor(minutes / 60).cast("long"), F.pmod(minutes, F.lit(60)))
+    label = F.when(s < 60, F.format_string("%d s", s)).when(minutes < 60, F.format_string("%d min", minutes)).otherwise(hours)
+    return F.when(seconds.isNotNull(), label)

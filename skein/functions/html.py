@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import unicode_form
+
 _HIDDEN = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>"
 
 
@@ -23,16 +26,33 @@ def clean_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?i)<(link|meta)\b[^>]*>", ""), r"\s+", " "))
 
 
-def decode_entities(text: Column) -> Column:
-    """The named entities that page text uses most; ``&amp;`` last."""
-    for entity, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+# The named entities that page text uses; ``&amp;`` comes last.
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&reg;", "®"), ("&trade;", "™"), ("&copy;", "©"), ("&#39;", "'"), ("&amp;", "&")]
+
+
+def decode_entities(text: Column, numeric: bool = False) -> Column:
+    """Named entities as characters; numbered ones too if asked for, which takes the batches through Python."""
+    if numeric:
+
+        @F.pandas_udf("string")
+        def unescaped(batch: pd.Series) -> pd.Series:
+            return batch.map(lambda t: t if t is None or "&" not in t else unescape(t))
+
+        return unescaped(text)
+    for entity, mark in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(mark))
     return text
 
 
-def shown_key(text: Column) -> Column:
-    """Comparison form of shown text: entities decoded, lower case, collapsed, trade marks dropped."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(decode_entities(text)), "[®™©]", ""), r"(?U)\s+", " "))
+_MARKS = "[®™©℠℗]"
+
+
+def shown_key(text: Column, fold: bool = False) -> Column:
+    """Comparison form of shown text: entities decoded, symbol marks joined to the words around them, lower case,
+    collapsed; compatibility-folded if asked for (which takes the batches through Python)."""
+    joined = F.regexp_replace(F.regexp_replace(decode_entities(text), rf"(?U)\s+(?={_MARKS})", ""), rf"(?U)({_MARKS})\s+", "$1")
+    shaped = unicode_form(joined, "NFKC") if fold else joined
+    return F.lower(F.trim(F.regexp_replace(shaped, r"(?U)\s+", " ")))
 
 
 def title(html: Column) -> Column:
@@ -198,9 +218,22 @@ def xpath_contains_value(xpath: Column, value: Column) -> Column:
     return F.coalesce((F.length(F.trim(value)) > 0) & F.contains(F.lower(xpath), F.lower(F.trim(value))), F.lit(False))
 
 
+def volatile_value(value: Column) -> Column:
+    """An attribute value that a site's next build or another product changes: a state or small number, a version or long
+    number, a generated id or class name, or a run in which letters and digits mix (a word with a number at one end is
+    a name)."""
+    v = F.trim(value)
+    runs = F.filter(F.split(v, "[^A-Za-z0-9]+"), lambda r: F.length(r) >= 5)
+    digits = lambda r: F.regexp_count(r, F.lit("[0-9]"))
+    hashed = F.exists(runs, lambda r: (digits(r) >= 2) & (F.length(r) - digits(r) >= 2) & ~r.rlike("^[A-Za-z]+[0-9]+$") & ~r.rlike("^[0-9]+[A-Za-z]+$"))
+    told = v.rlike(r"(?i)^(true|false|yes|no|on|off|null|undefined|\d{1,4})$") | v.rlike(r"\d+\.\d+|\d{5,}|^:[A-Za-z][A-Za-z0-9]*:$|^(css|sc|jsx|jss|emotion)-[A-Za-z0-9]{4,}$")
+    return (v != "") & (told | hashed)
+
+
 def looks_volatile(xpath: Column) -> Column:
-    """Anchors that a site's next build renames: hashed class names, long digit runs, version numbers, generated ids."""
-    return xpath.rlike(r"(?:css|sc|jsx|emotion)-[0-9a-z]{5,}|__[A-Za-z0-9]{5,}\b|\d{6,}|[vV]\d+\.\d+|:r[0-9a-z]+:|[0-9a-f]{8}-[0-9a-f]{4}")
+    """Some quoted literal of the path, or one of its words, is volatile."""
+    literals = F.filter(F.transform(F.regexp_extract_all(xpath, F.lit('"([^"]*)"'), F.lit(1)), F.trim), lambda x: x != "")
+    return F.exists(literals, lambda x: volatile_value(x) | F.exists(F.split(x, r"\s+"), volatile_value))
 
 
 def canonical_xpath(xpath: Column) -> Column:

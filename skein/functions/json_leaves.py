@@ -29,7 +29,7 @@ LEAVES = "array<struct<pos: int, path: string, depth: int, value: string>>"
 
 
 def _plain(value) -> bool:
-    return not isinstance(value, (dict, list))
+    return isinstance(value, (str, int, float)) and not isinstance(value, bool)
 
 
 def _text(value) -> str:
@@ -45,7 +45,8 @@ def _leaves(body: str | None, walk: Walk) -> list[tuple]:
     while todo:
         path, depth, value = todo.pop()
         if isinstance(value, list) and not (walk.whole_lists and value and all(map(_plain, value))):
-            children = [(f"{path}[{i}]", v) for i, v in enumerate(value[: walk.items])]
+            # where lists of plain values are leaves, plain values in mixed lists are none
+            children = [(f"{path}[{i}]", v) for i, v in enumerate(value[: walk.items]) if not walk.whole_lists or isinstance(v, (dict, list))]
         elif isinstance(value, dict):
             children = [(f"{path}.{k}" if path else k, v) for k, v in value.items()]
         else:
@@ -72,12 +73,16 @@ def leaf_table(bodies: DataFrame, keys: list[str], body_col: str, walk: Walk) ->
     return bodies.select(*keys, F.explode(leaves(F.col(body_col), walk)).alias("leaf")).select(*keys, "leaf.*")
 
 
+# What in an address tells configuration and tracking from data.
+CONFIG_URL = "(?i)translation|localisation|config|feature-flag|analytics|tracking"
+
+
 def flatten_responses(requests: DataFrame, keys: list[str], walk: Walk = FLATTEN, most_bytes: int = 20_000) -> DataFrame:
     """Leaves of a page's JSON responses (columns url, body, seq): configuration-like and larger bodies are left out, a
     URL counts once (its first body), and of equal paths the later body's value stands."""
     from pyspark.sql import Window as W
 
-    fits = (F.octet_length("body") <= most_bytes) & ~F.col("url").rlike(r"(?i)(config|settings|translations|i18n|locale)")
+    fits = (F.octet_length("body") <= most_bytes) & ~F.col("url").rlike(CONFIG_URL)
     first = F.row_number().over(W.partitionBy(*keys, "url").orderBy("seq"))
     once = requests.where(fits).withColumn("nth", first).where("nth = 1")
     table = leaf_table(once, [*keys, "seq"], "body", walk)

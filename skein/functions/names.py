@@ -8,8 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Currencies as shown beside an amount, and colour words that a name may end in.
-CURRENCY = r"(?:[$€£¥₹]|\b(?:USD|EUR|GBP|CHF|SEK|NOK|DKK|PLN|MYR|RM|INR|JPY|AUD|CAD|kr|Rs\.?)(?![A-Za-z]))"
-AMOUNT = r"\d[\d.,]*"
+CURRENCY_CODES = r"US\$|AU\$|CA\$|NZ\$|HK\$|S\$|R\$|USD|EUR|GBP|JPY|CNY|INR|AUD|CAD|NZD|CHF|SEK|NOK|DKK|PLN|CZK|HUF|MYR|SGD|HKD|AED|SAR|ZAR|BRL|MXN|TRY|RM"
+CURRENCY_NAMES = r"Rs\.?|kr|zł|Kč|Ft|lei"
+#: A symbol, or a code that no letter touches, except a capitals code right behind a lower-case letter.
+CURRENCY = rf"(?:[$€£¥₹₩₽₺₪฿₫₱]|(?:(?<![A-Za-z])(?:{CURRENCY_CODES}|{CURRENCY_NAMES})|(?<=[a-z])(?:{CURRENCY_CODES}))(?![A-Za-z]))"
+AMOUNT = r"(?:\d{1,3}(?:[.,\s\u00a0\u202f']\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?)"
 COLOURS = [
     *("black", "white", "grey", "gray", "blue", "navy", "red", "green", "yellow", "orange", "pink", "purple", "brown", "beige", "cream", "ivory"),
     *("silver", "gold", "tan", "khaki", "olive", "teal", "burgundy", "maroon", "charcoal", "lilac", "mint", "multicolour", "multicolor", "natural"),
@@ -20,7 +23,7 @@ COLOURS = [
 def base_name(name: Column) -> Column:
     """A product's name without what tells its colourways apart: prices, case, a closing bracket, whatever follows the
     first spaced dash, bar, slash or comma, and closing colour words."""
-    plain = F.lower(F.regexp_replace(name, f"{CURRENCY} ?{AMOUNT}|{AMOUNT} ?{CURRENCY}", " "))
+    plain = F.lower(F.regexp_replace(name, rf"{CURRENCY}\s?{AMOUNT}|{AMOUNT}\s?{CURRENCY}", " "))
     tidy = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")), r"^option\s*:\s*", ""), r"\s*\([^)]*\)$", "")
     cut = F.regexp_replace(tidy, r"^(.{3,}?)(?:\s[-–—|/]\s|,\s).*$", "$1")
     coloured = F.regexp_replace(cut, rf"(?:\s+[^\p{{L}}\s]*(?:{'|'.join(COLOURS)})[^\p{{L}}\s]*)+$", "")

@@ -117,11 +117,16 @@ def inferred_type(key: Column) -> Column:
     return chosen
 
 
-def schema_changes(paths: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(field, change): field_added (known to the store, not declared), field_removed (declared, used more than five
-    times, never hit), field_degraded (all its paths used more than ten times and hit in under half)."""
+def schema_changes(paths: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(field, change) of a fresh extraction (field, found) against the store of paths: field_added (not in the store),
+    field_removed (in the store with more than five uses, not extracted), field_degraded (in both, but no value found and
+    all its paths used more than ten times and hit in under half)."""
     total = F.col("hits") + F.col("misses")
-    stats = paths.groupBy("field").agg(F.sum(total).alias("uses"), F.sum("hits").alias("hits"), F.min((total > 10) & (F.col("hits") / total < 0.5)).alias("weak"))
-    declared = F.col("field").isin(list(fields))
-    change = F.when(~declared, "field_added").when((F.col("uses") > 5) & (F.col("hits") == 0), "field_removed").when(F.col("weak"), "field_degraded")
-    return stats.select("field", change.alias("change")).where("change IS NOT NULL")
+    stored = paths.groupBy("field").agg(F.sum(total).alias("uses"), F.min((total > 10) & (F.col("hits") / total < 0.5)).alias("weak"))
+    both = stored.join(fresh, "field", "full")
+    change = (
+        F.when(F.col("uses").isNull(), "field_added")
+        .when(F.col("found").isNull(), F.when(F.col("uses") > 5, "field_removed"))
+        .when(F.col("weak") & ~F.col("found"), "field_degraded")
+    )
+    return both.select("field", change.alias("change")).where("change IS NOT NULL")

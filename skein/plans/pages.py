@@ -257,17 +257,18 @@ UNION ALL SELECT page_id, '/html/head/meta/@charset', CAST(1 AS BIGINT), 'utf-8'
 
 
 def schema_drift(spark, folder):
-    """Changes of the store against a declared schema: lines as path uses, shipping modes as fields."""
+    """Changes of a fresh extraction against the store: line states as fields, line numbers as their paths."""
     paths = table(spark, folder, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("field"), F.col("l_linenumber").alias("path")).agg(
         F.count_if(F.col("l_discount") > 0.07).alias("hits"), F.count_if(F.col("l_discount") <= 0.07).alias("misses")
     )
-    return contract.schema_changes(paths, ["AF", "NO", "RO"])
+    fresh = spark.createDataFrame([("AF", False), ("NO", True), ("XX", True)], "field string, found boolean")
+    return contract.schema_changes(paths, fresh)
 
 
 SCHEMA_DRIFT = """
 WITH p AS (SELECT l_returnflag || l_linestatus AS field, l_linenumber AS path, count(*) FILTER (l_discount > 0.07) AS hits, count(*) FILTER (l_discount <= 0.07) AS misses FROM lineitem GROUP BY 1, 2),
-s AS (SELECT field, sum(hits + misses) AS uses, sum(hits) AS hits, bool_and(hits + misses > 10 AND hits / (hits + misses) < 0.5) AS weak FROM p GROUP BY 1),
-c AS (SELECT field, CASE WHEN field NOT IN ('AF', 'NO', 'RO') THEN 'field_added' WHEN uses > 5 AND hits = 0 THEN 'field_removed' WHEN weak THEN 'field_degraded' END AS change FROM s)
+s AS (SELECT field, sum(hits + misses) AS uses, bool_and(hits + misses > 10 AND hits / (hits + misses) < 0.5) AS weak FROM p GROUP BY 1), f AS (FROM (VALUES ('AF', false), ('NO', true), ('XX', true)) v(field, found)),
+c AS (SELECT coalesce(s.field, f.field) AS field, CASE WHEN uses IS NULL THEN 'field_added' WHEN found IS NULL THEN CASE WHEN uses > 5 THEN 'field_removed' END WHEN weak AND NOT found THEN 'field_degraded' END AS change FROM s FULL JOIN f ON s.field = f.field)
 SELECT * FROM c WHERE change IS NOT NULL
 """
 

@@ -223,7 +223,7 @@ def durations(spark, folder):
 
 DURATIONS = """
 WITH s AS (SELECT user_id, max(epoch_us(ts) // 1000000) - min(epoch_us(ts) // 1000000) AS s FROM events GROUP BY 1)
-SELECT user_id, CASE WHEN s >= 3600 THEN printf('%dh %02dm', s // 3600, s % 3600 // 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS label FROM s
+SELECT user_id, CASE WHEN s < 60 THEN printf('%d s', s) WHEN m < 60 THEN printf('%d min', m) ELSE printf('%d h %02d min', m // 60, m % 60) END AS label FROM (SELECT *, CAST(floor(s / 60.0::DOUBLE + 0.5) AS BIGINT) AS m FROM s)
 """
 
 

@@ -176,7 +176,39 @@ def test_json_leaves(spark):
 
 
 def test_duration_and_month(spark):
-    assert one(spark, dates.duration_label(F.lit(3725))) == "1h 02m"
+    assert [one(spark, dates.duration_label(F.lit(n))) for n in (12, 299, 3841, 7170)] == ["12 s", "5 min", "1 h 04 min", "2 h 00 min"]
     assert one(spark, dates.shift_month(F.lit("2024-01"), -1)) == "2023-12"
     first, after = dates.month_bounds("2024-12")
     assert one(spark, first) == dt.datetime(2024, 12, 1) and one(spark, after) == dt.datetime(2025, 1, 1)
+
+
+@pytest.mark.parametrize(
+    "xpath, volatile",
+    [
+        ('//div[@data-cv="634a7e0"]/p', True),
+        ('//p[@data-x="price-module@11.1.8"]', True),
+        ('//p[@data-online="true"]', True),
+        ('//p[@id="item-123456"]', True),
+        ('//div[contains(concat(" ", @class, " "), " css-1x2y3z ")]', True),
+        ('//div[@id=":r1:"]', True),
+        ('//div[@class="step3 col12 price-box"]/p[2]', False),
+        ("/html/body/div[2]", False),
+    ],
+)
+def test_volatile_paths(spark, xpath, volatile):
+    assert one(spark, html.looks_volatile(F.col("a")), a=xpath) is volatile
+
+
+def test_shown_text(spark):
+    assert one(spark, html.shown_key(F.col("a")), a="Crusher &reg;  720&nbsp;X") == "crusher®720 x"
+    assert one(spark, html.shown_key(F.col("a"), fold=True), a="Soft ™ m²") == "softtmm2"
+    assert one(spark, html.decode_entities(F.col("a"), numeric=True), a="&#8364;5 &lt;b") == "€5 <b"
+
+
+def test_mixed_lists_and_flattened_responses(spark):
+    body = '{"a": [1, {"b": 2}, "x"], "c": [], "d": [true, false], "e": {"f": null}}'
+    got = {r.path: r.value for r in one(spark, json_leaves.leaves(F.col("a"), json_leaves.FLATTEN), a=body)}
+    assert got == {"a[1].b": "2"}
+    rows = [(1, 0, "u/a", '{"x": 1, "y": 1}'), (1, 1, "u/a", '{"x": 9}'), (1, 2, "u/b", '{"x": 2}'), (1, 3, "u/Config.json", '{"x": 3}'), (1, 4, "u/c", '{"x": "' + "z" * 20_001 + '"}')]
+    flat = json_leaves.flatten_responses(spark.createDataFrame(rows, "page int, seq int, url string, body string"), ["page"])
+    assert {r.path: r.value for r in flat.collect()} == {"x": "2", "y": "1"}

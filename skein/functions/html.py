@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import unicode_form
+from .text import SPACES, unicode_form
 
 _HIDDEN = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>"
 
@@ -50,9 +50,9 @@ _MARKS = "[®™©℠℗]"
 def shown_key(text: Column, fold: bool = False) -> Column:
     """Comparison form of shown text: entities decoded, symbol marks joined to the words around them, lower case,
     collapsed; compatibility-folded if asked for (which takes the batches through Python)."""
-    joined = F.regexp_replace(F.regexp_replace(decode_entities(text), rf"(?U)\s+(?={_MARKS})", ""), rf"(?U)({_MARKS})\s+", "$1")
+    joined = F.regexp_replace(F.regexp_replace(decode_entities(text), rf"{SPACES}(?={_MARKS})", ""), rf"({_MARKS}){SPACES}", "$1")
     shaped = unicode_form(joined, "NFKC") if fold else joined
-    return F.lower(F.trim(F.regexp_replace(shaped, r"(?U)\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(shaped, SPACES, " ")))
 
 
 def title(html: Column) -> Column:
@@ -153,7 +153,7 @@ def nodes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 
 def own_text(node_text: Column) -> Column:
-    text = F.trim(F.regexp_replace(node_text, r"(?U)\s+", " "))
+    text = F.trim(F.regexp_replace(node_text, SPACES, " "))
     return F.when(text != "", text)
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import SPACES
+
 # Currencies as shown beside an amount, and colour words that a name may end in.
 CURRENCY_CODES = r"US\$|AU\$|CA\$|NZ\$|HK\$|S\$|R\$|USD|EUR|GBP|JPY|CNY|INR|AUD|CAD|NZD|CHF|SEK|NOK|DKK|PLN|CZK|HUF|MYR|SGD|HKD|AED|SAR|ZAR|BRL|MXN|TRY|RM"
 CURRENCY_NAMES = r"Rs\.?|kr|zł|Kč|Ft|lei"
@@ -24,7 +26,7 @@ def base_name(name: Column) -> Column:
     """A product's name without what tells its colourways apart: prices, case, a closing bracket, whatever follows the
     first spaced dash, bar, slash or comma, and closing colour words."""
     plain = F.lower(F.regexp_replace(name, rf"{CURRENCY}\s?{AMOUNT}|{AMOUNT}\s?{CURRENCY}", " "))
-    tidy = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")), r"^option\s*:\s*", ""), r"\s*\([^)]*\)$", "")
+    tidy = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(plain, SPACES, " ")), r"^option\s*:\s*", ""), r"\s*\([^)]*\)$", "")
     cut = F.regexp_replace(tidy, r"^(.{3,}?)(?:\s[-–—|/]\s|,\s).*$", "$1")
     coloured = F.regexp_replace(cut, rf"(?:\s+[^\p{{L}}\s]*(?:{'|'.join(COLOURS)})[^\p{{L}}\s]*)+$", "")
     return F.regexp_replace(coloured, r"[\s,;:.\-–—|/]+$", "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import SPACES
+
 
 def number_text(text: Column, money: bool = False) -> Column:
     """A number's text with its separators resolved: ``1.299,50 €`` and ``$1,299.50`` give ``1299.50``.
@@ -12,7 +14,7 @@ def number_text(text: Column, money: bool = False) -> Column:
     With both separators the later one is the decimal point. A lone comma is one unless three digits follow; several
     dots group thousands; for money a lone dot before three digits does too. Null when it is no number.
     """
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?U)[A-Za-z$€£¥₹\s]", ""), r"^[^\d\-+.,]+|[^\d.,]+$", "")
+    bare = F.regexp_replace(F.regexp_replace(text, SPACES[:-2] + "A-Za-z$€£¥₹]", ""), r"^[^\d\-+.,]+|[^\d.,]+$", "")
     from_end = F.reverse(bare)
     comma, dot = F.instr(from_end, ","), F.instr(from_end, ".")  # distance from the end; 0 without one
     no_dots, no_commas = F.replace(bare, F.lit("."), F.lit("")), F.replace(bare, F.lit(","), F.lit(""))

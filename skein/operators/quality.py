@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.numbers import NUMBER_WORDS, leading_number
+from skein.functions.text import SPACES
 from skein.functions.urls import host
 
 _ISSUES = "array<struct<severity: string, message: string, fixed: boolean>>"
@@ -42,7 +43,7 @@ def price(raw: Column) -> Column:
 
 def string(raw: Column, longest: int = 5000) -> Column:
     """Tags become blanks and white space collapses; nothing left is an error."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(raw, "<[^>]+>", " "), r"(?U)\s+", " "))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(raw, "<[^>]+>", " "), SPACES, " "))
     changed = bare != raw
     issues = [
         F.when(changed & (bare == ""), _issue("error", "String is empty after stripping HTML")).when(changed, _issue("warning", "Stripped HTML tags from value", True)),
@@ -103,7 +104,7 @@ def date(raw: Column, today: Column) -> Column:
 
 def list_items(items: Column) -> Column:
     """Items cleaned as strings; those that held only markup are dropped."""
-    bare = F.transform(items, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"(?U)\s+", " ")))
+    bare = F.transform(items, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), SPACES, " ")))
     return F.filter(bare, lambda x: x != "")
 
 

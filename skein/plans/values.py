@@ -186,16 +186,19 @@ SELECT p_partkey, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS slug FR
 
 
 def corroboration(spark, folder):
-    """Documents whose text shows most words of a benchmark passage's opening, told by equality of the opening word:
-    passages meet only documents that share it."""
+    """Documents whose text shows most words of a benchmark passage's opening. Only documents that hold the opening's
+    first word are looked at: words meet passages in narrow rows, and texts come back for the pairs that met."""
     from skein.operators.relational import small
 
     docs = table(spark, folder, "documents").select("doc_id", F.lower("text").alias("text"))
-    passages = table(spark, folder, "benchmark").select("item_id", F.array_join(F.slice(F.split(F.lower("text"), " "), 1, 6), " ").alias("opening"))
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"[\s]+"))).alias("word"))
-    keyed = passages.withColumn("word", F.element_at(F.split("opening", " "), 1))
-    met = words.join(small(keyed), "word")
-    return met.select("doc_id", "item_id", T.token_share(F.col("opening"), F.col("text")).alias("share")).where("share >= 0.6")
+    opening = F.slice(F.split(F.lower("text"), " "), 1, 6)
+    passages = table(spark, folder, "benchmark").select("item_id", F.array_join(opening, " ").alias("opening"), opening[0].alias("word"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[\s]+"))).alias("word"))
+    met = words.join(small(passages), "word").select("doc_id", "item_id", "opening")
+    gathered = met.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "opening")).alias("passages"))
+    shares = F.transform(F.array(T.prepared(F.col("text"))), lambda seen: F.transform("passages", lambda p: F.struct(p["item_id"].alias("item_id"), T.share_in(p["opening"], seen).alias("share"))))[0]
+    scored = docs.join(gathered, "doc_id").select("doc_id", F.explode(F.filter(shares, lambda s: s["share"] >= 0.6)).alias("s"))
+    return scored.select("doc_id", "s.item_id", "s.share")
 
 
 CORROBORATION = """

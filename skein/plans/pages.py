@@ -59,7 +59,7 @@ VARIANT_PAIRS = "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'color=Red&size=
 def page_text(spark, folder):
     """Length and digest of a page's visible text, with its heading."""
     text = H.visible_text(F.col("html"))
-    return table(spark, folder, "pages").select("page_id", F.length(text).alias("chars"), F.md5(text).alias("digest"), F.length(H.visible_text(F.col("html"), keep_comments=True)).alias("chars_with_comments"), F.md5(H.page_heading(F.col("html"))).alias("heading"))
+    return table(spark, folder, "pages").select("page_id", F.length(text).cast("long").alias("chars"), F.md5(text).alias("digest"), F.length(H.visible_text(F.col("html"), keep_comments=True)).cast("long").alias("chars_with_comments"), F.md5(H.page_heading(F.col("html"))).alias("heading"))
 
 
 PAGE_TEXT = r"""

@@ -139,10 +139,13 @@ SELECT c_custkey, coalesce(
 
 def latest_order(spark, folder):
     orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    return R.latest_struct(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderdate", "o_totalprice"])
+    latest = R.latest_struct(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderdate", "o_totalprice"])
+    return latest.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
-LATEST_ORDER = "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_custkey, o_orderdate DESC, o_orderkey DESC"
+LATEST_ORDER = """
+SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_totalprice FROM orders ORDER BY o_custkey, orders.o_orderdate DESC, o_orderkey DESC
+"""
 
 
 def latest_lookup(spark, folder):
@@ -212,12 +215,13 @@ UNION ALL SELECT 'suppliers', s_suppkey, s_name, NULL, s_acctbal FROM supplier
 def error_streaks(spark, folder):
     """Three or more errors in a row of one user."""
     events = table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type")
-    return R.streaks(events, "user_id", ["ts", "event_id"], F.col("event_type") == "error", 3)
+    found = R.streaks(events, "user_id", ["ts", "event_id"], F.col("event_type") == "error", 3)
+    return found.withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("first", "last")})
 
 
 ERROR_STREAKS = """
 WITH m AS (SELECT user_id, ts, event_type, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS i FROM events)
-SELECT user_id, count(*) AS length, min(ts) AS first, max(ts) AS last FROM m WHERE event_type = 'error' GROUP BY user_id, i HAVING count(*) >= 3
+SELECT user_id, count(*) AS length, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last FROM m WHERE event_type = 'error' GROUP BY user_id, i HAVING count(*) >= 3
 """
 
 
@@ -256,7 +260,7 @@ SELECT DISTINCT p_brand, p_partkey FROM p, range(20) i(i) WHERE n <= 20 OR pos =
 def top_suppliers(spark, folder):
     """The five suppliers of each part with the largest revenue."""
     lines = table(spark, folder, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("revenue"))
-    return top_per(lines, ["l_partkey"], [F.col("revenue").desc(), F.col("l_suppkey")], 5)
+    return top_per(lines, ["l_partkey"], [F.col("revenue").desc(), F.col("l_suppkey")], 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 TOP_SUPPLIERS = """

@@ -160,13 +160,13 @@ def schedules(spark, folder):
     """The next Monday or Thursday, 06:00 in New York, after each order date."""
     orders = table(spark, folder, "orders").select("o_orderdate").distinct()
     after = F.col("o_orderdate").cast("timestamp")
-    return orders.select("o_orderdate", F.unix_seconds(D.next_run_at(after, [1, 4], 6, 0, "America/New_York")).alias("next_run"))
+    return orders.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), F.unix_seconds(D.next_run_at(after, [1, 4], 6, 0, "America/New_York")).alias("next_run"))
 
 
 SCHEDULES = """
 WITH d AS (SELECT DISTINCT o_orderdate FROM orders), c AS (SELECT o_orderdate, (date_trunc('day', o_orderdate) + to_days(CAST(i AS INTEGER)) + INTERVAL 6 HOUR) AS wall FROM d, range(-1, 9) r(i)),
 u AS (SELECT o_orderdate, CAST(epoch(timezone('America/New_York', wall)) AS BIGINT) AS t FROM c WHERE isodow(wall) IN (1, 4))
-SELECT o_orderdate, min(t) AS next_run FROM u WHERE t > epoch(o_orderdate) GROUP BY 1
+SELECT strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, min(t) AS next_run FROM u WHERE t > epoch(u.o_orderdate) GROUP BY 1
 """
 
 

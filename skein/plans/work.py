@@ -290,7 +290,7 @@ def json_paths(spark, folder):
 
 
 JSON_PATHS = """
-SELECT CASE WHEN event_type = 'error' THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) // 10 END AS bucket, count(*) AS events, CAST(sum(length(replace(props, ' ', ''))) AS BIGINT) AS chars FROM events GROUP BY 1
+SELECT CASE WHEN event_type = 'error' THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) // 10 END AS bucket, count(*) AS events, CAST(sum(length(replace(props, ' ', ''))) AS BIGINT) AS chars FROM events GROUP BY 1
 """
 
 

@@ -16,7 +16,7 @@ def _products(spark, folder):
     """Orders as products, their lines as entries; orders without lines have none."""
     entry = F.struct(*LINE_ORDER, F.concat(F.lit("S"), "l_partkey").alias("sku"), F.when(F.col("l_quantity") < 45, F.col("l_returnflag")).alias("flag"))
     lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    orders = table(spark, folder, "orders").where("o_orderkey < 3000").select("o_orderkey", F.concat(F.lit("https://x.example/p/"), "o_orderkey", F.lit("#top")).alias("url"), "o_orderstatus", F.lit("own").alias("flag"))
+    orders = table(spark, folder, "orders").select("o_orderkey", F.concat(F.lit("https://x.example/p/"), "o_orderkey", F.lit("#top")).alias("url"), "o_orderstatus", F.lit("own").alias("flag"))
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
 
 
@@ -123,7 +123,7 @@ SELECT DISTINCT ON (o_custkey) o_custkey, total, CAST(version AS INTEGER) AS ver
 
 def insert_missing(spark, folder):
     supplier = table(spark, folder, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    more = table(spark, folder, "customer").where("c_custkey < 150").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    more = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return X.insert_missing(supplier, more, ["id"])
 
 

@@ -46,11 +46,12 @@ SELECT page_id, bare AS host, root, split_part(root, '.', 1) AS brand, CASE WHEN
 
 
 def variant_pairs(spark, folder):
-    """Pairs that may name a variant, on addresses with one added to every third page."""
-    u = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.when(F.contains("url", F.lit("?")), F.lit("&")).otherwise(F.lit("?")), F.lit("color=Red&size=M"))).otherwise(F.col("url"))
-    plain = table(spark, folder, "pages").where("url NOT LIKE '%#%'").select("page_id", u.alias("u"))
+    """Pairs that may name a variant, on addresses with one added to every third page, behind its query and before its fragment."""
+    address, fragment = U.without_fragment(F.col("url")), F.regexp_extract("url", "(?s)#.*$", 0)
+    added = F.concat(address, F.when(F.contains(address, F.lit("?")), F.lit("&")).otherwise(F.lit("?")), F.lit("color=Red&size=M"), fragment)
+    pages = table(spark, folder, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, added).otherwise(F.col("url")).alias("u"))
     pairs = F.transform(F.array_sort(F.map_entries(U.variant_pairs(F.col("u")))), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return plain.select("page_id", F.array_join(pairs, "&").alias("pairs"))
+    return pages.select("page_id", F.array_join(pairs, "&").alias("pairs"))
 
 
 VARIANT_PAIRS = "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'color=Red&size=M' ELSE '' END AS pairs FROM pages WHERE url NOT LIKE '%#%'"
@@ -192,12 +193,12 @@ SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE 'https://shop.example
 
 
 def request_words(spark, folder):
-    """Scores of addresses by their words alone."""
+    """Scores of addresses by their words alone, those of a recorded response added to every path."""
     from skein.operators import ranking as R
 
-    words = U.url_words(F.concat("url", F.lit("/api/productDetail/related")))
+    words = U.url_words(F.regexp_replace("url", r"^([^?#]*)", "$1/api/productDetail/related"))
     score = hits(words, R.PRODUCT_URL_WORDS) * WEIGHTS["product_word"] + hits(words, R.API_URL_WORDS) * WEIGHTS["api_word"] + hits(words, R.RELATION_URL_WORDS) * WEIGHTS["relation_word"]
-    return table(spark, folder, "pages").where("url NOT LIKE '%#%' AND url NOT LIKE '%?%'").select("page_id", score.cast("long").alias("score"))
+    return table(spark, folder, "pages").select("page_id", score.cast("long").alias("score"))
 
 
 REQUEST_WORDS = "SELECT page_id, CAST(4 * 2 + 2 - 30 AS BIGINT) AS score FROM pages WHERE url NOT LIKE '%#%' AND url NOT LIKE '%?%'"

@@ -48,3 +48,24 @@ def test_keys_beyond_any_bound_are_read(spark, far, name):
     assert len(want)
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+#: url, words' score with the added path (product words 4, api words 2, related words -30), pairs with the added one if page_id % 3 = 0
+ADDRESSES = [
+    ("https://x.example/en/1", -20, "color=Red&size=M"),
+    ("https://x.example/item/1?page=2&ref=x", -16, ""),
+    ("https://x.example/en/1#top", -20, ""),
+    ("https://x.example/v2/1?style=9&page=2#top", -18, "color=Red&size=M&style=9"),
+    ("https://x.example/similar/1?product=1#fit=slim", -50, "fit=slim&product=1"),
+    ("https://x.example?style=9#fit=slim&cut=a", -20, "cut=a&fit=slim&style=9"),
+    ("https://x.example/en#fit=slim?x", -20, "color=Red&fit=slim?x&size=M"),
+]
+
+
+def test_words_and_pairs_of_addresses_with_query_and_fragment(spark, tmp_path):
+    pages = [(n, url) for n, (url, *_) in enumerate(ADDRESSES)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    score = {r.page_id: r.score for r in catalogue.queries()["request_words"](spark, str(tmp_path)).collect()}
+    assert score == {n: s for n, (_, s, _) in enumerate(ADDRESSES)}
+    pairs = {r.page_id: r.pairs for r in catalogue.queries()["variant_pairs"](spark, str(tmp_path)).collect()}
+    assert pairs == {n: p for n, (_, _, p) in enumerate(ADDRESSES)}

@@ -112,14 +112,22 @@ def prepared(page_text: Column) -> Column:
     return F.lower(collapse(page_text))
 
 
-def share_in(value: Column, seen: Column, least: int = 3) -> Column:
-    """Share of the value's words (``least`` characters or more) that occur in the prepared text, as substrings; null for
-    a value without such words."""
-    tokens = F.filter(F.split(prepared(value), " "), lambda w: F.length(w) >= least)
+def long_words(value: Column, least: int = 3) -> Column:
+    """The value's words of ``least`` characters or more, repeats included, as they are looked for in prepared text."""
+    return F.filter(F.split(prepared(value), " "), lambda w: F.length(w) >= least)
+
+
+def share_of(tokens: Column, seen: Column) -> Column:
+    """Share of ``tokens`` that occur in the prepared text, as substrings; null without tokens."""
     hits = F.size(F.filter(tokens, lambda w: F.contains(seen, w)))
     return F.when(F.size(tokens) > 0, hits / F.size(tokens))
 
 
+def share_in(value: Column, seen: Column, least: int = 3) -> Column:
+    """``share_of`` the value's long words; null for a value without such words."""
+    return share_of(long_words(value, least), seen)
+
+
 def token_share(value: Column, page_text: Column, least: int = 3) -> Column:
     """``share_in`` of a page's text. The text is an element of an array, so that it is prepared once, not once a word."""
     return F.transform(F.array(prepared(page_text)), lambda seen: share_in(value, seen, least))[0]

@@ -185,20 +185,39 @@ SELECT p_partkey, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS slug FR
 """
 
 
+#: Words up to this length meet the tokens in them by their substrings; the few longer ones are searched.
+LONGEST = 40
+
+
+def _words_showing(vocabulary, tokens):
+    """(word, docs, token) for each word of ``vocabulary`` (word, docs) that has a token as a substring."""
+    length = F.length("word")
+    parts = F.flatten(F.transform(F.sequence(F.lit(3), length), lambda n: F.transform(F.sequence(F.lit(1), length - n + 1), lambda at: F.substring(F.col("word"), at, n))))
+    short = vocabulary.where((length >= 3) & (length <= LONGEST)).select("word", "docs", F.explode(F.array_distinct(parts)).alias("token"))
+    long = vocabulary.where(length > LONGEST).join(tokens, F.contains("word", "token"))
+    return short.join(tokens, "token").select("word", "docs", "token").unionByName(long.select("word", "docs", "token"))
+
+
 def corroboration(spark, folder):
-    """Documents whose text shows most words of a benchmark passage's opening. Only documents that hold the opening's
-    first word are looked at: words meet passages in narrow rows, and texts come back for the pairs that met."""
+    """Documents whose text shows at least 0.6 of a benchmark passage's words. To show that share of k words a text must
+    hold one of any k - ceil(0.6 k) + 1 of them; documents that hold one of the rarest are looked at in full. Words meet
+    passages in narrow rows, and texts come back for the pairs that met."""
+    from pyspark.sql import Window as W
+
     from skein.operators.relational import small
 
-    docs = table(spark, folder, "documents").select("doc_id", F.lower("text").alias("text"))
-    opening = F.slice(F.split(F.lower("text"), " "), 1, 6)
-    passages = table(spark, folder, "benchmark").select("item_id", F.array_join(opening, " ").alias("opening"), opening[0].alias("word"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[\s]+"))).alias("word"))
-    met = words.join(small(passages), "word").select("doc_id", "item_id", "opening")
-    gathered = met.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "opening")).alias("passages"))
-    shares = F.transform(F.array(T.prepared(F.col("text"))), lambda seen: F.transform("passages", lambda p: F.struct(p["item_id"].alias("item_id"), T.share_in(p["opening"], seen).alias("share"))))[0]
-    scored = docs.join(gathered, "doc_id").select("doc_id", F.explode(F.filter(shares, lambda s: s["share"] >= 0.6)).alias("s"))
-    return scored.select("doc_id", "s.item_id", "s.share")
+    docs = table(spark, folder, "documents").select("doc_id", T.prepared(F.col("text")).alias("seen"))
+    passages = table(spark, folder, "benchmark").select("item_id", T.long_words(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    held = docs.select("doc_id", F.explode(F.array_distinct(F.split("seen", " "))).alias("word"))
+    times = passages.select("item_id", F.size("tokens").alias("k"), F.explode("tokens").alias("token")).groupBy("item_id", "k", "token").agg(F.count("*").alias("times"))
+    shown = _words_showing(held.groupBy("word").agg(F.count("*").alias("docs")), times.select("token").distinct())
+    ranked = times.join(shown.groupBy("token").agg(F.sum("docs").alias("docs")), "token", "left")
+    before = F.sum("times").over(W.partitionBy("item_id").orderBy(F.coalesce("docs", F.lit(0)), "token")) - F.col("times")
+    # ceil(0.6 k) in whole numbers
+    rarest = ranked.withColumn("before", before).where(F.col("before") < F.col("k") - F.floor((3 * F.col("k") + 4) / 5) + 1).select("item_id", "token")
+    met = held.join(shown.join(rarest, "token").select("word", "item_id").distinct(), "word").groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
+    pairs = docs.join(met, "doc_id").select("doc_id", "seen", F.explode("items").alias("item_id")).join(small(passages), "item_id")
+    return pairs.select("doc_id", "item_id", T.share_of(F.col("tokens"), F.col("seen")).alias("share")).where("share >= 0.6")
 
 
 CORROBORATION = """

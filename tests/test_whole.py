@@ -69,3 +69,29 @@ def test_words_and_pairs_of_addresses_with_query_and_fragment(spark, tmp_path):
     assert score == {n: s for n, (_, s, _) in enumerate(ADDRESSES)}
     pairs = {r.page_id: r.pairs for r in catalogue.queries()["variant_pairs"](spark, str(tmp_path)).collect()}
     assert pairs == {n: p for n, (_, _, p) in enumerate(ADDRESSES)}
+
+
+def test_corroboration_takes_the_whole_passage(spark, sf_dir, tmp_path):
+    """Against every passage and text in Python, with texts that hold a passage's end, words with marks and a very long word."""
+    words = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta") for b in "mnopqrst"]
+    passages = [(n, " ".join(words[n : n + 20])) for n in range(5)] + [(9, "of a"), (10, "Of alpham Alpham of betan")]
+    texts = [" ".join(words[2:22]), " ".join(words[9:24]), ", ".join(words[:14]), "".join(words[:12]), " ".join(words[1:22:2]), "alpham betan!", "of", None, ""]
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def brute(docs, items):
+        for d, text in docs:
+            seen = " ".join((text or "").lower().split())
+            for i, passage in items:
+                tokens = [w for w in passage.lower().split() if len(w) >= 3]
+                share = sum(w in seen for w in tokens) / len(tokens) if tokens else 0
+                if share >= 0.6:
+                    yield d, i, round(share, 9)
+
+    found = lambda folder: sorted((r.doc_id, r.item_id, round(r.share, 9)) for r in catalogue.queries()["corroboration"](spark, folder).collect())
+    want = sorted(brute(enumerate(texts), passages))
+    assert {d for d, *_ in want} >= {0, 1, 2, 3, 5} and found(str(tmp_path)) == want
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    want = sorted(brute(docs, items))
+    assert want and found(sf_dir) == want

@@ -1,25 +1,5 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables, as ``skein.operators.storage`` keeps them."""
 
-from __future__ import annotations
+from skein.operators.storage import materialise, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set (local tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="skein-checkpoint-")
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: cuts lineage, survives lost executors, keeps size statistics."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "shared_dir"]

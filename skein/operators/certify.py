@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.emptiness import is_empty
 
+from .labels import spread_labels
 from .ranking import MOST_PATHS, rank_certified, spread_sources
 
 
@@ -102,21 +103,13 @@ def weak_fields(expected: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return stats.withColumn("weak", F.col("repeats") | F.col("field").isin(booleans)).select("field", "weak")
 
 
-def response_groups(reads: DataFrame, rounds: int = 12) -> DataFrame:
+def response_groups(reads: DataFrame) -> DataFrame:
     """Paths that read one response on one page are one source, transitively: (path, group), the group named by its
-    smallest path. Smallest-label rounds over the pairs, stopped when nothing changes."""
-    pairs = reads.select("path", F.concat_ws("\n", "url", "response").alias("read")).distinct()
-    label = pairs.select("path", F.col("path").alias("group")).distinct()
-    for n in range(rounds):
-        per_read = pairs.join(label, "path").groupBy("read").agg(F.min("group").alias("least"))
-        moved = pairs.join(per_read, "read").groupBy("path").agg(F.min("least").alias("group"))
-        if n % 3 == 2:
-            moved = moved.checkpoint() if moved.sparkSession.sparkContext.getCheckpointDir() else moved.cache()
-            changed = moved.join(label.withColumnRenamed("group", "before"), "path").where("group != before").limit(1).count()
-            if not changed:
-                return moved
-        label = moved
-    return label
+    smallest path. Each read links its paths to the smallest of them; labels spread over those links until they settle."""
+    pairs = reads.where("path IS NOT NULL").select("path", F.concat_ws("\n", "url", "response").alias("read")).distinct()
+    least = pairs.groupBy("read").agg(F.min("path").alias("root"))
+    labels = spread_labels(pairs.join(least, "read").select(F.col("path").alias("leaf"), "root"))
+    return pairs.select("path").distinct().join(labels.withColumnRenamed("node", "path"), "path", "left").select("path", F.coalesce("label", "path").alias("group"))
 
 
 def drift_class(flags: DataFrame) -> DataFrame:

@@ -89,6 +89,12 @@ def test_response_groups_are_transitive(spark):
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d"}
 
 
+def test_response_groups_follow_long_chains(spark):
+    reads = [(f"p{n:02}", f"u{n + k}", "r") for n in range(50) for k in (0, 1)] + [("z", "u99", "r")]
+    got = {r.path: r.group for r in certify.response_groups(spark.createDataFrame(reads, "path string, url string, response string")).collect()}
+    assert got == {f"p{n:02}": "p00" for n in range(50)} | {"z": "z"}
+
+
 @pytest.mark.parametrize(
     "flags, kind",
     [

@@ -1,12 +1,15 @@
 """Packing documents into fixed windows of tokens by best-fit decreasing.
 
 A document's tokens are cut into full windows first; what is left (or a short document) is one piece. Pieces are
-dealt by hash into blocks of bounded size, and each block is packed on its own: pieces in decreasing length, each
-into the tightest open window that still holds it, found in a segment tree indexed by remaining capacity. Token
-ids never move between tasks: their digest, or the ids themselves where asked for, are made where the text is
-read. White space separates tokens of the vocabulary, so a task encodes each distinct word once.
-
-Null text is empty (just the end token); repeated rows give repeated pieces; empty tables give no rows.
+numbered where they are stored and dealt by their number into blocks of bounded size, whatever their documents; each
+block is packed on its own: pieces in decreasing length, each into the tightest open window that still holds it,
+found in a segment tree indexed by remaining capacity. Token ids never move between tasks: their digest, or the ids
+themselves where asked for, are made where the text is read. White space separates tokens of the vocabulary, so a
+task encodes each distinct word once.
+
+Defined results: null text is empty (just the end token); ids of any type, null among them, come back as they are;
+repeated rows give repeated pieces; pieces of equal length keep the order of their numbers; a text of any length is
+encoded whole, alone in its group; other columns are not read, so their names cannot clash; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .storage import materialise
 
+NUMBER = "piece_number"
+
 #: Pieces packed together on average; a task holds one block.
 BLOCK = 8192
 #: Distinct words whose ids a Python worker keeps; beyond that it forgets them and goes on.
@@ -201,20 +205,23 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def pack(rows: DataFrame, window: int = 2048) -> DataFrame:
-    """Add sequence_id and offset to pieces with columns start, length and doc_id. ``rows`` must be stored."""
+    """Add sequence_id and offset to stored pieces with the columns length and ``NUMBER`` (distinct longs, dropped here)."""
     blocks = max(1, -(-rows.count() // BLOCK))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    out = [f for f in rows.schema if f.name != NUMBER]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)
 
-    def one_block(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        names, offsets = best_fit_decreasing(block["length"].to_numpy(), window)
-        return block.assign(sequence_id=(key[0] << 32) + names, offset=offsets)[out]
+    def one_block(key: tuple, block: pa.Table) -> pa.Table:
+        # Arrow tables keep 64-bit ids beside nulls as they are
+        block = block.sort_by([("length", "descending"), (NUMBER, "ascending")])
+        names, offsets = best_fit_decreasing(block.column("length").to_numpy(), window)
+        placed = block.select([f.name for f in out])
+        return placed.append_column("sequence_id", pa.array((key[0].as_py() << 32) + names)).append_column("offset", pa.array(offsets))
 
-    out = [*rows.columns, "sequence_id", "offset"]
-    dealt = rows.groupBy(F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)).alias("block"))
-    return dealt.applyInPandas(one_block, f"{schema}, sequence_id long, offset long")
+    dealt = rows.groupBy(F.pmod(F.xxhash64(NUMBER), F.lit(blocks)).alias("block"))
+    return dealt.applyInArrow(one_block, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Every piece of every document with its place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return pack(materialise(pieces(docs, tokenizer_path, window, end_id, id_col, text_col, with_ids), "pieces"), window)
+    cut = pieces(docs, tokenizer_path, window, end_id, id_col, text_col, with_ids)
+    return pack(materialise(cut.withColumn(NUMBER, F.monotonically_increasing_id()), "pieces"), window)

@@ -1,10 +1,11 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skein.llm.packing import WordEncoder, best_fit_decreasing, pack_documents
@@ -76,5 +77,26 @@ def test_best_fit_decreasing_by_search():
         used[names[i]] += lengths[i]
 
 
+@pytest.mark.parametrize("column, kind", [([None, (1 << 53) + 1, (1 << 63) - 1, 1, 1], "long"), ([None, "a", "b", "", ""], "string")])
+def test_ids_come_back_as_they_are(spark, column, kind):
+    docs = spark.createDataFrame([(i, "one two") for i in column], f"doc_id {kind}, text string").coalesce(1)
+    assert Counter(r.doc_id for r in pack_documents(docs, PATH).collect()) == Counter(column)
+
+
+def test_many_pieces_of_one_id_spread_over_blocks(spark, monkeypatch):
+    from skein.llm import packing
+
+    monkeypatch.setattr(packing, "BLOCK", 50)
+    docs = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("some words here").alias("text"))
+    blocks = pack_documents(docs, PATH).groupBy(F.shiftright("sequence_id", 32)).count().collect()
+    assert len(blocks) == 20 and max(r["count"] for r in blocks) < 100
+
+
+def test_clashing_names_and_a_long_text(spark):
+    docs = spark.createDataFrame([(1, "a b " * 40_000, 5, "x")], "doc_id long, text string, length long, offset string")
+    got = pack_documents(docs, PATH).collect()
+    assert sum(r.length for r in got) == got[0].doc_tokens and all(r.length == 2048 for r in got[:-1])
+
+
 def test_empty_table(nothing):
     assert pack_documents(nothing, PATH).count() == 0

@@ -1,17 +1,19 @@
 r"""Chat formatting, with DataFrame functions only.
 
-A message is an ordered array of typed parts: struct<kind, text, uri, units>. A visitor (one ``transform`` over
-the parts) turns text into escaped text and image, audio and document parts into placeholders numbered through
-the conversation, recording each attachment's uri, position and expanded token count.
+A message is an ordered array of typed parts: struct<kind, text, uri, units>. A visitor goes over the parts: text parts
+up to the next attachment are joined and then escaped, so that nothing can form across their borders; image, audio and
+document parts become placeholders numbered through the conversation, and each attachment's uri, number and expanded
+token count are recorded.
 
 The template marks turns as ``[INST]role\ntext[/INST]`` and assistant turns as ``<s>text</s>``. Wherever a text
 or a role holds a control string, its first character gets a backslash behind it (one more if some are there
 already), so no text contains a control string and removing one backslash gives the text back.
 
 Defined results: null text, role, kind and parts are empty or no text; a null units counts as 1; unknown kinds are
-text; rows of equal turn are ordered by role, then text; an empty table gives no rows. A conversation becomes one
-string, so its rows meet in one task; there they are ordered by Spark's external sort, and no other rows are
-needed with them.
+text; rows of equal turn are ordered by role, then text, and repeated rows are repeated turns; a null conversation id
+is one conversation; texts of any length are formatted whole; only the named columns are read, so other columns cannot
+clash; an empty table gives no rows. A conversation becomes one string, so its rows meet in one task; there they are
+ordered by Spark's external sort, and no other rows are needed with them.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ _TAILS = r"(?:INST\]|/INST\]|s>|/s>|image:|audio:|document:)"
 #: Tokens that one unit stands for: image tiles, seconds of audio, document pages.
 TOKENS_PER_UNIT = {"image": 256, "audio": 25, "document": 768}
 
+#: A placeholder; texts hold none unescaped.
+_MARK = r"<(?:image|audio|document):\d+>"
+
 PARTS = "array<struct<kind:string,text:string,uri:string,units:long>>"
 
 
@@ -72,14 +77,18 @@ def format_turns(messages: DataFrame) -> DataFrame:
     before = ordered.rowsBetween(W.unboundedPreceding, -1)
     numbered = base.withColumn("position", F.row_number().over(ordered) - 1).withColumn("first", F.coalesce(F.sum("attached").over(before), F.lit(0)))
 
-    def visit(part, n):
-        # the placeholder carries the number of attachments before it in the conversation
-        earlier = F.size(F.filter(F.slice("parts", 1, n), _is_attachment))
-        mark = F.concat(F.lit("<"), part["kind"], F.lit(":"), (F.col("first") + earlier).cast("string"), F.lit(">"))
-        return F.when(_is_attachment(part), mark).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+    # places of the attachments, with one before and one behind all parts: a run of text lies between two of them
+    places = F.filter(F.transform("parts", lambda p, n: F.when(_is_attachment(p), n)), lambda n: n.isNotNull())
+    numbered = numbered.withColumn("edges", F.concat(F.array(F.lit(-1)), places, F.array(F.size("parts"))))
+    texts = F.transform("parts", lambda p: F.coalesce(p["text"], F.lit("")))
+
+    def visit(k):
+        low, high = F.element_at("edges", k + 1), F.element_at("edges", k + 2)
+        run = escape(F.array_join(F.slice(texts, low + 2, high - low - 1), ""))
+        mark = F.concat(F.lit("<"), F.element_at("parts", high + 1)["kind"], F.lit(":"), (F.col("first") + k).cast("string"), F.lit(">"))
+        return F.when(k < F.col("attached"), F.concat(run, mark)).otherwise(run)
 
-    one = F.size("parts") == 1
-    body = F.when(one & (F.col("attached") == 0), escape(F.coalesce(F.col("parts")[0]["text"], F.lit("")))).otherwise(F.array_join(F.transform("parts", visit), ""))
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.col("attached")), visit), "")
     assistant = F.col("role") == "assistant"
     head = F.when(assistant, F.lit("<s>")).otherwise(F.concat(F.lit("[INST]"), _escape_role(F.col("role")), F.lit("\n")))
     tail = F.when(assistant, F.lit("</s>")).otherwise(F.lit("[/INST]"))
@@ -108,7 +117,8 @@ def format_chat(messages: DataFrame) -> DataFrame:
 
 
 def read_turns(formatted: Column) -> Column:
-    """The turns of a formatted conversation of text parts, as array<struct<role, text>>."""
+    """The turns of a formatted conversation, as array<struct<role, text, marks>>: the text parts as one text, and the
+    placeholders between them."""
     found = F.regexp_extract_all(formatted, F.lit(r"(?s)\[INST\].*?\[/INST\]|<s>.*?</s>"), F.lit(0))
 
     def turn(segment):
@@ -116,8 +126,9 @@ def read_turns(formatted: Column) -> Column:
         inner = F.when(assistant, F.substr(segment, F.lit(4), F.length(segment) - 7)).otherwise(F.substr(segment, F.lit(7), F.length(segment) - 13))
         cut = F.locate("\n", inner)
         role = F.when(assistant, F.lit("assistant")).otherwise(_unescape_role(F.substr(inner, F.lit(1), cut - 1)))
-        text = F.when(assistant, inner).otherwise(F.substr(inner, cut + 1))
-        return F.struct(role.alias("role"), unescape(text).alias("text"))
+        body = F.when(assistant, inner).otherwise(F.substr(inner, cut + 1))
+        text = F.array_join(F.transform(F.split(body, _MARK), unescape), "")
+        return F.struct(role.alias("role"), text.alias("text"), F.regexp_extract_all(body, F.lit(_MARK), F.lit(0)).alias("marks"))
 
     return F.transform(found, turn)
 
@@ -127,7 +138,14 @@ def read_loss(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int")))), "")
 
 
+def text_part(text: Column) -> Column:
+    return F.struct(F.lit("text").alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("uri"), F.lit(1).cast("long").alias("units"))
+
+
+def attachment_part(kind: Column, uri: Column, units: Column) -> Column:
+    return F.struct(kind.alias("kind"), F.lit(None).cast("string").alias("text"), uri.alias("uri"), units.cast("long").alias("units"))
+
+
 def text_messages(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """Plain conversation rows as messages of one text part."""
-    part = F.struct(F.lit("text").alias("kind"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("uri"), F.lit(1).cast("long").alias("units"))
-    return rows.select("conv_id", "turn", "role", F.array(part).alias("parts"))
+    return rows.select("conv_id", "turn", "role", F.array(text_part(F.col(text_col))).alias("parts"))

@@ -13,7 +13,7 @@ from . import lm_scoring
 from .mixing import mix_plan
 from .packing import pack_documents
 from .quality import judge_documents, train
-from .secrets import find_secrets, labelled_findings, spans_text
+from .secrets import document_findings, find_secrets, seeded_findings, spans_text
 from .secrets import train as train_secrets
 from .sharding import shard_documents
 from .simhash import simhash_classes
@@ -143,7 +143,8 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(_documents(spark, sf_dir), train_secrets(labelled_findings()))
+    docs = _documents(spark, sf_dir)
+    found = find_secrets(docs, train_secrets(document_findings(docs) + seeded_findings()))
     base = found.withColumn("base", F.filter("findings", lambda f: f["kind"] != "model"))
 
     def number(kind):

@@ -3,33 +3,37 @@
 Rows are refined in narrow form only (id, length, prefix hash); a text is hashed whole only in a group that
 still has two or more rows after both cheap levels. Texts are equal when byte-identical; null counts as empty.
 Of equal texts the row with the largest id stays, null ids last; of rows that also share the id exactly one is
-kept. An empty table gives no rows. All groups are counted with map-side aggregation, and the joins back carry
-no text; groups too large for a task are broadcast to their rows, so a third of all rows in one group stays where it is.
+kept. Texts of any length are hashed whole where they lie. Carried columns keep their names; names that the result
+adds are refused. An empty table gives no rows. All groups are counted with map-side aggregation, and the joins back
+carry no text; groups too large for a task are broadcast to their rows, so a third of all rows in one group stays where
+it is.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rows import large_groups, meet_groups
 from .storage import materialise
 
 #: Characters that the prefix hash covers; the full hash always covers the whole text.
 PREFIX_CHARS = 256
 #: Rows (of 12 bytes) up to which the surviving keys are sent to every task instead of shuffled: under 10 MB.
 BROADCAST_KEYS = 500_000
-#: Groups of copies above this size, and above this share of all copies (so at most 20,000 groups), are sent to their
-#: rows rather than joined by a shuffle on the hash.
-LARGE_GROUP, LARGE_GROUPS = 1000, 20_000
+RESULT = ("doc_id", "keep_id", "group_size", "kept")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept and the columns named in ``carry``."""
+    if clash := set(carry) & set(RESULT):
+        raise ValueError(f"carried columns clash with the result's: {sorted(clash)}")
+    # carried columns travel under names of their own, so that none meets those of the refinement
+    held = {c: f"carried_{n}" for n, c in enumerate(carry)}
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(
         F.col(id_col).alias("doc_id"),
-        *[F.col(c) for c in carry],
+        *[F.col(f"`{c}`").alias(name) for c, name in held.items()],
         F.octet_length(text).alias("length"),
         F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("prefix_hash"),
         text.alias("whole_text"),
@@ -52,26 +56,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     best = F.max(F.struct("doc_id", "row")).alias("best")
     groups = materialise(hashed.groupBy("full_hash").agg(best, F.count("*").alias("group_size")), "dedup-groups")
-    rows = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     # the largest groups are few whatever the corpus; they go to the rows instead of the rows to them
-    large = F.col("group_size") > max(LARGE_GROUP, rows // LARGE_GROUPS)
-    hot = F.broadcast(groups.where(large))
-    cold = hashed.join(hot.select("full_hash"), "full_hash", "left_anti").join(groups.where(~large), "full_hash")
-    matched = hashed.join(hot, "full_hash").unionByName(cold)
-    out = ["doc_id", *carry, "keep_id", "group_size", "kept"]
+    matched = meet_groups(hashed, groups, large_groups(groups, "full_hash", "group_size"), "full_hash")
+    out = ["doc_id", *[F.col(name).alias(c) for c, name in held.items()], "keep_id", "group_size", "kept"]
     decided = matched.withColumns({"keep_id": F.col("best.doc_id"), "kept": F.col("row") == F.col("best.row")}).select(*out)
     alone = narrow.join(survivors, ["length", "prefix_hash"], "left_anti")
     alone = alone.withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     return decided.unionByName(alone.select(*out))
-
-
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, digest) -> DataFrame:
-    """The rows of ``docs`` named in ``kept`` (columns doc_id, digest), each (id, digest) once, with the columns
-    of ``docs``. Rows are told apart by id and ``digest``, a function of the row's text column, so the texts move
-    in one shuffle that the choice among repeated rows and the join share."""
-    own = docs.columns
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"), F.col(id_col).alias("doc_id"), digest.alias("digest"))
-    once = tagged.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "digest").orderBy(F.lit(0)))).where("nth = 1")
-    names = kept.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
-    return once.join(names, same, "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in own])

@@ -7,7 +7,12 @@ partitions that the same differencing combines, level by level, until one remain
 
 Slots number a shard's rows from 0 without gaps: rows fall into about sqrt(rows) hash ranges per shard, each
 range is numbered by a window and starts where the counts of the ranges before it end. A group larger than a
-shard's share stays whole; its shard then exceeds the mean by what cannot be divided. Empty tables give no rows.
+shard's share stays whole; its shard then exceeds the mean by what cannot be divided. Groups too large for a task are
+broadcast to their rows.
+
+Defined results: null ids are rows like any other, and ids of any type come back as they are; repeated rows are in one
+group and have slots of their own; texts of any length are read whole and never moved; other columns are not read, so
+names cannot clash; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rows import large_groups, meet_groups
 from .storage import materialise
 
 #: Partial partitions that one task combines at most (on average; blocks are dealt by hash).
@@ -126,8 +132,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, id_co
         ),
         "shard",
     )
-    groups = materialise(narrow.groupBy("member").agg(F.sum("size").alias("bytes")), "shard-groups")
-    placed = narrow.join(assign_groups(groups, shards), "member")
+    groups = materialise(narrow.groupBy("member").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies")), "shard-groups")
+    assigned = materialise(assign_groups(groups, shards), "shard-assigned")
+    placed = meet_groups(narrow, assigned, large_groups(groups, "member", "copies"), "member")
     # materialised: the numbering reads these rows three times and must see one assignment
     slots = number_rows(materialise(placed.drop("member"), "shard-rows"), "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -11,7 +11,18 @@ dropped with everything below it. A key with more than ``LIMIT`` fingerprints is
 the remaining bits, and what is still larger after ``LEVELS`` splits is walked as pairs of chunks: every link is
 found, and no task holds more than one bounded key at a time. Links leave a key as stars (each fingerprint to
 the smallest one it reaches there), never as all pairs. Classes are then found by label spreading with pointer
-jumping over those links, on Spark, until nothing changes.
+jumping over those links, on Spark, until nothing changes. Fingerprints and classes of very many rows are broadcast to
+them.
+
+``similar_representatives`` links by similarity instead: of the sets of ``shingle``-word shingles, the share of common ones
+must reach ``similarity``. Texts with equal sets are one node. Here a text's keys are bands of min-hashes; under a key the
+same trie walk finds the pairs within a wide Hamming budget, and of these each node's best few by min-hashes and a
+spanning forest of the best are candidates, whose sets are then compared exactly. At similarity 0.8 and the
+parameters below, a pair shares a key with probability 0.996 and is within the budget with 0.999.
+
+Defined results: null ids rank after all others; repeated rows count each; texts without words are alike; texts of any
+length are hashed whole, in blocks; names of other columns do not matter, as long as they are none of ``rows.PLACE``; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,13 +30,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.labels import spread_labels
 
+from .rows import FILE, PLACE, ROW, keep_rows, large_groups, meet_groups
 from .storage import materialise
 
 SEED = 42
@@ -36,26 +49,38 @@ LIMIT = 2048
 LEVELS = 2
 #: Rows gathered before the keys among them are walked together.
 WALK_ROWS = 40_000
+#: Pairs that the keys walked together may have at most, but for a single key.
+WALK_PAIRS = 1 << 22
+#: Bands of min-hashes and hashes of a band, the Hamming budget that goes with similarity 0.8, what min-hashes may fall short of
+#: the wanted similarity, and candidates a node keeps under a key beside the spanning forest.
+BANDS, BAND_HASHES, WIDE_BUDGET, SLACK, BEST = 14, 5, 20, 0.2, 3
 
 
-def fingerprint_of(text: bytes | None, shingle: int = 3, seed: int = SEED) -> int:
-    """The fingerprint of one text, unsigned."""
+def shingle_hashes(text: bytes | None, shingle: int = 3, seed: int = SEED) -> np.ndarray:
+    """Hashes of the shingles of a text, repeats included; none for a text without words."""
     words = (text or b"").lower().split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(joined, seed)] if words else [], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - shingle + 1
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())], dtype=np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())], dtype=np.uint64)
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint that hashes vote for, unsigned."""
     ones = np.zeros(BITS, dtype=np.int64)
-    for block in range(0, n, 1 << 16):
+    for block in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[block : block + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint_of(text: bytes | None, shingle: int = 3, seed: int = SEED) -> int:
+    """The fingerprint of one text, unsigned."""
+    return print_of(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -162,41 +187,65 @@ def _walk_keys(budget: int):
             # a chunk pair has its second chunk behind the first, marked by side 1
             turn = np.add.reduceat((sides == 0).astype(np.int64), edge) + edge
             plain = turn == stop
-            several = plain & (stop - edge > 1)
-            i, j = trie_pairs(ordered, edge[several], stop[several], budget)
-            crossed = ~plain & (turn > edge)
-            if crossed.any():
-                k, m = trie_pairs(ordered, edge[crossed], turn[crossed], budget, (turn[crossed], stop[crossed]))
-                i, j = np.r_[i, k], np.r_[j, m]
-            # equal fingerprints of different keys are one node
-            nodes, place = np.unique(ordered, return_inverse=True)
-            leaf, root = _stars(nodes, place[i], place[j])
-            return pa.RecordBatch.from_arrays([pa.array(leaf.view(np.int64)), pa.array(root.view(np.int64))], ["leaf", "root"])
-
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def take(last: bool):
-            nonlocal held, rows
-            table = pa.Table.from_batches(held)
-            keys, sides, prints = (table.column(c).to_numpy() for c in (0, 1, 2))
-            cut = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
-            held = [] if cut == len(keys) else table.slice(cut).combine_chunks().to_batches()
-            rows = len(keys) - cut
-            return (keys[:cut], sides[:cut], prints[:cut]) if cut else None
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                rows += batch.num_rows
-            if rows >= WALK_ROWS and (ready := take(False)):
-                yield links(*ready)
-        if rows and (ready := take(True)):
-            yield links(*ready)
+            leaves, roots = [], []
+            for keys_at in bounded(np.where(plain, stop - edge, np.maximum(turn - edge, stop - turn))):
+                chosen = np.zeros(len(edge), dtype=bool)
+                chosen[keys_at] = True
+                several = chosen & plain & (stop - edge > 1)
+                i, j = trie_pairs(ordered, edge[several], stop[several], budget)
+                crossed = chosen & ~plain & (turn > edge)
+                if crossed.any():
+                    k, m = trie_pairs(ordered, edge[crossed], turn[crossed], budget, (turn[crossed], stop[crossed]))
+                    i, j = np.r_[i, k], np.r_[j, m]
+                # equal fingerprints of different keys are one node
+                low, high = int(edge[keys_at.start]), int(stop[keys_at.stop - 1])
+                nodes, place = np.unique(ordered[low:high], return_inverse=True)
+                leaf, root = _stars(nodes, place[i - low], place[j - low])
+                leaves.append(leaf), roots.append(root)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (leaves, roots)], ["leaf", "root"])
+
+        for keys, sides, prints in whole_keys(batches):
+            yield links(keys, sides, prints)
 
     return run
 
 
+def bounded(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of keys (of ``sizes`` rows) with at most ``WALK_PAIRS`` pairs together, or one key."""
+    low, total = 0, 0
+    for n, pairs in enumerate((sizes.astype(np.int64) ** 2).tolist()):
+        if n > low and total + pairs > WALK_PAIRS:
+            yield slice(low, n)
+            low, total = n, 0
+        total += pairs
+    if len(sizes):
+        yield slice(low, len(sizes))
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of the rows of about ``WALK_ROWS`` rows' keys at a time; the first column is the key, in order."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def take(last: bool):
+        nonlocal held, rows
+        table = pa.Table.from_batches(held)
+        keys = table.column(0).to_numpy()
+        cut = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
+        held = [] if cut == len(keys) else table.slice(cut).combine_chunks().to_batches()
+        rows = len(keys) - cut
+        return [table.column(c).slice(0, cut).to_numpy() for c in range(table.num_columns)] if cut else None
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= WALK_ROWS and (ready := take(False)):
+            yield ready
+    if rows and (ready := take(True)):
+        yield ready
+
+
 def _blocks(low: int, high: int, parts: int) -> list[tuple[int, int]]:
     edges = [low + (high - low) * k // parts for k in range(parts + 1)]
     return list(zip(edges[:-1], edges[1:]))
@@ -250,10 +299,11 @@ def _split_again(over: DataFrame, blocks: list[tuple[int, int]], parts: int) ->
 def _chunk_pairs(over: DataFrame) -> DataFrame:
     """Rows of keys that stay large, dealt into chunks; each pair of chunks of a key becomes a key of its own."""
     chunks = F.ceil(F.col("count") / LIMIT).cast("int")
+    rest = [c for c in over.columns if c not in ("key", "count", "path")]
     dealt = over.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int"))
-    paired = dealt.select("fingerprint", "key", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with"))
+    paired = dealt.select(*rest, "key", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with"))
     low, high = F.least("chunk", "with"), F.greatest("chunk", "with")
-    return paired.select(F.xxhash64("key", low, high).alias("key"), F.when(F.col("chunk") > F.col("with"), 1).otherwise(0).alias("side"), "fingerprint")
+    return paired.select(F.xxhash64("key", low, high).alias("key"), F.when(F.col("chunk") > F.col("with"), 1).otherwise(0).alias("side"), *rest)
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -263,16 +313,167 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows stay repeated; null ids rank after all others; an empty table gives no rows.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, shingle, carry), "simhash")
-    distinct = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    distinct = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "simhash-distinct")
     classes = spread_labels(materialise(linked_prints(distinct.select("fingerprint"), budget), "simhash-links"))
     labelled = distinct.join(classes.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("label", F.coalesce("label", "fingerprint"))
-    heads = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(heads, "label").select("fingerprint", "component_id", F.col("label").alias("class_print"))
+    labelled = materialise(labelled, "simhash-labels")
+    heads = materialise(labelled.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("prints")), "simhash-heads")
+    named = meet_groups(labelled, heads.drop("prints"), large_groups(heads, "label", "prints"), "label")
+    named = materialise(named.select("fingerprint", "component_id", F.col("label").alias("class_print")), "simhash-named")
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
-    return prints.join(named, "fingerprint").select("doc_id", *carry, digits, "component_id", "class_print")
+    return meet_groups(prints, named, large_groups(distinct, "fingerprint", "copies"), "fingerprint").select("doc_id", *carry, digits, "component_id", "class_print")
+
+
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The smallest of ``BANDS * BAND_HASHES`` permuted values of the hashes each."""
+    low = np.full(len(_FACTORS), 0xFFFFFFFF, dtype=np.uint32)
+    for block in range(0, len(hashes), 1 << 13):
+        part = hashes[block : block + (1 << 13), None]
+        np.minimum(low, ((((part ^ (part >> np.uint64(31))) * _FACTORS) >> np.uint64(32)).astype(np.uint32)).min(axis=0), out=low)
+    return low
+
+
+_FACTORS = np.array([xxhash.xxh64_intdigest(b"%d" % n, SEED) | 1 for n in range(BANDS * BAND_HASHES)], dtype=np.uint64)
+
+
+def set_digest(distinct: np.ndarray) -> int:
+    """Names a set of hashes (sorted), signed."""
+    return int(np.array([xxhash.xxh64_intdigest(distinct.tobytes(), SEED)], dtype=np.uint64).view(np.int64)[0])
 
 
-def class_representatives(classes: DataFrame, digest: str) -> DataFrame:
-    """Of each class the row with the smallest id, of equal ids the smallest ``digest``: columns doc_id, digest."""
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(digest).alias("digest"))
-    return classes.groupBy("class_print").agg(F.min(key).alias("first")).select("first.doc_id", "first.digest")
+def shingle_sets(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """node and hashes (the sorted distinct shingle hashes) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(x) for x in sets], type=pa.int64()), pa.array([x.tobytes() for x in sets], type=pa.binary())], ["node", "hashes"])
+
+    return rows.select(F.col(text_col).cast("binary")).mapInArrow(run, "node long, hashes binary")
+
+
+def sketches(rows: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """doc_id and place of every row with its node, fingerprint, band keys and min-hashes."""
+    kind = rows.schema[id_col].dataType.simpleString()
+    names = ["doc_id", *PLACE, "node", "fingerprint", "bands", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            nodes, prints, bands, packed = [], [], [], []
+            for text in batch.column(3).to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                low = min_hashes(hashes)
+                nodes.append(set_digest(np.unique(hashes))), prints.append(print_of(hashes)), packed.append(low.tobytes())
+                bands.append([digest(part.tobytes(), n) for n, part in enumerate(low.reshape(BANDS, -1))])
+            signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(signed(bands).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, type=pa.int64()), pa.array(signed(prints)), lists, pa.array(packed, type=pa.binary())], names)
+
+    columns = [F.col(id_col).alias("doc_id"), *PLACE, F.col(text_col).cast("binary").alias("text")]
+    return rows.select(*columns).mapInArrow(run, f"doc_id {kind}, {FILE} long, {ROW} long, node long, fingerprint long, bands array<long>, sketch binary")
+
+
+def best_pairs(n: int, i: np.ndarray, j: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """Of the pairs (i, j) among ``n`` nodes: a spanning forest of the most alike, and each node's ``BEST`` most alike."""
+    order = np.lexsort((j, i, -alike))
+    i, j = i[order], j[order]
+    chosen = np.zeros(len(i), dtype=bool)
+    label = np.arange(n)
+    while True:
+        apart = np.flatnonzero(label[i] != label[j])
+        if not len(apart):
+            break
+        first = np.full(n, len(i))
+        np.minimum.at(first, label[i[apart]], apart)
+        np.minimum.at(first, label[j[apart]], apart)
+        best = np.unique(first[first < len(i)])
+        chosen[best] = True
+        while True:  # the joined parts take their smallest label
+            low = np.minimum(label[i[best]], label[j[best]])
+            new = label.copy()
+            np.minimum.at(new, label[i[best]], low)
+            np.minimum.at(new, label[j[best]], low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new[label]
+    ends, pair = np.r_[i, j], np.r_[np.arange(len(i)), np.arange(len(i))]
+    by_node = np.lexsort((pair, ends))
+    begins = np.flatnonzero(np.r_[True, ends[by_node][1:] != ends[by_node][:-1]]) if len(ends) else np.empty(0, dtype=np.int64)
+    nth = np.arange(len(ends)) - np.repeat(begins, np.diff(np.r_[begins, len(ends)]))
+    chosen[pair[by_node][nth < BEST]] = True
+    return order[chosen]
+
+
+def _walk_similar(budget: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sides, prints, nodes, packed in whole_keys(batches):
+            ordered = prints.view(np.uint64)
+            sketch = np.frombuffer(b"".join(packed), dtype=np.uint32).reshape(len(keys), -1)
+            edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            stop = np.r_[edge[1:], len(keys)]
+            turn = np.add.reduceat((sides == 0).astype(np.int64), edge) + edge
+            for a, t, b in zip(edge.tolist(), turn.tolist(), stop.tolist()):
+                one = lambda *x: np.array(x)
+                if t == b:
+                    i, j = trie_pairs(ordered, one(a), one(b), budget)
+                elif t > a:
+                    i, j = trie_pairs(ordered, one(a), one(t), budget, (one(t), one(b)))
+                else:
+                    continue
+                alike = np.concatenate([np.empty(0), *[(sketch[i[k : k + 50_000]] == sketch[j[k : k + 50_000]]).mean(axis=1) for k in range(0, len(i), 50_000)]])
+                i, j, alike = i[alike >= least], j[alike >= least], alike[alike >= least]
+                best = best_pairs(b - a, i - a, j - a, alike)
+                if len(best):
+                    x, y = nodes[i[best]], nodes[j[best]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["leaf", "root"])
+
+    return run
+
+
+def candidate_pairs(nodes: DataFrame, budget: int, least: float) -> DataFrame:
+    """Distinct pairs (leaf, root) of nodes that share a key, are within the budget and look alike enough."""
+    keyed = materialise(nodes.select("node", F.explode("bands").alias("key")), "similar-keys")
+    shared = keyed.groupBy("key").count().where("count > 1")
+    live = materialise(keyed.join(shared, "key"), "similar-live")
+    full = live.join(nodes.select("node", "fingerprint", "sketch"), "node").select("key", "count", "fingerprint", "node", "sketch")
+    few = full.where(F.col("count") <= LIMIT).select("key", F.lit(0).alias("side"), "fingerprint", "node", "sketch")
+    rows = few.unionByName(_chunk_pairs(full.where(F.col("count") > LIMIT)))
+    walked = rows.repartition("key").sortWithinPartitions("key", "side", F.expr("fingerprint < 0"), "fingerprint")
+    return walked.mapInArrow(_walk_similar(budget, least), "leaf long, root long").distinct()
+
+
+def share_common(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets given as sorted hashes."""
+
+    @F.pandas_udf("double")
+    def share(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(xs, ys):
+            p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(both / max(len(p) + len(q) - both, 1))
+        return pd.Series(out, dtype=float)
+
+    return share(a, b)
+
+
+def similar_representatives(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = WIDE_BUDGET) -> DataFrame:
+    """Places of one row of each class of similar texts: the one with the smallest id (null last), of equal ids the one that
+    lies first. ``rows`` are ``numbered``."""
+    told = materialise(sketches(rows, id_col, text_col, shingle), "similar-sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *PLACE)
+    # of equal sets, one keeps the others' place: equal sets have equal fingerprints, bands and min-hashes
+    nodes = told.groupBy("node").agg(F.min(first).alias("first"), F.any_value("fingerprint").alias("fingerprint"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    nodes = materialise(nodes, "similar-nodes")
+    pairs = materialise(candidate_pairs(nodes, budget, similarity - SLACK), "similar-pairs")
+    involved = pairs.select(F.explode(F.array("leaf", "root")).alias("node")).distinct()
+    there = nodes.join(involved, "node", "left_semi").select("first.*").select(*PLACE)
+    own = rows.select(*PLACE, F.col(text_col).alias("text"))
+    sets = materialise(shingle_sets(keep_rows(own, there), "text", shingle), "similar-sets")
+    met = pairs.join(sets.withColumnsRenamed({"node": "leaf", "hashes": "left"}), "leaf").join(sets.withColumnsRenamed({"node": "root", "hashes": "right"}), "root")
+    links = materialise(met.where(share_common(F.col("left"), F.col("right")) >= similarity).select("leaf", "root"), "similar-links")
+    labels = spread_labels(links)
+    labelled = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return labelled.groupBy("label").agg(F.min("first").alias("first")).select(*[F.col(f"first.{c}").alias(c) for c in PLACE])

@@ -3,6 +3,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
+import pytest
+from pyspark.sql import functions as F
+
+from skein.llm import rows as R
 from skein.llm import sharding
 from skein.llm.sharding import karmarkar_karp, shard_documents
 
@@ -52,5 +56,37 @@ def test_differencing_beats_greedy_and_adds_up():
         assert total.max() - total.min() <= max(greedy) - min(greedy)
 
 
+def test_one_block_against_plain_differencing(spark):
+    """All groups fit one block: the shards' totals are those of differencing the groups by hand."""
+    rng = np.random.default_rng(6)
+    rows = [(n, "y" * int(s) + str(n % 50)) for n, s in enumerate(rng.integers(1, 500, 300))]
+    size = Counter()
+    for _, t in rows:
+        size[t] += len(t) + 16
+    parts = [sorted([float(v)] + [0.0] * 5, reverse=True) for v in size.values()]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1] - p[0])
+        a, b = parts.pop(0), parts.pop(0)
+        parts.append(sorted((x + y for x, y in zip(a, reversed(b))), reverse=True))
+    got = Counter()
+    for r in shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=6).collect():
+        got[r.shard] += r["size"]
+    spread = max(got.values()) - min(got.values())
+    assert sum(got.values()) == sum(size.values()) and spread <= max(parts[0][0] - parts[0][-1], 40)
+
+
+@pytest.mark.parametrize("large", [1000, 5])
+def test_a_third_of_all_rows_with_one_text(spark, monkeypatch, large):
+    monkeypatch.setattr(R, "LARGE_GROUP", large)
+    rows = [(n, "same" if n % 3 == 0 else f"text {n}") for n in range(900)]
+    check(shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect(), rows, 4)
+
+
+@pytest.mark.parametrize("column, kind", [([None, (1 << 53) + 1, (1 << 63) - 1, 1], "long"), ([None, "a", "b", ""], "string")])
+def test_ids_come_back_as_they_are(spark, column, kind):
+    docs = spark.createDataFrame([(i, f"x{n}", 5) for n, i in enumerate(column)], f"doc_id {kind}, text string, slot long").coalesce(1)
+    assert sorted(map(str, (r.doc_id for r in shard_documents(docs, shards=3).collect()))) == sorted(map(str, column))
+
+
 def test_empty_table(nothing):
     assert shard_documents(nothing).count() == 0

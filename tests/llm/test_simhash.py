@@ -6,8 +6,12 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
+from skein.llm import rows as R
 from skein.llm import simhash
-from skein.llm.simhash import class_representatives, fingerprint_of, simhash_classes, spread_labels, trie_pairs
+from skein.llm.rows import keep_rows, numbered
+from skein.llm.simhash import best_pairs, fingerprint_of, simhash_classes, similar_representatives, spread_labels, trie_pairs
 
 
 def slow_fingerprint(text):
@@ -96,12 +100,94 @@ def test_long_chains_get_one_label(spark):
     assert set(got[n] for n in range(301)) == {0} and got[1001] == 1000
 
 
-def test_one_representative_a_class(awkward):
-    from pyspark.sql import functions as F
+def test_large_groups_and_bounded_walks(awkward, monkeypatch):
+    want = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash_classes(awkward).collect())
+    monkeypatch.setattr(R, "LARGE_GROUP", 1)
+    monkeypatch.setattr(simhash, "WALK_PAIRS", 3)
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash_classes(awkward).collect()) == want
+
+
+@pytest.mark.parametrize("column, kind", [([None, (1 << 53) + 1, (1 << 63) - 1, 1], "long"), ([None, "a", "b", ""], "string")])
+def test_ids_come_back_as_they_are(spark, column, kind):
+    docs = spark.createDataFrame([(i, "x y z") for i in column], f"doc_id {kind}, text string").coalesce(1)
+    assert sorted(map(str, (r.doc_id for r in simhash_classes(docs).collect()))) == sorted(map(str, column))
+
+
+def slow_set(text, n=5):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return frozenset(" ".join(words[i : i + n]) for i in range(len(words) - n + 1)) or frozenset([" ".join(words)] if words else [])
+
+
+def slow_similar(rows):
+    """First rows of the classes of rows (id, text) linked at similarity 0.8, over all pairs."""
+    sets = sorted({slow_set(t) for _, t in rows}, key=sorted)
+    parent = {x: x for x in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if len(a & b) >= 0.8 * len(a | b):
+            parent[find(b)] = find(a)
+    first = {}
+    for i, t in rows:
+        c, key = find(slow_set(t)), (i is None, i or 0)
+        first[c] = min(first.get(c, key), key)
+    return sorted(first.values())
+
+
+def edited(rng, words, pool, changes):
+    out = list(words)
+    for at in rng.integers(0, len(out), changes):
+        out[at] = str(rng.choice(pool))
+    return out
 
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    classes = simhash_classes(awkward.withColumn("d", digest), carry=("d",))
-    assert class_representatives(classes, "d").count() == classes.select("class_print").distinct().count()
+
+@pytest.mark.parametrize("limit", [2048, 6])
+def test_similar_classes_against_all_pairs(spark, monkeypatch, limit):
+    """Chains and clouds of edited texts of many lengths, also with keys so small that they are cut into chunk pairs."""
+    monkeypatch.setattr(simhash, "LIMIT", limit)
+    rng = np.random.default_rng(9)
+    pool = [f"w{n}" for n in range(5000)]
+    rows, n = [], 0
+    for size in (30, 80, 200, 200, 600, 1500):
+        words = [str(w) for w in rng.choice(pool, size)]
+        for step in range(12):
+            rows.append((n, " ".join(words)))
+            n += 1
+            rows.append((n, " ".join(edited(rng, words, pool, max(1, size // 120)))))
+            n += 1
+            if step % 4 == 3:
+                words = edited(rng, words, pool, max(1, size // 90))
+    rows += [(n + k, " ".join(rng.choice(pool, 60))) for k in range(40)]
+    rows += [(None, rows[0][1]), (900, ""), (901, None), (902, " \n"), (903, "one two"), (904, "One  two"), (905, rows[3][1].upper())]
+    docs = numbered(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in keep_rows(docs, similar_representatives(docs)).collect())
+    assert got == slow_similar(rows)
+
+
+def test_best_pairs_span_what_is_linked():
+    rng = np.random.default_rng(3)
+    i, j = np.triu_indices(40, 1)
+    near = rng.random(len(i)) < 0.1
+    i, j, alike = i[near], j[near], rng.integers(80, 100, near.sum()) / 100
+    chosen = best_pairs(40, i, j, alike)
+
+    def parts(edges):
+        label = list(range(40))
+        for a, b in edges:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+        return label
+
+    assert parts(zip(i, j)) == parts(zip(i[chosen], j[chosen])) and len(chosen) <= 4 * 40
+
+
+def test_similar_rows_of_an_empty_table(nothing):
+    assert similar_representatives(numbered(nothing)).count() == 0
 
 
 def test_empty_table(nothing):

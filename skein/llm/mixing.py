@@ -6,7 +6,7 @@ the corpus: keys fall into about sqrt(rows) ranges per source, ranges get a pref
 and only the range that holds the cut is sorted. What leaves is one cut per source, so the documents themselves
 are never shuffled: each row compares its key with its source's cut.
 
-Defined results: null text has size 0; null source is a source of its own and sorts last; a null id hashes as
+Defined results: texts of any length are counted whole; null text has size 0; null source is a source of its own and sorts last; a null id hashes as
 ''; rows with equal ids share a key and split what is left at the cut evenly; an empty table gives no rows.
 Columns that clash with the added ones are replaced in ``mix_plan`` and untouched in ``mix_documents``.
 """
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.operators.relational import small
+
 from .storage import materialise
 from .words import count_words
 
@@ -126,7 +128,7 @@ def mix_plan(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id",
     """One row per document: doc_id, size, source_size, target and the words the mix takes of it."""
     narrow = materialise(_narrow(docs, id_col, text_col, source_col, spec), "mix")
     cuts = materialise(source_cuts(narrow, source_targets(narrow, spec)), "mix-cuts")
-    return narrow.join(cuts, "source_key").select("doc_id", "size", "source_size", "target", _taken().alias("taken"))
+    return narrow.join(small(cuts), "source_key").select("doc_id", "size", "source_size", "target", _taken().alias("taken"))
 
 
 def mix_documents(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -141,7 +143,7 @@ def mix_documents(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc
         _source_key(F.col(source_col)).alias("source_key"),
         _mix_key(F.col(id_col), spec.seed).alias("mix_key"),
         count_words(F.col(text_col)).alias("size"),
-    ).join(cuts, "source_key")
+    ).join(small(cuts), "source_key")
     taken = keyed.withColumn("taken", _taken()).withColumn("part", F.col("taken") - F.col("epochs") * F.col("size"))
     whole = F.array_repeat(F.lit(None).cast("long"), F.greatest(F.col("epochs"), F.when(F.col("size") == 0, 1).otherwise(0)).cast("int"))
     parts = F.when(F.col("part") <= 0, whole).otherwise(F.concat(whole, F.array(F.when(F.col("part") < F.col("size"), F.col("part")))))

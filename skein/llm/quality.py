@@ -4,8 +4,11 @@ The trees are grown here on labelled rows from binned statistics, with monotonic
 and flattened into node arrays that numpy walks for a whole batch at once. A document is kept if it passes the
 base rules (at least 10 words, at most 20% of them in repeated 5-word windows) and the trees find it good.
 
-Null text has no words. Statistics cover whole texts. A table without usable labels gives a model that keeps all
-that passes the base rules; empty tables give no rows.
+Defined results: null text has no words. Statistics cover whole texts of any length. Repeated rows are judged alike; a
+repeated id gives the sample all its rows; of splits that gain equally the first statistic's lowest is taken. Ids of
+any type come back as they are; other columns are not read in ``judge_documents`` and kept as they are in
+``keep_good``, so names cannot clash. A table without usable labels gives a model that keeps all that passes the base
+rules; empty tables give no rows.
 """
 
 from __future__ import annotations

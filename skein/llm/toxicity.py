@@ -7,8 +7,11 @@ the states by attention, and a text scores as its highest window. It is trained
 labelled documents; the counts behind the inputs come from the other half of that sample while training, so that
 the network meets rare words as it will meet them later. Probabilities are calibrated on a part held out of it.
 
-Only texts are inputs. Null and empty texts are one window without words; repeated rows score alike; without
-labels of both kinds every text scores the share of toxic labels; empty tables give no rows.
+Only texts are inputs. Null and empty texts are one window without words; repeated rows score alike; a repeated id
+gives the sample one text, the smallest; an id labelled twice is toxic if one label says so; null ids and labels other
+than 0 and 1 are not learnt from; ids of any type come back as they are; texts of any length are scored whole, and a
+very long one enters the sample as stretches from all of it; without labels of both kinds every text scores the share
+of toxic labels; other columns are not read, so names cannot clash; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ WINDOW, STRIDE = 64, 48
 HIDDEN, INPUTS = 8, 5
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
-#: Labelled documents of each kind in the training sample, chosen by hash, and the bytes of the longest that is used.
-SAMPLE, SAMPLE_BYTES = 2000, 16_000
+#: Labelled documents of each kind in the training sample, chosen by hash. One with more characters than the second number
+#: enters as that many, in stretches evenly spread over the whole of it.
+SAMPLE, SAMPLE_CHARS, STRETCHES = 2000, 48_000, 48
 #: Distinct words whose inputs a Python worker keeps.
 CACHED_WORDS = 200_000
 
@@ -227,12 +231,15 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 48
     second = {k: np.zeros_like(v) for k, v in network.w.items()}
     step = 0
     weight_of = 1.0
+    highest: dict[int, np.ndarray] = {}
     for epoch in range(epochs):
-        for (inputs, index, sizes, owner), y in sets.values():
+        for k, ((inputs, index, sizes, owner), y) in sets.items():
             starts = np.searchsorted(owner, np.arange(len(y) + 1))
-            gates = network.project(inputs)
-            logit = np.concatenate([network.forward(gates, index[i : i + 2048], sizes[i : i + 2048])[0] for i in range(0, len(index), 2048)])
-            best = np.array([a + int(np.argmax(logit[a:b])) for a, b in zip(starts[:-1], starts[1:])])
+            if epoch % 2 == 0:  # the highest windows move little from one epoch to the next
+                gates = network.project(inputs)
+                logit = np.concatenate([network.forward(gates, index[i : i + 2048], sizes[i : i + 2048])[0] for i in range(0, len(index), 2048)])
+                highest[k] = np.array([a + int(np.argmax(logit[a:b])) for a, b in zip(starts[:-1], starts[1:])])
+            best = highest[k]
             positive, negative = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
             for _ in range(max(6, len(y) // batch)):
                 # equal shares of both kinds; clean texts also give windows at random, which are clean throughout
@@ -242,10 +249,10 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 48
                 want = np.concatenate((np.ones(len(p)), np.zeros(len(q) + batch // 4)))
                 used, local = np.unique(index[rows], return_inverse=True)
                 step += 1
-                for k, g in network.gradients(inputs[used], local.reshape(len(rows), WINDOW), sizes[rows], want).items():
-                    first[k] = 0.9 * first[k] + 0.1 * g
-                    second[k] = 0.99 * second[k] + 0.01 * g * g
-                    network.w[k] -= (rate * weight_of * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                for name, g in network.gradients(inputs[used], local.reshape(len(rows), WINDOW), sizes[rows], want).items():
+                    first[name] = 0.9 * first[name] + 0.1 * g
+                    second[name] = 0.99 * second[name] + 0.01 * g * g
+                    network.w[name] -= (rate * weight_of * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         weight_of *= 0.8
     model = ToxicityModel(evidence, network, (1.0, 0.0), share, True)
     # the held part meets evidence without itself; every text counts once, so the sample's share of toxic texts holds
@@ -311,11 +318,17 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """Fit on at most ``sample`` toxic and ``sample`` other labelled documents outside the held-out fifth."""
     usable = labels.where(F.col(label_col).isin(0, 1) & learns(F.col(id_col), 0)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    usable = usable.where("doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = usable.where("label = 1").orderBy(*by_hash).limit(sample).unionByName(usable.where("label = 0").orderBy(*by_hash).limit(sample))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= SAMPLE_BYTES).toPandas()
-    rows = rows.assign(mix=[zlib.crc32(b"%d" % d) for d in rows["doc_id"]]).sort_values(["mix", "doc_id", "text"], ignore_index=True)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size, part = F.length("text"), SAMPLE_CHARS // STRETCHES
+    stretch = lambda i: F.substr("text", (i * (size - part) / (STRETCHES - 1) + 1).cast("int"), F.lit(part))
+    sampled = F.when(size <= SAMPLE_CHARS, F.col("text")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), stretch), " "))
+    # one text an id, so that repeated rows do not make the sample larger
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", sampled.alias("text")).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = rows.withColumn("mix", F.crc32(F.col("doc_id").cast("string"))).withColumn("text", F.col("text").cast("binary")).toPandas()
+    rows = rows.sort_values(["mix", "doc_id"], ignore_index=True)
     return fit([bytes(t) for t in rows["text"]], rows["label"].to_numpy(dtype=float))
 
 

@@ -97,3 +97,22 @@ def test_no_labels_keeps_what_passes(awkward, nothing, spark):
 
 def test_one_direction_for_every_feature():
     assert len(FEATURES) == len(statistics_of(b"")) - 5
+
+
+def test_verdicts_of_the_query_against_a_plain_walk(spark, sf_dir):
+    """``kept`` by walking each tree node by node over the statistics."""
+    from skein.llm.quality import FEATURES, statistics_of, train
+    from skein.llm.queries import op8_quality
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in op8_quality(spark, sf_dir).collect():
+        stats = dict(zip(["n", "c", "s", "d", "r", *FEATURES], statistics_of(texts[r.doc_id])))
+        x, odds = [stats[f] for f in FEATURES], model.base
+        for at in model.roots:
+            while model.feature[at] >= 0:
+                at = model.left[at] + (x[model.feature[at]] > model.threshold[at])
+            odds += model.value[at]
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+        assert r.kept == (not r.base_failed and odds >= 0)

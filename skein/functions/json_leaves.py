@@ -109,10 +109,37 @@ def stable_json(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
+#: How deep objects and lists are entered for their keys, and how many of them.
+KEY_DEPTH, KEY_NODES = 10, 50_000
+
+
+def _keys(body: str | None) -> list[str]:
+    try:
+        todo = [(json.loads(body), 0)] if body else []
+    except ValueError:
+        return []
+    keys: dict[str, None] = {}
+    entered = 0
+    while todo and entered <= KEY_NODES:
+        value, depth = todo.pop()
+        if not isinstance(value, (dict, list)) or depth > KEY_DEPTH:
+            continue
+        entered += 1
+        if isinstance(value, dict):
+            keys.update((k.lower(), None) for k in value)
+            value = value.values()
+        todo.extend((v, depth + 1) for v in reversed(list(value)))
+    return list(keys)
+
+
 def key_set(body: Column) -> Column:
-    """Distinct lower-case keys of a document, ten levels deep."""
-    steps = F.flatten(F.transform(leaves(body, Walk(depth=10, items=50)), lambda leaf: F.split(leaf["path"], r"\[\d+\]\.?|\.")))
-    return F.array_distinct(F.filter(F.transform(steps, F.lower), lambda k: k != ""))
+    """Distinct lower-case keys of a document, those of empty and null values too."""
+
+    @F.pandas_udf("array<string>")
+    def read(bodies: pd.Series) -> pd.Series:
+        return bodies.map(_keys)
+
+    return read(body)
 
 
 def object_url(json_text: Column) -> Column:

@@ -28,16 +28,26 @@ def is_secret_key(key: Column) -> Column:
     return F.coalesce(~quantity & (named | F.array_join(words, "").rlike(SECRET_ENDINGS)), F.lit(False))
 
 
-_NAMES = r"[\w.-]*(?:password|passwd|pwd|passphrase|secret|token|authorization|cookie|session|jwt|otp|credential|signature|api[_-]?key|access[_-]?key|private[_-]?key)s?"
+_NAME = r"[A-Za-z_][\w.-]*"
+_SIGN = r"\s*(?:=|:|%3[DdAa])\s*"
+#: What stands behind a name: quoted, a list, or up to the next mark; a mask, or a scheme whose token is masked already, stays.
+_QUOTED = r'"(?:[^"\\]|\\.)*"'
+_VALUE = r"(?!\*\*\*|(?:bearer|basic)\b)(?:'[^']*'|\[[^\]]*\]|[^\s&\"',;}\])<>]+)"
 
 
 def redact_text(text: Column, longest: int = 10_000) -> Column:
-    """Masks user information in addresses, values of secret names (``name=value``, ``name: value``, JSON) and bearer or
-    basic tokens; then cuts to ``longest``. Names of quantities (``tokenCount``) stay readable."""
+    """Masks user information in addresses (also percent-encoded), bearer and basic tokens, and the value of every name
+    that ``is_secret_key`` calls a secret (``name=value``, ``name: value``, JSON); then cuts to ``longest``."""
     masked = F.regexp_replace(text, r"(?i)\b([a-z][a-z0-9+.-]{0,30}://)[^\s/?#@]*@", f"$1{MASK}@")
+    masked = F.regexp_replace(masked, r"(?i)\b([a-z][a-z0-9+.-]{0,30}%3A%2F%2F)[^\s/?#@&]*?%40", f"$1{MASK}%40")
     masked = F.regexp_replace(masked, r"(?i)\b(bearer|basic)\s+[A-Za-z0-9+/_.~=-]{6,}", f"$1 {MASK}")
-    masked = F.regexp_replace(masked, rf'(?i)("{_NAMES}"\s*:\s*)("(?:[^"\\]|\\.)*"|[\d.]+|\[[^\]]*\])', f'$1"{MASK}"')
-    masked = F.regexp_replace(masked, rf"(?i)(?<![\w.-])({_NAMES}\s*[=:]\s*)['\"]?(?!\*\*\*|(?:bearer|basic)\b)[^\s&\"',;}}\])<>]+['\"]?", f"$1{MASK}")
+    # the names that stand before a sign are judged one by one; a pattern of the secret ones masks their values
+    named = F.array_distinct(F.regexp_extract_all(masked, F.lit(rf"(?<![\w.-])({_NAME})[\"']?{_SIGN}"), F.lit(1)))
+    secret = F.array_join(F.transform(F.filter(named, is_secret_key), lambda n: F.replace(n, F.lit("."), F.lit("\\."))), "|")
+    head = F.concat(F.lit(r"(?<![\w.-])([\"']?(?:"), secret, F.lit(rf")[\"']?{_SIGN})"))
+    quoted = F.regexp_replace(masked, F.concat(head, F.lit(_QUOTED)), F.lit(f'$1"{MASK}"'))
+    plain = F.regexp_replace(quoted, F.concat(F.lit("(?i)"), head, F.lit(_VALUE)), F.lit(f"$1{MASK}"))
+    masked = F.when(secret != "", plain).otherwise(masked)
     return F.when(F.length(masked) > longest, F.concat(F.substring(masked, 1, longest), F.lit("…"))).otherwise(masked)
 
 

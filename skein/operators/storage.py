@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set (local tests)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set and Spark runs in
+    one process (tests); a cluster without a shared folder is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="skein-checkpoint-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cells, exports, matches, pages, relational, values, work
+from . import cells, checks, exports, matches, pages, relational, values, work
 
-FAMILIES = (relational, cells, values, pages, exports, work, matches)
+FAMILIES = (relational, cells, values, pages, exports, work, matches, checks)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

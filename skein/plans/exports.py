@@ -25,7 +25,7 @@ def _variants(spark, folder):
 
 
 _VARIANTS = """
-WITH p AS (SELECT o_orderkey, 'https://x.example/p/' || o_orderkey AS key, o_orderstatus FROM orders WHERE o_orderkey < 3000),
+WITH p AS (SELECT o_orderkey, 'https://x.example/p/' || o_orderkey AS key, o_orderstatus FROM orders),
 l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, 'S' || l_partkey, CASE WHEN l_quantity < 45 THEN l_returnflag END NULLS FIRST) - 1 AS pos FROM lineitem),
 v AS (SELECT o_orderkey, key, o_orderstatus, pos, CASE WHEN pos IS NOT NULL THEN 'S' || l_partkey END AS sku, CASE WHEN pos IS NULL THEN 'own' WHEN l_quantity < 45 THEN l_returnflag END AS flag,
   CAST(l_quantity AS VARCHAR) AS size, pos IS NOT NULL AND l_quantity >= 45 AS partial FROM p LEFT JOIN l ON l_orderkey = o_orderkey)
@@ -127,7 +127,7 @@ def insert_missing(spark, folder):
     return X.insert_missing(supplier, more, ["id"])
 
 
-INSERT_MISSING = "SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey < 150 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)"
+INSERT_MISSING = "SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)"
 
 
 def ordered_snapshot(spark, folder):

@@ -8,7 +8,7 @@ from skein.functions import html as H
 from skein.functions import urls as U
 from skein.operators import contract
 from skein.operators import pages as P
-from skein.operators.ranking import WEIGHTS, analysis_sources, dense_window, hits
+from skein.operators.ranking import API_URL_WORDS, CONFIG_KEYS, NEGATIVE_URL_WORDS, PRODUCT_KEYS, PRODUCT_URL_WORDS, RELATION_URL_WORDS, WEIGHTS, analysis_sources, dense_window, hits, request_score
 from skein.sources.tables import table
 
 _PARTS = r"""
@@ -54,7 +54,14 @@ def variant_pairs(spark, folder):
     return pages.select("page_id", F.array_join(pairs, "&").alias("pairs"))
 
 
-VARIANT_PAIRS = "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'color=Red&size=M' ELSE '' END AS pairs FROM pages WHERE url NOT LIKE '%#%'"
+VARIANT_PAIRS = _PARTS + rf"""
+, a AS (SELECT page_id, list_concat(CASE WHEN page_id % 3 = 0 THEN list_append(pairs, 'color=Red') ELSE pairs END, CASE WHEN page_id % 3 = 0 THEN ['size=M'] ELSE [] END,
+  CASE WHEN regexp_matches(ref, '^[A-Za-z_][\w.-]*=[^&]*(&[A-Za-z_][\w.-]*=[^&]*)*$') THEN string_split(ref, '&') ELSE [] END) AS every FROM s),
+p AS (SELECT page_id, unnest(every) AS p, unnest(range(len(every))) AS n FROM a),
+k AS (SELECT page_id, split_part(p, '=', 1) AS k, arg_max(regexp_replace(p, '^[^=]*=?', ''), n) AS v FROM p
+  WHERE trim(split_part(p, '=', 1)) <> '' AND trim(regexp_replace(p, '^[^=]*=?', '')) <> '' AND NOT regexp_matches(split_part(p, '=', 1), '{U.NOISE_KEYS}') GROUP BY 1, 2)
+SELECT page_id, coalesce(string_agg(k || '=' || v, '&' ORDER BY k), '') AS pairs FROM pages LEFT JOIN k USING (page_id) GROUP BY 1
+"""
 
 
 def page_text(spark, folder):
@@ -201,7 +208,29 @@ def request_words(spark, folder):
     return table(spark, folder, "pages").select("page_id", score.cast("long").alias("score"))
 
 
-REQUEST_WORDS = "SELECT page_id, CAST(4 * 2 + 2 - 30 AS BIGINT) AS score FROM pages WHERE url NOT LIKE '%#%' AND url NOT LIKE '%?%'"
+_LISTS = {name: "[" + ", ".join(f"'{w}'" for w in words) + "]" for name, words in (("product", PRODUCT_URL_WORDS), ("api", API_URL_WORDS), ("relation", RELATION_URL_WORDS))}
+REQUEST_WORDS = _PARTS + rf"""
+, w AS (SELECT page_id, list_distinct(list_filter(string_split_regex(lower(regexp_replace(path || '/api/productDetail/related', '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM s)
+SELECT page_id, CAST(4 * len(list_intersect(w, {_LISTS["product"]})) + 2 * len(list_intersect(w, {_LISTS["api"]})) - 30 * len(list_intersect(w, {_LISTS["relation"]})) AS BIGINT) AS score FROM w
+"""
+
+
+def request_scores(spark, folder):
+    """Scores of pages as recorded responses: words of the path, keys (those words, and three more on three pages in four)
+    and size."""
+    pages = table(spark, folder, "pages").select("page_id", "url", F.length("html").alias("size"))
+    keys = F.when(F.col("page_id") % 4 != 0, F.array_union(U.url_words(F.col("url")), F.array(F.lit("price"), F.lit("sku"), F.lit("modules")))).otherwise(F.array(F.lit("price")))
+    return pages.select("page_id", request_score(F.col("url"), keys, F.col("size")).cast("long").alias("score"))
+
+
+_MORE = {name: "[" + ", ".join(f"'{w}'" for w in words) + "]" for name, words in (("negative", NEGATIVE_URL_WORDS), ("keys", PRODUCT_KEYS), ("config", CONFIG_KEYS))}
+REQUEST_SCORES = _PARTS + rf"""
+, w AS (SELECT page_id, length(html) AS size, list_distinct(list_filter(string_split_regex(lower(regexp_replace(path, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM s),
+k AS (SELECT *, list_distinct(list_concat(w, ['price', 'sku', 'modules'])) AS keys FROM w)
+SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 0 ELSE CAST(-30 * len(list_intersect(w, {_LISTS["relation"]})) - 10 * len(list_intersect(w, {_MORE["negative"]})) + 4 * len(list_intersect(w, {_LISTS["product"]})) + 2 * len(list_intersect(w, {_LISTS["api"]}))
+  + 2 * len(list_intersect(keys, {_MORE["keys"]})) - 4 * len(list_intersect(keys, {_MORE["config"]}))
+  + CASE WHEN size > 2000 AND size < 50000 THEN 3 WHEN size > 500 AND size < 100000 THEN 2 WHEN size > 100000 THEN -2 ELSE 0 END AS BIGINT) END AS score FROM k
+"""
 
 
 def analysis_sources_query(spark, folder):
@@ -218,8 +247,12 @@ SELECT bare AS host, page_id AS seq, CAST(length(html) AS BIGINT) AS size, row_n
 def dense_windows(spark, folder):
     """The stretch of 1,000 characters of each page with the most links."""
     pages = table(spark, folder, "pages").select("page_id", F.split("html", "<a ").alias("parts"))
-    at = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.length(F.array_join(F.slice("parts", 1, i), "<a ")).cast("long"))
-    points = pages.where(F.size("parts") > 1).select("page_id", F.explode(at).alias("at"))
+    from pyspark.sql import Window as W
+
+    # a link stands behind all parts before it and the links between them
+    pieces = pages.select("page_id", F.posexplode(F.transform("parts", F.length)).alias("n", "chars"))
+    upto = W.partitionBy("page_id").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    points = pieces.withColumn("at", F.sum("chars").over(upto) + 3 * (F.col("n") - 1)).where("n > 0").select("page_id", F.col("at").cast("long").alias("at"))
     return dense_window(points, ["page_id"], "at", 1000)
 
 
@@ -288,6 +321,7 @@ QUERIES = {
     "page_parameters": (page_parameters, PAGE_PARAMETERS),
     "input_urls": (input_urls, INPUT_URLS),
     "request_words": (request_words, REQUEST_WORDS),
+    "request_scores": (request_scores, REQUEST_SCORES),
     "analysis_sources": (analysis_sources_query, ANALYSIS_SOURCES),
     "dense_windows": (dense_windows, DENSE_WINDOWS),
     "page_nodes": (page_nodes, PAGE_NODES),

@@ -190,17 +190,22 @@ LONGEST = 40
 
 
 def _words_showing(vocabulary, tokens):
-    """(word, docs, token) for each word of ``vocabulary`` (word, docs) that has a token as a substring."""
+    """(word, token) for each word of ``vocabulary`` that has a token as a substring. Only substrings as long as some
+    token are made: their lengths, few and read from the tokens, travel with every word."""
+    from skein.operators.relational import small
+
     length = F.length("word")
-    parts = F.flatten(F.transform(F.sequence(F.lit(3), length), lambda n: F.transform(F.sequence(F.lit(1), length - n + 1), lambda at: F.substring(F.col("word"), at, n))))
-    short = vocabulary.where((length >= 3) & (length <= LONGEST)).select("word", "docs", F.explode(F.array_distinct(parts)).alias("token"))
-    long = vocabulary.where(length > LONGEST).join(tokens, F.contains("word", "token"))
-    return short.join(tokens, "token").select("word", "docs", "token").unionByName(long.select("word", "docs", "token"))
+    lengths = F.broadcast(tokens.agg(F.array_sort(F.collect_set(F.length("token"))).alias("lengths")))
+    starts = lambda n: F.transform(F.sequence(F.lit(1), length - n + 1), lambda at: F.substring(F.col("word"), at, n))
+    parts = F.flatten(F.transform(F.filter("lengths", lambda n: n <= length), starts))
+    short = vocabulary.where(length <= LONGEST).join(lengths).select("word", F.explode(F.array_distinct(parts)).alias("token"))
+    long = vocabulary.where(length > LONGEST).join(small(tokens), F.contains("word", "token"))
+    return short.join(small(tokens), "token").select("word", "token").unionByName(long.select("word", "token"))
 
 
 def corroboration(spark, folder):
     """Documents whose text shows at least 0.6 of a benchmark passage's words. To show that share of k words a text must
-    hold one of any k - ceil(0.6 k) + 1 of them; documents that hold one of the rarest are looked at in full. Words meet
+    hold one of any k - ceil(0.6 k) + 1 of them; documents that hold one of the longest are looked at in full. Words meet
     passages in narrow rows, and texts come back for the pairs that met."""
     from pyspark.sql import Window as W
 
@@ -208,22 +213,21 @@ def corroboration(spark, folder):
 
     docs = table(spark, folder, "documents").select("doc_id", T.prepared(F.col("text")).alias("seen"))
     passages = table(spark, folder, "benchmark").select("item_id", T.long_words(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.split("seen", " "))).alias("word"))
     times = passages.select("item_id", F.size("tokens").alias("k"), F.explode("tokens").alias("token")).groupBy("item_id", "k", "token").agg(F.count("*").alias("times"))
-    shown = _words_showing(held.groupBy("word").agg(F.count("*").alias("docs")), times.select("token").distinct())
-    ranked = times.join(shown.groupBy("token").agg(F.sum("docs").alias("docs")), "token", "left")
-    before = F.sum("times").over(W.partitionBy("item_id").orderBy(F.coalesce("docs", F.lit(0)), "token")) - F.col("times")
-    # ceil(0.6 k) in whole numbers
-    rarest = ranked.withColumn("before", before).where(F.col("before") < F.col("k") - F.floor((3 * F.col("k") + 4) / 5) + 1).select("item_id", "token")
-    met = held.join(shown.join(rarest, "token").select("word", "item_id").distinct(), "word").groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
+    before = F.sum("times").over(W.partitionBy("item_id").orderBy(F.length("token").desc(), "token")) - F.col("times")
+    # any choice of so many words is exact; the longest stand in the fewest texts. ceil(0.6 k) in whole numbers
+    telling = times.withColumn("before", before).where(F.col("before") < F.col("k") - F.floor((3 * F.col("k") + 4) / 5) + 1).select("item_id", "token")
+    held = docs.select("doc_id", F.explode(F.array_distinct(F.split("seen", " "))).alias("word"))
+    shown = _words_showing(held.select("word").distinct(), telling.select("token").distinct())
+    met = held.join(shown.join(telling, "token").select("word", "item_id").distinct(), "word").groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
     pairs = docs.join(met, "doc_id").select("doc_id", "seen", F.explode("items").alias("item_id")).join(small(passages), "item_id")
     return pairs.select("doc_id", "item_id", T.share_of(F.col("tokens"), F.col("seen")).alias("share")).where("share >= 0.6")
 
 
 CORROBORATION = """
-WITH b AS (SELECT item_id, regexp_split_to_array(lower(text), ' ')[1:6] AS w FROM benchmark), k AS (SELECT item_id, w, list_filter(regexp_split_to_array(trim(regexp_replace(array_to_string(w, ' '), '[\\s\\x{00A0}]+', ' ', 'g')), ' '), lambda x: length(x) >= 3) AS t FROM b),
-d AS (SELECT doc_id, lower(text) AS text, regexp_split_to_array(lower(text), '\\s+') AS words, trim(regexp_replace(lower(text), '[\\s\\x{00A0}]+', ' ', 'g')) AS flat FROM documents)
-SELECT doc_id, item_id, len(list_filter(t, lambda x: contains(flat, x))) / len(t) AS share FROM d, k WHERE list_contains(words, w[1]) AND len(t) > 0 AND len(list_filter(t, lambda x: contains(flat, x))) / len(t) >= 0.6
+WITH k AS (SELECT item_id, list_filter(regexp_split_to_array(trim(regexp_replace(lower(text), '[\\s\\x{00A0}]+', ' ', 'g')), ' '), lambda x: length(x) >= 3) AS t FROM benchmark),
+d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[\\s\\x{00A0}]+', ' ', 'g')) AS flat FROM documents)
+SELECT * FROM (SELECT doc_id, item_id, len(list_filter(t, lambda x: contains(flat, x))) / len(t) AS share FROM d, k WHERE len(t) > 0) WHERE share >= 0.6
 """
 
 

@@ -28,7 +28,7 @@ def _paths(spark, folder):
 
 
 _PATHS = """
-WITH g AS (SELECT l_partkey AS field, l_suppkey AS place, count(*) FILTER (l_discount > 0.04) AS hits, count(*) FILTER (l_discount <= 0.04) AS misses FROM lineitem WHERE l_partkey < 400 GROUP BY 1, 2),
+WITH g AS (SELECT l_partkey AS field, l_suppkey AS place, count(*) FILTER (l_discount > 0.04) AS hits, count(*) FILTER (l_discount <= 0.04) AS misses FROM lineitem GROUP BY 1, 2),
 p AS (SELECT *, ['api', 'json-ld', 'meta', 'xpath', 'human'][1 + place % 5] AS source, 'p' || place AS path, place % 7 = 0 AS pinned,
   CASE WHEN misses = 0 THEN 1.0::DOUBLE ELSE hits / (hits + misses * CASE WHEN place % 2 = 0 THEN 1.0::DOUBLE ELSE 0.5 END) END AS score FROM g),
 r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY pinned DESC, source = 'human' DESC, round(score, 9) DESC, CASE source WHEN 'human' THEN 100 WHEN 'json-ld' THEN 80 WHEN 'meta' THEN 70 WHEN 'xpath' THEN 60 ELSE 40 END DESC, place) AS rank FROM p)
@@ -117,8 +117,8 @@ def enqueued(spark, folder):
 
 
 ENQUEUED = _JOBS + """
-, s AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS key FROM events WHERE event_id < 500 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1)
-SELECT id, key FROM s WHERE key NOT IN (SELECT CAST(user_id AS VARCHAR) FROM j WHERE id % 97 < 3 AND status IN ('queued', 'running'))
+, s AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS key FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1)
+SELECT id, key FROM s WHERE key NOT IN (SELECT CAST(user_id AS VARCHAR) FROM j WHERE status IN ('queued', 'running'))
 """
 
 
@@ -187,7 +187,7 @@ def due_sweep(spark, folder):
 
 DUE_SWEEP = """
 SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'paused' WHEN c_custkey % 3 = 0 THEN 'not_certified' WHEN c_custkey % 2 <> 0 THEN 'not_confirmed' WHEN c_custkey % 4 = 0 THEN 'busy' ELSE '' END AS skip_reason
-FROM customer WHERE c_custkey < 200 AND CAST(trunc(-c_acctbal) AS INTEGER) <= 0 ORDER BY CAST(trunc(-c_acctbal) AS INTEGER), c_custkey LIMIT 6
+FROM customer WHERE CAST(trunc(-c_acctbal) AS INTEGER) <= 0 ORDER BY CAST(trunc(-c_acctbal) AS INTEGER), c_custkey LIMIT 6
 """
 
 
@@ -229,7 +229,7 @@ def certified_values(spark, folder):
 
 
 CERTIFIED_VALUES = """
-WITH r AS (SELECT l_orderkey AS page, l_linenumber AS n, max(l_quantity) AS q FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1, 2)
+WITH r AS (SELECT l_orderkey AS page, l_linenumber AS n, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
 SELECT page, coalesce(CAST(CAST(arg_min(q, n) FILTER (q >= 20) AS INTEGER) AS VARCHAR), '') AS value, coalesce(min(n) FILTER (q >= 20), count(*)) AS tried, count(*) FILTER (q >= 20) > 0 AS hit FROM r GROUP BY 1
 """
 
@@ -304,7 +304,7 @@ def certify_layout(spark, folder):
 
 
 CERTIFY_LAYOUT = """
-WITH r AS (SELECT DISTINCT l_orderkey AS url, l_linenumber AS n FROM lineitem WHERE l_orderkey < 400), e AS (SELECT *, (url + n) % 3 <> 0 AS ok FROM r)
+WITH r AS (SELECT DISTINCT l_orderkey AS url, l_linenumber AS n FROM lineitem), e AS (SELECT *, (url + n) % 3 <> 0 AS ok FROM r)
 SELECT 'p' || n AS path, true AS safe, bool_and(ok) AS everywhere, count(*) FILTER (ok) AS proven_pages, CAST(0 AS BIGINT) AS wrong_pages FROM e GROUP BY n
 """
 

@@ -171,14 +171,21 @@ def matches_xpath(xpath: str) -> Column:
         name, value = last[1] or last[3], last[2] or last[4]
         attribute = F.col("attrs")[name]
         tests.append(attribute == value if last[1] else F.contains(attribute, F.lit(value)))
+    found = F.col("xpath").rlike(f"^{_steps(path)}$")
+    for test in tests:
+        found = found & F.coalesce(test, F.lit(False))
+    return found
+
+
+def _steps(path: str) -> str:
+    """The pattern of the numbered paths that the steps of ``path`` stand for."""
+    import re
+
     pattern = ""
     for gap, tag, number in re.findall(r"(//?)([\w-]+|\*)(?:\[(\d+)\])?", path):
         name = r"[\w-]+" if tag == "*" else re.escape(tag)
         pattern += (r"(?:/[\w-]+\[\d+\])*" if gap == "//" else "") + f"/{name}" + (rf"\[{number}\]" if number else r"\[\d+\]")
-    found = F.col("xpath").rlike(f"^{pattern}$")
-    for test in tests:
-        found = found & F.coalesce(test, F.lit(False))
-    return found
+    return pattern
 
 
 def xpath_value(xpath: str) -> Column:
@@ -190,15 +197,37 @@ def xpath_value(xpath: str) -> Column:
 
 def probe_xpaths(node_table: DataFrame, id_col: str, paths: list[str]) -> DataFrame:
     """(id, xpath, matches, value): for each page and path the number of nodes and the first non-empty value."""
-    probes = [
-        node_table.where(matches_xpath(p)).select(id_col, F.lit(p).alias("path"), "pos", xpath_value(p).alias("value"))
-        for p in dict.fromkeys(paths)
-    ]
-    union = probes[0]
-    for more in probes[1:]:
-        union = union.unionByName(more)
+    # every node is held against all paths in one pass, so pages are read once
+    tests = [F.when(matches_xpath(p), F.struct(F.lit(p).alias("path"), xpath_value(p).alias("value"))) for p in dict.fromkeys(paths)]
+    hits = node_table.select(id_col, "pos", F.explode(F.filter(F.array(*tests), lambda h: h.isNotNull())).alias("hit")).select(id_col, "pos", "hit.*")
     first = F.min(F.when(F.col("value").isNotNull(), F.struct("pos", "value")))
-    return union.groupBy(id_col, F.col("path").alias("xpath")).agg(F.count("*").alias("matches"), first["value"].alias("value"))
+    return hits.groupBy(id_col, F.col("path").alias("xpath")).agg(F.count("*").alias("matches"), first["value"].alias("value"))
+
+
+def extract_rows(node_table: DataFrame, id_col: str, row_path: str, fields: dict[str, str]) -> DataFrame:
+    """Rows of a list: for each node of ``row_path`` in page order, the first non-empty value of each field's path, which
+    begins at the row (``./a/@href``, ``.//span``, ``.`` for the row itself). Rows without any value go; ``item``
+    numbers those that stay from 0. A node inside nested rows belongs to the innermost."""
+    import re
+
+    from pyspark.sql import Window as W
+
+    steps = re.sub(r"\[(?:@|contains\()[^\]]*\]$", "", row_path)
+    rows = node_table.where(matches_xpath(row_path)).select(id_col, F.col("xpath").alias("row_xpath"))
+    prefix = F.regexp_extract("xpath", rf"^({_steps(steps)})(?=/|$)", 1)
+    inside = node_table.withColumn("row_xpath", prefix).where("row_xpath <> ''").join(rows, [id_col, "row_xpath"])
+    inside = inside.withColumn("xpath", F.substr("xpath", F.length("row_xpath") + 1))
+    values = []
+    for name, field in fields.items():
+        relative = field.removeprefix(".")
+        own = re.sub(r"^/(@[\w-]+|text\(\))$", "", relative) == ""
+        here = (F.col("xpath") == "") if own else matches_xpath(relative)
+        value = xpath_value(relative)
+        values.append(F.min(F.when(here & value.isNotNull() & (value != ""), F.struct("pos", value.alias("value"))))["value"].alias(name))
+    found = inside.groupBy(id_col, "row_xpath").agg(F.min("pos").alias("row_pos"), *values)
+    kept = found.where(F.coalesce(*[F.col(f"`{n}`") for n in fields]).isNotNull())
+    nth = F.row_number().over(W.partitionBy(id_col).orderBy("row_pos")) - 1
+    return kept.select(id_col, nth.alias("item"), *[F.col(f"`{n}`") for n in fields])
 
 
 def search_value(node_table: DataFrame, id_col: str, expected: DataFrame, most: int = 3) -> DataFrame:

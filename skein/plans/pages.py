@@ -290,6 +290,20 @@ UNION ALL SELECT page_id, '/html/head/meta/@charset', CAST(1 AS BIGINT), 'utf-8'
 """
 
 
+def listing_rows(spark, folder):
+    """Entries of each page's navigation as rows of a list: address, label and a field that no entry has."""
+    found = H.nodes(table(spark, folder, "pages").select("page_id", "html"), "page_id", "html")
+    rows = H.extract_rows(found, "page_id", "//nav/ul/li", {"href": "./a/@href", "label": ".//a", "price": "./span"})
+    return rows.select("page_id", F.col("item").cast("long").alias("item"), "href", "label", F.coalesce("price", F.lit("")).alias("price"))
+
+
+LISTING_ROWS = r"""
+WITH l AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav><ul>(.*?)</ul>', 1), '(?s)<li>(.*?)</li>', 1) AS l FROM pages),
+i AS (SELECT page_id, unnest(l) AS li, unnest(range(len(l))) AS item FROM l)
+SELECT page_id, item, replace(regexp_extract(li, '<a href="([^"]*)"', 1), '&amp;', '&') AS href, trim(replace(regexp_extract(li, '<a [^>]*>(.*?)</a>', 1), '&amp;', '&')) AS label, '' AS price FROM i
+"""
+
+
 def schema_drift(spark, folder):
     """Changes of a fresh extraction against the store: line states as fields, line numbers as their paths."""
     paths = table(spark, folder, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("field"), F.col("l_linenumber").alias("path")).agg(
@@ -326,5 +340,6 @@ QUERIES = {
     "dense_windows": (dense_windows, DENSE_WINDOWS),
     "page_nodes": (page_nodes, PAGE_NODES),
     "xpath_probe": (xpath_probe, XPATH_PROBE),
+    "listing_rows": (listing_rows, LISTING_ROWS),
     "schema_drift": (schema_drift, SCHEMA_DRIFT),
 }

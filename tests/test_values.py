@@ -172,7 +172,47 @@ def test_json_leaves(spark):
     assert one(spark, json_leaves.leaves(F.col("a"), json_leaves.FLATTEN), a="{broken") == []
     assert one(spark, json_leaves.by_path(F.col("a"), F.lit("c[1].e")), a=body) == "y"
     assert one(spark, json_leaves.stable_json(F.lit('{"b":1,"a":2}'))) == '{"a":2,"b":1}'
-    assert set(one(spark, json_leaves.key_set(F.col("a")), a=body)) == {"a", "b", "c", "e", "f"}
+    assert set(one(spark, json_leaves.key_set(F.col("a")), a=body)) == {"a", "b", "c", "d", "e", "f"}
+
+
+def test_key_sets_against_a_plain_walk(spark):
+    """Keys of null, empty and deep values and of every item of a long list; objects deeper than ten levels are not entered."""
+    import json
+    import random
+
+    rng = random.Random(5)
+
+    def made(depth):
+        kind = rng.randrange(6)
+        if depth > 12 or kind == 0:
+            return rng.choice([None, 1, "x", [], {}, True])
+        if kind < 3:
+            return [made(depth + 1) for _ in range(rng.choice([0, 2, 70]) if depth < 2 else rng.randint(0, 2))]
+        return {rng.choice("abcdefghiJKLMN") + str(rng.randrange(9)): made(depth + 1) for _ in range(rng.randint(0, 4))}
+
+    def walk(value, depth, out):
+        if depth <= 10 and isinstance(value, dict):
+            for k, v in value.items():
+                out.add(k.lower())
+                walk(v, depth + 1, out)
+        elif depth <= 10 and isinstance(value, list):
+            for v in value:
+                walk(v, depth + 1, out)
+        return out
+
+    documents = [made(0) for _ in range(60)] + [{"items": [{"price": 1, "sku": None, "offers": {}} for _ in range(61)], "n": []}]
+    rows = spark.createDataFrame([(n, json.dumps(d)) for n, d in enumerate(documents)] + [(999, "{broken"), (1000, None)], "n long, body string")
+    got = {r.n: set(r.k) for r in rows.select("n", json_leaves.key_set(F.col("body")).alias("k")).collect()}
+    assert got == {n: walk(d, 0, set()) for n, d in enumerate(documents)} | {999: set(), 1000: set()}
+
+
+def test_rows_of_a_list(spark):
+    page = """<ul class="p"><li class="x"><h2>One</h2><a href="/1">go</a></li><li class="x"><h2> </h2></li><li class="ad"><h2>Ad</h2></li>
+    <li class="x"><div><h2>Two</h2><h2>Later</h2></div></li></ul><ul><li class="x"><a href="">none</a><h2>Three</h2></li></ul>"""
+    nodes = html.nodes(spark.createDataFrame([(1, page), (2, "")], "id long, html string"), "id", "html")
+    got = html.extract_rows(nodes, "id", '//li[@class="x"]', {"title": ".//h2", "link": "./a/@href"}).orderBy("item").collect()
+    assert [(r.id, r["item"], r.title, r.link) for r in got] == [(1, 0, "One", "/1"), (1, 1, "Two", None), (1, 2, "Three", None)]
+    assert html.extract_rows(nodes, "id", "//ul/li[3]", {"kind": "./@class"}).collect()[0].kind == "ad"
 
 
 def test_duration_and_month(spark):

@@ -16,20 +16,27 @@ CURRENCY_NAMES = r"Rs\.?|kr|zł|Kč|Ft|lei"
 CURRENCY = rf"(?:[$€£¥₹₩₽₺₪฿₫₱]|(?:(?<![A-Za-z])(?:{CURRENCY_CODES}|{CURRENCY_NAMES})|(?<=[a-z])(?:{CURRENCY_CODES}))(?![A-Za-z]))"
 AMOUNT = r"(?:\d{1,3}(?:[.,\s\u00a0\u202f']\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?)"
 COLOURS = [
-    *("black", "white", "grey", "gray", "blue", "navy", "red", "green", "yellow", "orange", "pink", "purple", "brown", "beige", "cream", "ivory"),
-    *("silver", "gold", "tan", "khaki", "olive", "teal", "burgundy", "maroon", "charcoal", "lilac", "mint", "multicolour", "multicolor", "natural"),
-    *("light", "dark", "pale", "deep", "bright"),
+    "black", "white", "grey", "gray", "blue", "navy", "red", "green", "yellow", "orange", "pink", "purple", "brown", "beige", "cream", "ivory",
+    "silver", "gold", "tan", "khaki", "olive", "teal", "burgundy", "maroon", "charcoal", "lilac", "mint", "multicolour", "multicolor", "natural",
+    "light", "dark", "pale", "deep", "bright",
 ]
 
+# What a product's name may carry beside itself: an option label, a closing bracket, what follows the first
+# separator, and closing marks.
+OPTION_LABEL = r"^option\s*:\s*"
+CLOSING_BRACKET = r"\s*\([^)]*\)$"
+AFTER_SEPARATOR = r"^(.{3,}?)(?:\s[-–—|/]\s|,\s).*$"
+CLOSING_MARKS = r"[\s,;:.\-–—|/]+$"
+
 
 def base_name(name: Column) -> Column:
     """A product's name without what tells its colourways apart: prices, case, a closing bracket, whatever follows the
     first spaced dash, bar, slash or comma, and closing colour words."""
     plain = F.lower(F.regexp_replace(name, rf"{CURRENCY}\s?{AMOUNT}|{AMOUNT}\s?{CURRENCY}", " "))
-    tidy = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(plain, SPACES, " ")), r"^option\s*:\s*", ""), r"\s*\([^)]*\)$", "")
-    cut = F.regexp_replace(tidy, r"^(.{3,}?)(?:\s[-–—|/]\s|,\s).*$", "$1")
+    tidy = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(plain, SPACES, " ")), OPTION_LABEL, ""), CLOSING_BRACKET, "")
+    cut = F.regexp_replace(tidy, AFTER_SEPARATOR, "$1")
     coloured = F.regexp_replace(cut, rf"(?:\s+[^\p{{L}}\s]*(?:{'|'.join(COLOURS)})[^\p{{L}}\s]*)+$", "")
-    return F.regexp_replace(coloured, r"[\s,;:.\-–—|/]+$", "")
+    return F.regexp_replace(coloured, CLOSING_MARKS, "")
 
 
 def name_words(name: Column) -> Column:
@@ -79,8 +86,8 @@ CONCEPT_PATHS = {
     "review_count": ["aggregateRating.reviewCount", "reviewCount", "review_count", "ratingCount"],
     "currency": ["offers.priceCurrency", "priceCurrency", "product:price:currency", "currency", "currencyCode", "currency_code", "currencySymbol", "currency_symbol", "currencyPrefix"],
     "availability": [
-        *("offers.availability", "availability", "inStock", "in_stock", "isAvailable", "is_available", "stock", "stockStatus", "stock_status", "available", "buyable"),
-        *("purchasable", "isInStock", "is_in_stock", "availableForSale", "isBuyable", "orderable", "product:availability", "og:availability"),
+        "offers.availability", "availability", "inStock", "in_stock", "isAvailable", "is_available", "stock", "stockStatus", "stock_status", "available", "buyable",
+        "purchasable", "isInStock", "is_in_stock", "availableForSale", "isBuyable", "orderable", "product:availability", "og:availability",
     ],
 }
 

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 MASK = "***"
 # Words and word pairs that name a secret, and words of quantities, which never do.
 SECRET_WORDS = [
-    *("password", "passwd", "pwd", "pass", "passphrase", "secret", "token", "authorization", "auth", "cookie", "cookies", "session", "jwt", "otp"),
-    *("dsn", "credential", "credentials", "sig", "signature", "apikey", "privatekey", "accesskey", "signingkey", "encryptionkey", "masterkey", "connectionstring"),
+    "password", "passwd", "pwd", "pass", "passphrase", "secret", "token", "authorization", "auth", "cookie", "cookies", "session", "jwt", "otp",
+    "dsn", "credential", "credentials", "sig", "signature", "apikey", "privatekey", "accesskey", "signingkey", "encryptionkey", "masterkey", "connectionstring",
 ]
 SECRET_PAIRS = ["api key", "access key", "private key", "client secret", "signing key", "encryption key", "master key", "connection string"]
 SECRET_ENDINGS = "(token|secret|password|passwd|apikey|signature)$"
 QUANTITIES = ["count", "counts", "total", "length", "len", "size", "limit", "max", "min"]
 
+# Fixed value: where a name's words begin and end.
 _WORD = r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+"
 
 

@@ -208,11 +208,11 @@ def percent_encode(text: Column) -> Column:
 
 # Hosts of consent, analytics, testing, replay and payment services, matched with their subdomains.
 NOISE_HOSTS = [
-    *("cookielaw.org", "onetrust.com", "cookiebot.com", "trustarc.com", "didomi.io", "usercentrics.eu"),
-    *("googletagmanager.com", "google-analytics.com", "segment.io", "segment.com", "mixpanel.com", "amplitude.com", "heap.io", "scorecardresearch.com"),
-    *("optimizely.com", "launchdarkly.com", "split.io"),
-    *("hotjar.com", "fullstory.com", "mouseflow.com", "logrocket.com"),
-    *("affirm.com", "klarna.com", "afterpay.com", "clearpay.co.uk", "sezzle.com", "zip.co", "paypal.com"),
+    "cookielaw.org", "onetrust.com", "cookiebot.com", "trustarc.com", "didomi.io", "usercentrics.eu",
+    "googletagmanager.com", "google-analytics.com", "segment.io", "segment.com", "mixpanel.com", "amplitude.com", "heap.io", "scorecardresearch.com",
+    "optimizely.com", "launchdarkly.com", "split.io",
+    "hotjar.com", "fullstory.com", "mouseflow.com", "logrocket.com",
+    "affirm.com", "klarna.com", "afterpay.com", "clearpay.co.uk", "sezzle.com", "zip.co", "paypal.com",
 ]
 # Paths of the same services on a page's own host.
 NOISE_PATHS = r"/optimizely/|(?i:/otFlat\.json$)|(?i:/otPcPanel\.json$)"

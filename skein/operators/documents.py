@@ -15,8 +15,8 @@ from skein.functions.emptiness import is_filled
 VARIANT_KEYS = ["color", "size", "capacity", "finish", "material", "pattern", "quantity", "sku", "mpn", "productid", "price", "offers", "options", "selectedoptions"]
 AXES = ["color", "size", "material", "pattern"]
 ENTITY_TOKENS = [
-    *("name", "title", "price", "description", "sku", "image", "brand", "category", "availability", "rating", "review", "color"),
-    *("size", "variant", "option", "product", "weight", "dimension", "model", "ingredient", "material", "currency"),
+    "name", "title", "price", "description", "sku", "image", "brand", "category", "availability", "rating", "review", "color",
+    "size", "variant", "option", "product", "weight", "dimension", "model", "ingredient", "material", "currency",
 ]
 
 

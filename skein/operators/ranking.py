@@ -106,16 +106,16 @@ def even_sample(pool: DataFrame, keys: Sequence[str], order: Sequence[str], most
 PRODUCT_URL_WORDS = ["product", "products", "item", "items", "listing", "listings", "detail", "details", "pdp", "catalog", "sku", "price", "prices", "search"]
 API_URL_WORDS = ["api", "graphql", "v1", "v2", "v3", "rest"]
 NEGATIVE_URL_WORDS = [
-    *("log", "logs", "logger", "logevent", "track", "tracking", "beacon", "telemetry", "metrics", "analytics", "ping", "collect"),
-    *("auth", "session", "token", "login", "consent", "config", "configs", "configuration", "flag", "flags", "feature", "features"),
+    "log", "logs", "logger", "logevent", "track", "tracking", "beacon", "telemetry", "metrics", "analytics", "ping", "collect",
+    "auth", "session", "token", "login", "consent", "config", "configs", "configuration", "flag", "flags", "feature", "features",
 ]
 RELATION_URL_WORDS = [
-    *("relation", "relations", "related", "relationinfo", "recommend", "recommends", "recommended", "recommendation", "recommendations"),
-    *("similar", "alsobought", "alsoviewed", "crosssell", "upsell", "bestseller", "bestsellers", "sponsored", "advertising", "ads"),
+    "relation", "relations", "related", "relationinfo", "recommend", "recommends", "recommended", "recommendation", "recommendations",
+    "similar", "alsobought", "alsoviewed", "crosssell", "upsell", "bestseller", "bestsellers", "sponsored", "advertising", "ads",
 ]
 PRODUCT_KEYS = [
-    *("price", "pricing", "title", "name", "productname", "description", "image", "imageurl", "images", "rating", "review", "reviews", "reviewcount"),
-    *("sku", "upc", "gtin", "mpn", "brand", "manufacturer", "model", "availability", "instock", "stock", "category", "seller", "shipping", "currency"),
+    "price", "pricing", "title", "name", "productname", "description", "image", "imageurl", "images", "rating", "review", "reviews", "reviewcount",
+    "sku", "upc", "gtin", "mpn", "brand", "manufacturer", "model", "availability", "instock", "stock", "category", "seller", "shipping", "currency",
 ]
 CONFIG_KEYS = ["featureflags", "experiments", "modules", "layout", "zones", "components", "template", "templates", "slots", "placeholders"]
 WEIGHTS = {"product_word": 4, "api_word": 2, "negative_word": -10, "relation_word": -30, "product_key": 2, "config_key": -4, "sweet": 3, "plausible": 2, "oversized": -2}

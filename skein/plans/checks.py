@@ -60,8 +60,8 @@ SELECT lpad(CAST(n AS VARCHAR), 9, '0') AS path, lpad(CAST(greatest(n // 50 * 50
 """
 
 _NAMES = [
-    *("auth", "pass", "sig", "dsn", "sessions", "session", "apiKey", "tokenCount", "design", "db_password", "x-api-key", "dedupeKey", "maxTokens", "client.secret"),
-    *("signingKey", "passCount", "author", "cookie", "page", "limit", "jwt", "author_token", "passenger", "connectionString", "compass"),
+    "auth", "pass", "sig", "dsn", "sessions", "session", "apiKey", "tokenCount", "design", "db_password", "x-api-key", "dedupeKey", "maxTokens", "client.secret",
+    "signingKey", "passCount", "author", "cookie", "page", "limit", "jwt", "author_token", "passenger", "connectionString", "compass",
 ]
 
 

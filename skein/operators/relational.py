@@ -118,3 +118,25 @@ def floor_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: di
     position = lambda q: F.least(F.floor(F.lit(q) * F.col("n")), F.col("n") - 1)
     picks = [F.min(F.when((F.col("_upto") > position(q)) & (F.col("_upto") - F.col("_c") <= position(q)), F.col(value))).alias(name) for name, q in shares.items()]
     return sorted_in.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+
+
+def merge_maps(old: Column, new: Column) -> Column:
+    """Keys of both maps; where both have one, the value of ``new`` stands, a null too. A null map is an empty one."""
+    told = F.coalesce(F.map_keys(new), F.array().cast("array<string>"))
+    nothing = F.create_map().cast("map<string,string>")
+    return F.map_zip_with(F.coalesce(old, nothing), F.coalesce(new, nothing), lambda k, a, b: F.when(F.array_contains(told, k), b).otherwise(a))
+
+
+def sum_maps(rows: DataFrame, keys: Sequence[str], counts: str) -> DataFrame:
+    """Maps of counts added up key by key: a partial sum per name before anything moves, one map a group at the end."""
+    names = rows.select(*keys, F.explode(counts).alias("_name", "_count"))
+    sums = names.groupBy(*keys, "_name").agg(F.sum("_count").alias("_count"))
+    return sums.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_name", "_count")))).alias(counts))
+
+
+def concatenated(rows: DataFrame, keys: Sequence[str], order: Sequence[str], items: str) -> DataFrame:
+    """The arrays ``items`` of each group one after another, in order, as rows: keys, item (from 0), value. Empty and null
+    arrays add nothing."""
+    exploded = rows.select(*keys, *order, F.posexplode(items).alias("_pos", "value"))
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy(*order, "_pos")) - 1
+    return exploded.select(*keys, nth.cast("long").alias("item"), "value")

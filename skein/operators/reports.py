@@ -66,6 +66,19 @@ def cost_usd(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return joined.withColumns({"cost_usd": F.coalesce(units / 1e6, F.lit(0.0)), "known": F.col("input_price").isNotNull()})
 
 
+COUNTERS = ("input", "output", "cache_write", "cache_read", "requests")
+
+
+def usage_difference(before: DataFrame, after: DataFrame, key: str = "model") -> DataFrame:
+    """What the counters of ``after`` grew by since ``before``, per model; models that are new count whole, and those
+    without new requests, input or output are left out. Both tables have one row a model."""
+    from .relational import small
+
+    earlier = small(before.select(key, *[F.col(c).alias(f"_{c}") for c in COUNTERS]))
+    grown = after.join(earlier, key, "left").select(key, *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in COUNTERS])
+    return grown.where("requests > 0 OR input > 0 OR output > 0")
+
+
 SEVERITY = ("blocked", "wrong-page", "pagination", "dead-link", "extraction")
 
 

@@ -17,6 +17,7 @@ from skein.operators import documents as DOC
 from skein.operators import export as X
 from skein.operators import extract as E
 from skein.operators import queue as Q
+from skein.operators import relational as R
 from skein.operators import reports
 from skein.sources.tables import table
 
@@ -364,6 +365,60 @@ SELECT l_orderkey, field, b.value AS value, CASE WHEN n = 1 THEN 750 ELSE CAST(f
 """
 
 
+def usage_growth(spark, folder):
+    """Lines as a ledger of tokens per supplier: what the later half of the order numbers added."""
+    lines = table(spark, folder, "lineitem")
+    sums = [F.sum(F.col(c).cast("long")).alias(n) for c, n in (("l_quantity", "input"), ("l_linenumber", "output"), ("l_suppkey", "cache_write"), ("l_partkey", "cache_read"))]
+    ledger = lambda rows: rows.groupBy(F.col("l_suppkey").alias("model")).agg(*sums, F.count("*").alias("requests"))
+    return reports.usage_difference(ledger(lines.where("l_orderkey % 8 < 4 and l_suppkey % 3 <> 0")), ledger(lines.where("l_suppkey % 3 = 0 or l_suppkey % 5 <> 0 or l_orderkey % 8 < 4")))
+
+
+USAGE_GROWTH = """
+WITH l AS (SELECT l_suppkey AS model, CAST(l_quantity AS BIGINT) AS q, l_linenumber AS n, l_suppkey AS s, l_partkey AS p, l_orderkey % 8 < 4 AND l_suppkey % 3 <> 0 AS early FROM lineitem WHERE l_suppkey % 3 = 0 OR l_suppkey % 5 <> 0 OR l_orderkey % 8 < 4)
+SELECT model, CAST(sum(q) AS BIGINT) AS input, CAST(sum(n) AS BIGINT) AS output, CAST(sum(s) AS BIGINT) AS cache_write, CAST(sum(p) AS BIGINT) AS cache_read, count(*) AS requests FROM l WHERE NOT early GROUP BY 1
+"""
+
+
+def summed_counts(spark, folder):
+    """Counts of events by type, kept as a map per user and day, added up per user."""
+    daily = table(spark, folder, "events").groupBy("user_id", F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    maps = daily.groupBy("user_id", "day").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("counts"))
+    text = F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return R.sum_maps(maps, ["user_id"], "counts").select("user_id", text.alias("counts"))
+
+
+SUMMED_COUNTS = """
+WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counts FROM n GROUP BY 1
+"""
+
+
+def merged_settings(spark, folder):
+    """Settings of customers over those of their segment: the customer's own stand."""
+    default = F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("limit"), F.lit("10"))
+    own = F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("limit"), F.col("c_custkey").cast("string"))).when(F.col("c_custkey") % 3 == 1, F.create_map(F.lit("note"), F.lit(None).cast("string")))
+    merged = table(spark, folder, "customer").select("c_custkey", R.merge_maps(default, own).alias("m"))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-")))), ",")
+    return merged.select("c_custkey", text.alias("settings"))
+
+
+MERGED_SETTINGS = """
+SELECT c_custkey, 'limit=' || CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE '10' END || CASE WHEN c_custkey % 3 = 1 THEN ',note=-' ELSE '' END || ',segment=' || c_mktsegment AS settings FROM customer
+"""
+
+
+def concatenated_rows(spark, folder):
+    """Lines of orders as arrays, one after another per customer in order of date."""
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("rows"))
+    orders = table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    joined = R.concatenated(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "rows")
+    return joined.select("o_custkey", "item", F.col("value.l_partkey").alias("l_partkey"))
+
+
+CONCATENATED_ROWS = """
+SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey, l_linenumber, l_partkey) - 1 AS item, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+"""
+
+
 QUERIES = {
     "key_sets": (key_sets, KEY_SETS),
     "response_groups": (response_groups, RESPONSE_GROUPS),
@@ -390,4 +445,8 @@ QUERIES = {
     "merged_rows": (merged_rows, MERGED_ROWS),
     "representatives": (representatives, REPRESENTATIVES),
     "agreed_values": (agreed_values, AGREED_VALUES),
+    "usage_growth": (usage_growth, USAGE_GROWTH),
+    "summed_counts": (summed_counts, SUMMED_COUNTS),
+    "merged_settings": (merged_settings, MERGED_SETTINGS),
+    "concatenated_rows": (concatenated_rows, CONCATENATED_ROWS),
 }

@@ -5,12 +5,18 @@ from __future__ import annotations
 import json
 import zipfile
 from collections.abc import Iterable, Sequence
+from itertools import chain, islice
 from xml.sax.saxutils import escape as xml_escape
 
+import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import materialise
+
 BOM = "﻿"
 
 
@@ -123,15 +129,24 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_json_envelope(df: DataFrame, path: str, run: dict, source: dict | None) -> None:
-    """The envelope {run, source, fields, rows}, indented by two blanks, written row by row from the iterator."""
-    head = json.dumps({"run": run, "source": source, "fields": df.columns}, indent=2, ensure_ascii=False)[:-2]
-    with open(path, "w", encoding="utf-8") as out:
-        out.write(head + ',\n  "rows": [')
-        for n, row in enumerate(json_rows(df).toLocalIterator(prefetchPartitions=True)):
-            text = json.dumps(json.loads(row["value"]), indent=2, ensure_ascii=False).replace("\n", "\n    ")
-            out.write(("," if n else "") + "\n    " + text)
-        out.write("\n  ]\n}")
+def write_json_envelope(df: DataFrame, path: str, run: dict, source: dict | None, order: Sequence[str] = ()) -> None:
+    """The envelope {run, source, fields, rows}, indented by two blanks, as text parts in one folder: ``head``, the rows'
+    parts and ``tail``, which make the document one after another. No row passes the driver. Rows are numbered where
+    they are stored, so that only the last goes without a comma."""
+
+    @F.pandas_udf("string")
+    def indented(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda row: "    " + json.dumps(json.loads(row), indent=2, ensure_ascii=False).replace("\n", "\n    "))
+
+    spark = df.sparkSession
+    numbered = json_rows(df.orderBy(*order) if order else df).withColumn("n", F.monotonically_increasing_id())
+    stored = materialise(numbered, "envelope")
+    last = stored.agg(F.max("n")).first()[0]
+    comma = F.when(F.col("n") == F.lit(last), F.lit("")).otherwise(F.lit(","))
+    stored.orderBy("n").select(F.concat(indented(F.col("value")), comma).alias("value")).write.mode("append").text(path)
+    head = json.dumps({"run": run, "source": source, "fields": df.columns}, indent=2, ensure_ascii=False)[:-2] + ',\n  "rows": ['
+    for name, line in (("head", head), ("tail", "  ]\n}")):
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{path}/{name}")
 
 
 def _sheet_cell(value, numeric: bool) -> str:
@@ -145,44 +160,78 @@ def _sheet_cell(value, numeric: bool) -> str:
     return f'<c t="inlineStr"><is><t xml:space="preserve">{xml_escape(str(value))}</t></is></c>'
 
 
-def write_xlsx(df: DataFrame, path: str, types: dict[str, str] | None = None, most_rows: int = 1_048_575) -> int:
-    """A workbook with one sheet ``Data``: bold frozen header, number and money columns as numbers. A sheet holds about
-    a million rows; more is refused before anything is written. Returns the number of rows."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    texts = df.select(*[cell_text(F.col(f"`{c}`"), kinds[c]).alias(c) for c in df.columns])
-    if df.count() > most_rows:
-        raise ValueError(f"a sheet holds at most {most_rows} rows")
-    numeric = [(types or {}).get(c) in ("number", "money") for c in df.columns]
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    package = "http://schemas.openxmlformats.org/package/2006"
-    sheet_type = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    parts = {
-        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
-        f'<Override PartName="/xl/workbook.xml" ContentType="{sheet_type}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{sheet_type}.worksheet+xml"/>'
-        f'<Override PartName="/xl/styles.xml" ContentType="{sheet_type}.styles+xml"/></Types>',
-        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="Data" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/>'
-        f'<Relationship Id="r2" Type="{office}/styles" Target="styles.xml"/></Relationships>',
-        "xl/styles.xml": f'<styleSheet xmlns="{main}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders>'
-        '<cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>',
-    }
-    head = "".join(f'<c s="1" t="inlineStr"><is><t>{xml_escape(c)}</t></is></c>' for c in df.columns)
-    written = 0
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
-        for name, text in parts.items():
-            book.writestr(name, '<?xml version="1.0" encoding="UTF-8"?>' + text)
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_SHEET_TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+_XML = '<?xml version="1.0" encoding="UTF-8"?>'
+# The parts that a workbook of one sheet must have.
+_WORKBOOK = {
+    "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+    f'<Override PartName="/xl/workbook.xml" ContentType="{_SHEET_TYPE}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{_SHEET_TYPE}.worksheet+xml"/>'
+    f'<Override PartName="/xl/styles.xml" ContentType="{_SHEET_TYPE}.styles+xml"/></Types>',
+    "_rels/.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": f'<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets><sheet name="Data" sheetId="1" r:id="r1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_OFFICE}/worksheet" Target="worksheets/sheet1.xml"/>'
+    f'<Relationship Id="r2" Type="{_OFFICE}/styles" Target="styles.xml"/></Relationships>',
+    "xl/styles.xml": f'<styleSheet xmlns="{_MAIN}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders>'
+    '<cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>',
+}
+
+
+def _workbook(rows: Iterable[str], columns: Sequence[str], out) -> None:
+    head = "".join(f'<c s="1" t="inlineStr"><is><t>{xml_escape(c)}</t></is></c>' for c in columns)
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, text in _WORKBOOK.items():
+            book.writestr(name, _XML + text)
         with book.open("xl/worksheets/sheet1.xml", "w") as sheet:
-            sheet.write(
-                f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{main}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews>'
-                f"<sheetData><row>{head}</row>".encode()
-            )
-            for row in texts.toLocalIterator():
-                sheet.write(("<row>" + "".join(_sheet_cell(v, n) for v, n in zip(row, numeric)) + "</row>").encode())
-                written += 1
+            pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews>'
+            sheet.write(f'{_XML}<worksheet xmlns="{_MAIN}">{pane}<sheetData><row>{head}</row>'.encode())
+            for row in rows:
+                sheet.write(row.encode())
             sheet.write(b"</sheetData></worksheet>")
-    return written
+
+
+def write_xlsx(df: DataFrame, folder: str, types: dict[str, str] | None = None, most_rows: int = 1_048_575) -> int:
+    """Workbooks with one sheet ``Data`` in a folder (a path or address that all executors reach): bold frozen header,
+    number and money columns as numbers. Each task writes its own rows, a new workbook after ``most_rows``, first
+    under a name of the attempt, then by renaming. Returns the number of rows; an empty table is one empty workbook."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    columns = df.columns
+    numeric = [(types or {}).get(c) in ("number", "money") for c in columns]
+    texts = df.select(*[cell_text(F.col(f"`{c}`"), kinds[c]).alias(f"c{n}") for n, c in enumerate(columns)])
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        place, target = FileSystem.from_uri(folder)
+        lines = ("<row>" + "".join(map(_sheet_cell, values, numeric)) + "</row>" for batch in batches for values in zip(*[c.to_pylist() for c in batch.columns]))
+        written = books = 0
+        while (first := next(lines, None)) is not None:
+            counted = 0
+
+            def some(first=first):
+                nonlocal counted
+                for line in chain([first], islice(lines, most_rows - 1)):
+                    counted += 1
+                    yield line
+
+            name = f"{target}/part-{task.partitionId():05d}-{books:03d}.xlsx"
+            attempt = f"{target}/_{task.taskAttemptId()}-{books:03d}.tmp"
+            with place.open_output_stream(attempt) as out:
+                _workbook(some(), columns, out)
+            place.move(attempt, name)
+            written, books = written + counted, books + 1
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([written], pa.int64())})
+
+    place, target = FileSystem.from_uri(folder)
+    place.create_dir(target, recursive=True)
+    total = texts.mapInArrow(write, "rows long").agg(F.sum("rows")).first()[0] or 0
+    if total == 0:
+        with place.open_output_stream(f"{target}/part-00000-000.xlsx") as out:
+            _workbook([], columns, out)
+    return total
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], version: str) -> DataFrame:

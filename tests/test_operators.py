@@ -190,14 +190,17 @@ def test_files(spark, tmp_path):
     header = next((tmp_path / "csv/header").glob("*.txt")).read_bytes().decode()
     body = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "csv").glob("*.txt")))
     assert header == "﻿id,name,price\r\n" and body == '1,"a,""b""",2\r\n2,,2.5\r\n'
-    export.write_json_envelope(frame, str(tmp_path / "x.json"), {"id": "r"}, None)
-    envelope = json.loads((tmp_path / "x.json").read_text())
-    assert envelope["fields"] == ["id", "name", "price"] and envelope["rows"][1] == {"id": 2, "name": None, "price": 2.5}
-    assert export.write_xlsx(frame, str(tmp_path / "x.xlsx"), {"price": "money"}) == 2
-    sheet = zipfile.ZipFile(tmp_path / "x.xlsx").read("xl/worksheets/sheet1.xml").decode()
+    for name, some in (("some", frame.repartition(3)), ("none", frame.where("id > 9"))):
+        export.write_json_envelope(some, str(tmp_path / name), {"id": "r"}, None, ["id"])
+        folders = [tmp_path / name / "head", tmp_path / name, tmp_path / name / "tail"]
+        envelope = json.loads("".join(p.read_text() for f in folders for p in sorted(f.glob("*.txt"))))
+        assert envelope["fields"] == ["id", "name", "price"] and len(envelope["rows"]) == some.count()
+        assert name == "none" or envelope["rows"][1] == {"id": 2, "name": None, "price": 2.5}
+    assert export.write_xlsx(frame, str(tmp_path / "x"), {"price": "money"}) == 2
+    sheet = zipfile.ZipFile(tmp_path / "x/part-00000-000.xlsx").read("xl/worksheets/sheet1.xml").decode()
     assert "<c><v>2.0</v></c>" in sheet and "a,\"b\"" in sheet.replace("&quot;", '"') and sheet.count("<row>") == 3
-    with pytest.raises(ValueError):
-        export.write_xlsx(frame, str(tmp_path / "y.xlsx"), most_rows=1)
+    assert export.write_xlsx(frame, str(tmp_path / "y"), most_rows=1) == 2 and len(list((tmp_path / "y").glob("*.xlsx"))) == 2
+    assert export.write_xlsx(frame.where("id > 9"), str(tmp_path / "z")) == 0 and len(list((tmp_path / "z").glob("*.xlsx"))) == 1
     (tmp_path / "in.csv").write_bytes(b'a,b\r\n"x ""y""\nz",1\r\n ,\r\nq,2\r\n')
     assert [(r.a, r.b) for r in tables.csv_rows(spark, str(tmp_path / "in.csv")).collect()] == [('x "y"\nz', "1"), ("q", "2")]
 

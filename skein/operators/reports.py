@@ -103,21 +103,29 @@ def representative(pages: DataFrame, shape: str, order: str, value: str) -> Data
     return groups.agg(F.max_by(F.struct(shape, "pages", value), F.struct("pages", -F.col("first"))).alias("g")).select("g.*")
 
 
-def path_conflicts(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
+def path_conflicts(paths: DataFrame, keys: Sequence[str], label: str | None = None, tolerance: float = 0.05) -> DataFrame:
     """Fields where two or more paths hold a value, none protected, all last read on one address (paths without one
-    count anywhere), and the values differ beyond tolerance. Values are compared with the neighbours in sorted order,
-    numbers by size and texts by letters: if no neighbours differ, all agree within the chain."""
-    from skein.functions.numbers import leading_number, nearly_equal
+    count anywhere), not all of them candidates with labels of their own, and some two values differ (``nearly_equal``).
+    Which two does not matter, so groups are added up: of positive numbers the largest and the smallest differ most, a
+    text differs from all else, a zero from any other number that is not above it."""
+    from skein.functions.numbers import leading_number
 
     valued = paths.where(F.col("last_value").isNotNull())
+    text = F.lower(F.trim("last_value"))
     number = leading_number(F.regexp_replace("last_value", r"[^0-9.\-]", ""))
-    order = W.partitionBy(*keys).orderBy(number, F.lower("last_value"))
-    before = F.lag("last_value").over(order)
-    apart = valued.withColumn("_apart", before.isNotNull() & ~nearly_equal(before, F.col("last_value")))
-    stats = apart.groupBy(*keys).agg(
-        F.count("*").alias("paths"), F.count_distinct("last_url").alias("urls"), F.max(F.coalesce("protected", F.lit(False))).alias("guarded"), F.max("_apart").alias("differs")
+    read = valued.select("*", text.alias("_text"), number.alias("_number"))
+    labelled = F.lit(False) if label is None else F.count_distinct(label) == F.count("*")
+    high, low = F.max("_number"), F.min("_number")
+    stats = read.groupBy(*keys).agg(
+        F.count("*").alias("paths"), F.count_distinct("last_url").alias("urls"), F.max(F.coalesce("protected", F.lit(False))).alias("guarded"), labelled.alias("labelled"),
+        F.count_distinct("_text").alias("values"),
+        F.max(F.col("_number").isNull()).alias("plain"),
+        F.coalesce((high > 0) & ((high - low) / high >= tolerance), F.lit(False)).alias("apart"),
+        F.count_distinct(F.when(F.col("_number") == 0, F.col("_text"))).alias("zeros"),
+        F.count_distinct(F.when(F.col("_number") <= 0, F.col("_text"))).alias("unsigned"),
     )
-    return stats.where("paths >= 2 AND urls <= 1 AND NOT guarded AND differs").select(*keys, "paths")
+    differs = (F.col("values") >= 2) & (F.col("plain") | F.col("apart") | ((F.col("zeros") > 0) & (F.col("unsigned") >= 2)))
+    return stats.where((F.col("paths") >= 2) & (F.col("urls") <= 1) & ~F.col("guarded") & ~F.col("labelled") & differs).select(*keys, "paths")
 
 
 def attention(checks: DataFrame, source: str, recent: int = 5) -> DataFrame:

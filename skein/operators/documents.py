@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from skein.functions.emptiness import is_filled
 # Keys that make an entry of a list a variant, and tokens that an entity's keys hold.
 VARIANT_KEYS = ["color", "size", "capacity", "finish", "material", "pattern", "quantity", "sku", "mpn", "productid", "price", "offers", "options", "selectedoptions"]
 AXES = ["color", "size", "material", "pattern"]
+AXIS_KEYS = ["color", "size", "capacity", "finish", "material", "pattern", "quantity"]
+NARROW = ["option1", "option2", "option3", "options", "selectedoptions"]
 ENTITY_TOKENS = [
     "name", "title", "price", "description", "sku", "image", "brand", "category", "availability", "rating", "review", "color",
     "size", "variant", "option", "product", "weight", "dimension", "model", "ingredient", "material", "currency",
@@ -22,15 +24,31 @@ ENTITY_TOKENS = [
 
 def variant_lists(leaves: DataFrame, keys: Sequence[str], least: int = 2, most: int = 3) -> DataFrame:
     """Lists of a page (leaves with source, path) that hold variants: entries with a variant key of their own, at least
-    ``least``; linked data before responses, longer first, ``most`` a page. (keys, source, list_path, entries, rank)"""
-    inside = leaves.where(is_filled(F.col("value"))).select(*keys, "source", F.regexp_extract_all("path", F.lit(r"\[\d+\]"), F.lit(0)).alias("i"), "path").where(F.size("i") > 0)
+    ``least``; linked data before responses, longer first, ``most`` a page. (keys, source, list_path, entries, rank)
+
+    In linked data they are ``hasVariant``, or offers (one by one or of an aggregate) that all have a sku or price. In a
+    response two entries or more must have a sku or price and one an axis or options, or two an id and one options."""
+    inside = leaves.where(is_filled(F.col("value"))).select(*keys, "source", "path").where(F.col("path").rlike(r"\[\d+\]\."))
     list_path = F.regexp_extract("path", r"^(.*?)\[\d+\](?:\.|$)", 1)
     item = F.regexp_extract("path", r"^.*?\[(\d+)\](?:\.|$)", 1)
     own_key = F.lower(F.regexp_extract("path", r"^.*?\[\d+\]\.([^.\[]+)", 1))
-    told = own_key.isin(VARIANT_KEYS) | own_key.startswith("gtin")
-    entries = inside.where(told).select(*keys, "source", list_path.alias("list_path"), item.alias("item")).groupBy(*keys, "source", "list_path").agg(F.count_distinct("item").alias("entries"))
+    by_item = inside.select(*keys, "source", list_path.alias("list_path"), item.alias("item"), own_key.alias("key")).groupBy(*keys, "source", "list_path", "item").agg(
+        F.max(F.col("key").isin(VARIANT_KEYS) | F.col("key").startswith("gtin")).alias("variant"),
+        F.max(F.col("key").isin("sku", "price")).alias("sold"),
+        F.max(F.col("key").isin("id", "variant_id")).alias("named"),
+        F.max(F.col("key").isin(NARROW)).alias("narrow"),
+        F.max(F.col("key").isin([*AXIS_KEYS, *NARROW])).alias("axis"),
+    )
+    real = F.col("variant")
+    lists = by_item.groupBy(*keys, "source", "list_path").agg(
+        F.count_if("variant").alias("entries"), F.count_if(real & F.col("sold")).alias("sold"), F.min("sold").alias("all_sold"), F.count_if(real & F.col("named")).alias("named"),
+        F.max(real & F.col("narrow")).alias("narrow"), F.max(real & F.col("axis")).alias("axis"),
+    )
+    linked = F.col("list_path").rlike(r"(^|\.)hasVariant$") | (F.col("list_path").rlike(r"(^|\.)offers$") & F.col("all_sold"))
+    recorded = ((F.col("sold") >= 2) & F.col("axis")) | (F.col("narrow") & (F.col("named") >= 2))
     order = W.partitionBy(*keys).orderBy((F.col("source") != "json-ld").cast("int"), F.col("entries").desc(), "list_path")
-    return entries.where(F.col("entries") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    good = lists.where((F.col("entries") >= least) & F.when(F.col("source") == "json-ld", linked).otherwise(recorded))
+    return good.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(*keys, "source", "list_path", "entries", "rank")
 
 
 def product_group_variants(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -74,3 +92,46 @@ def resolvable(catalogue: DataFrame, leaves: DataFrame, keys: Sequence[str]) ->
     known = leaves.select(*keys, "path").distinct().withColumn("_leads", F.lit(True))
     joined = catalogue.join(known, [*keys, "path"], "left")
     return joined.where(F.coalesce("_leads", F.lit(False)) | F.coalesce("used", F.lit(False))).drop("_leads")
+
+
+def string_paths(item: Column) -> Column:
+    """Paths to texts in a JSON object, its own and those of objects right in it, in the order of their names."""
+    fields = lambda v: F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    is_text = lambda v: F.schema_of_variant(v) == "STRING"
+    own = fields(F.try_parse_json(item))
+    plain = F.transform(F.filter(own, lambda e: is_text(e["value"])), lambda e: e["key"])
+    objects = F.filter(own, lambda e: F.schema_of_variant(e["value"]).startswith("OBJECT"))
+    nested = F.transform(objects, lambda e: F.transform(F.filter(fields(e["value"]), lambda x: is_text(x["value"])), lambda x: F.concat(e["key"], F.lit("."), x["key"])))
+    return F.array_sort(F.concat(plain, F.flatten(nested)))
+
+
+def collected_identifiers(body: Column, items: Column, url: Column, most: int | None = None) -> Column:
+    """Identifiers of the addresses at ``items[].url`` of a JSON body (paths may be columns), in order; entries without one
+    go. ``most`` bounds how many entries are looked at."""
+    entries = F.coalesce(F.try_variant_get(F.try_parse_json(body), F.concat(F.lit("$."), items), "array<variant>"), F.array().cast("array<variant>"))
+    looked = entries if most is None else F.slice(entries, 1, most)
+    found = F.transform(looked, lambda e: F.try_variant_get(e, F.concat(F.lit("$."), url), "variant"))
+    texts = F.filter(found, lambda v: F.schema_of_variant(v) == "STRING")
+    return F.array_compact(F.transform(texts, lambda v: U.last_identifier(F.try_variant_get(v, "$", "string"))))
+
+
+def concept_candidates(leaves: DataFrame, keys: Sequence[str], kind: str, concept: str) -> DataFrame:
+    """Leaves (keys, source, seq, pos, path, value) that may hold a concept by the end of their path and whose value is of the type:
+    adds transform, each path of a source once at its first place. Money under a name in cents (``price_cents``) counts
+    as cents where that makes a value."""
+    from skein.functions.names import fits_concept
+    from skein.functions.shape import cents_to_units, infer_transform, normalize
+
+    raw = F.col("value")
+    plain = fits_concept(concept, F.col("path"))
+    transform = infer_transform(kind, raw, fold=False)
+    if kind == "money":
+        last = F.element_at(F.split("path", r"\."), -1)
+        base = F.regexp_replace("path", r"(?i)[_-]?cents?$", "")
+        in_cents = last.rlike(r"(?i)cents?$") & (F.regexp_replace(last, r"(?i)[_-]?cents?$", "") != "")
+        units = cents_to_units(raw)
+        plain = plain | (in_cents & fits_concept(concept, base))
+        transform = F.when(transform.isNotNull() & in_cents & (units != raw) & normalize(kind, units, fold=False).isNotNull(), "cents_to_units").otherwise(transform)
+    fitting = leaves.where(plain).withColumn("transform", transform).where("transform IS NOT NULL")
+    first = F.min_by(F.struct("value", "transform"), F.struct("seq", "pos"))
+    return fitting.groupBy(*keys, "source", "path").agg(first.alias("f")).select(*keys, "source", "path", "f.*")

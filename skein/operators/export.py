@@ -102,6 +102,26 @@ def row_per_variant(df: DataFrame, product: dict[str, str], axes: dict[str, str]
     return df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)])
 
 
+def assemble(rows: DataFrame, fields: Sequence[dict], variant_mode: str, order: Sequence[str]) -> tuple[str, DataFrame]:
+    """The rows of a run as a customer gets them, with their shape. ``fields`` are dicts of key, name, type and level
+    (product, axis or variant). Flat rows keep bookkeeping columns; variant rows have their keys at the end; nested rows
+    are one a product, members joined in ``order``. Column names are those of the fields, repeats numbered."""
+    from .variants import nested_rows
+
+    shape = export_shape(rows, variant_mode)
+    names = {f["key"]: f["name"] for f in fields}
+    of = lambda *levels: {f["key"]: f["name"] for f in fields if f.get("level", "product") in levels}
+    if shape == "flat":
+        lacking = [k for k in names if k not in rows.columns]
+        return shape, rekey(rows.withColumns({k: F.lit(None).cast("string") for k in lacking}), names)
+    if shape == "row_per_variant":
+        return shape, row_per_variant(rows, of("product"), of("axis"), of("variant"))
+    product, member = of("product"), of("axis", "variant")
+    nested = nested_rows(rows, "_product_key", order, list(product), list(member))
+    shown = unique_names([*product.values(), *member.values(), "product_key"])
+    return shape, nested.select(*[F.col(f"`{k}`").alias(n) for k, n in zip([*product, *member, "_product_key"], shown)])
+
+
 def merge_row(inputs: Column, listing: Column, detail: Column, url: Column, page: Column, origins: dict[str, tuple[str, str]]) -> list[Column]:
     """Columns of one row from three struct sources. ``origins`` maps name to (origin, source column)."""
     sources = {"input": inputs, "listing": listing, "detail": detail}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import html as H
@@ -12,10 +13,12 @@ from skein.functions import text as T
 from skein.functions import urls as U
 from skein.operators import crawl as C
 from skein.operators import documents as DOC
+from skein.operators import export as X
 from skein.operators import extract as E
 from skein.operators import matching as M
 from skein.operators import pages as P
 from skein.operators import reports
+from skein.operators import variant_pages as VP
 from skein.sources import tables
 from skein.sources.tables import table
 from skein.streaming import windows
@@ -378,11 +381,146 @@ SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS eve
 """
 
 
+def string_paths(spark, folder):
+    """Paths to texts in an order as an object: its own, and those of objects right in it."""
+    inner = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"), F.struct(F.lit("x").alias("deep")).alias("more"))
+    body = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("priority"), inner.alias("inner"), F.array(F.lit("a")).alias("tags")))
+    return table(spark, folder, "orders").select("o_orderkey", F.array_join(DOC.string_paths(body), ",").alias("paths"))
+
+
+STRING_PATHS = "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'inner.status,priority' ELSE 'inner.status' END AS paths FROM orders"
+
+
+def collected_identifiers(spark, folder):
+    """Identifiers of the addresses of an order's lines; a number is no address, a short segment no identifier."""
+    n = F.col("l_partkey")
+    link = F.when(n % 3 == 0, F.concat(F.lit("/p/item-"), n.cast("string"), F.lit("?v=1"))).when(n % 3 == 1, F.concat(F.lit("https://x.example/p/"), n.cast("string"), F.lit("-long#a"))).otherwise(F.lit("/p/abc"))
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", link.alias("href")))).alias("lines"))
+    body = F.to_json(F.struct(F.struct(F.transform("lines", lambda x: F.struct(F.struct(x["href"].alias("href")).alias("link"))).alias("rows")).alias("data")))
+    found = DOC.collected_identifiers(body, F.lit("data.rows"), F.lit("link.href"), most=5)
+    return lines.select("l_orderkey", F.array_join(found, ",").alias("ids"))
+
+
+COLLECTED_IDENTIFIERS = """
+WITH l AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem),
+i AS (SELECT l_orderkey, n, CASE l_partkey % 3 WHEN 0 THEN 'item-' || l_partkey WHEN 1 THEN l_partkey || '-long' END AS id FROM l WHERE n <= 5)
+SELECT l_orderkey, coalesce(string_agg(id, ',' ORDER BY n), '') AS ids FROM i GROUP BY 1
+"""
+
+
+def concept_candidates(spark, folder):
+    """Leaves that may be a price: by the end of their path, plain or in cents; words are none."""
+    n = F.col("p_partkey")
+    leaf = lambda path, value, seq: F.struct(F.lit("api").alias("source"), F.lit(seq).alias("seq"), F.lit(seq).alias("pos"), F.lit(path).alias("path"), value.cast("string").alias("value"))
+    listed = F.array(leaf("offers.price", F.col("p_size"), 0), leaf("item.price_cents", n * 100, 1), leaf("price", F.when(n % 2 == 0, F.lit("soon")).otherwise(F.lit("7.5")), 2), leaf("name", n, 3), leaf("offers.price", n, 4))
+    leaves = table(spark, folder, "part").select("p_partkey", F.explode(listed).alias("l")).select("p_partkey", "l.*")
+    return DOC.concept_candidates(leaves, ["p_partkey"], "money", "price").select("p_partkey", "path", "value", "transform")
+
+
+CONCEPT_CANDIDATES = """
+SELECT p_partkey, 'offers.price' AS path, CAST(p_size AS VARCHAR) AS value, 'identity' AS transform FROM part UNION ALL SELECT p_partkey, 'item.price_cents', CAST(p_partkey * 100 AS VARCHAR), 'cents_to_units' FROM part
+UNION ALL SELECT p_partkey, 'price', '7.5', 'identity' FROM part WHERE p_partkey % 2 <> 0
+"""
+
+
+def wrong_variants(spark, folder):
+    """Pages that show another variant than the one their address names, by size, colour or identifier."""
+    n = F.col("p_partkey")
+    size = F.col("p_size").cast("string")
+    url = F.concat(F.lit("https://x.example/p?size="), size, F.lit("&utm_source=a"), F.when(n % 4 == 0, F.concat(F.lit("&variant="), (n + 1000000).cast("string"))).otherwise(""))
+    ids = F.array((F.when(n % 8 == 0, n).otherwise(n + 1) + 1000000).cast("string"))
+    pairs = F.when(n % 3 == 0, F.create_map(F.lit("size"), F.concat(size, F.lit(" cm")))).when(n % 3 == 1, F.create_map(F.lit("size"), F.lit("none"))).otherwise(F.create_map(F.lit("colour"), F.lit("red")))
+    return table(spark, folder, "part").select("p_partkey", F.coalesce(VP.wrong_variant(url, ids, pairs, F.array().cast("array<string>")), F.lit("")).alias("wrong"))
+
+
+WRONG_VARIANTS = """
+WITH k AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 8 = 0 END AS by_id, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS by_pair FROM part)
+SELECT p_partkey, CASE WHEN (by_id IS NOT NULL OR by_pair IS NOT NULL) AND NOT coalesce(by_id, false) AND NOT coalesce(by_pair, false) THEN 'size=' || p_size || CASE WHEN by_id IS NOT NULL THEN '&variant=' || (p_partkey + 1000000) ELSE '' END ELSE '' END AS wrong FROM k
+"""
+
+
+def _proofs(spark, folder):
+    """Customers as sources, their orders as proof pages, lines by flag as lists; the count is that of the lines flagged N."""
+    n = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("path")).agg(F.count("*").alias("entries"))
+    orders = table(spark, folder, "orders").select("o_custkey", F.col("o_orderkey").alias("url"), n.alias("n"), (F.col("o_orderkey") % 7 != 0).alias("captured"))
+    lists = orders.join(lines, F.col("url") == F.col("l_orderkey")).select("o_custkey", "url", F.lit("api").alias("source"), "path", "entries")
+    counts = lists.groupBy("o_custkey", "url").agg(F.max(F.when(F.col("path") == "N", F.col("entries"))).alias("count"))
+    counted = orders.join(counts, ["o_custkey", "url"], "left").select("o_custkey", "url", "n", F.coalesce("count", F.lit(0)).alias("count"), F.when(F.col("count") > 0, "api").alias("source"), F.when(F.col("count") > 0, F.when(F.col("n") == 1, "R").otherwise("N")).alias("path"), "captured")
+    return VP.certify_lists(counted, lists, ["o_custkey"])
+
+
+def certified_lists(spark, folder):
+    """The list that fits most proof pages of a source."""
+    return _proofs(spark, folder)[0].select("o_custkey", "path", "fits")
+
+
+def list_messages(spark, folder):
+    """What the chosen list gets wrong on each proof page."""
+    return _proofs(spark, folder)[1].select("o_custkey", F.col("url").alias("o_orderkey"), "status", F.coalesce("message", F.lit("")).alias("message"))
+
+
+_PROOFS = """
+WITH o AS (SELECT o_custkey, o_orderkey AS url, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey % 7 <> 0 AS captured FROM orders),
+l AS (SELECT l_orderkey AS url, l_returnflag AS path, count(*) AS entries FROM lineitem GROUP BY 1, 2), k AS (SELECT o.*, coalesce(l.entries, 0) AS cnt FROM o LEFT JOIN l ON o.url = l.url AND l.path = 'N'),
+c AS (SELECT o_custkey, CASE WHEN n = 1 THEN 'R' ELSE 'N' END AS path, min(n) AS first FROM k WHERE cnt > 0 GROUP BY 1, 2),
+t AS (SELECT c.o_custkey, c.path, count(*) FILTER (coalesce(l.entries, 0) = k.cnt) AS fits, min(first) AS first FROM c JOIN k ON c.o_custkey = k.o_custkey AND captured LEFT JOIN l ON l.url = k.url AND l.path = c.path GROUP BY 1, 2),
+b AS (SELECT o_custkey, path, fits FROM t QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY fits DESC, first) = 1)
+"""
+CERTIFIED_LISTS = _PROOFS + "SELECT o_custkey, path, fits FROM b"
+LIST_MESSAGES = _PROOFS + """
+, s AS (SELECT o_custkey, max(cnt) > 0 AS has FROM k GROUP BY 1), r AS (SELECT k.*, has, coalesce(l.entries, 0) AS found FROM k JOIN s ON k.o_custkey = s.o_custkey LEFT JOIN b ON k.o_custkey = b.o_custkey LEFT JOIN l ON l.url = k.url AND l.path = b.path)
+SELECT o_custkey, url AS o_orderkey, CASE WHEN NOT captured THEN 'not_captured' WHEN NOT has THEN 'none' WHEN found <> cnt THEN 'failed' WHEN cnt = 0 THEN 'none' ELSE 'ok' END AS status,
+  CASE WHEN NOT captured OR NOT has OR found = cnt THEN '' WHEN cnt = 0 THEN 'product ' || n || ' lists ' || found || ' variants — confirm them' WHEN found = 0 THEN 'found no variants on product ' || n
+    WHEN found < cnt THEN 'found ' || found || ' of ' || cnt || ' variants on product ' || n ELSE 'found ' || found || ' variants on product ' || n || ', expected ' || cnt END AS message FROM r
+"""
+
+
+def same_entries(spark, folder):
+    """Orders with two lines that read the same on flag and status."""
+    return VP.same_entries(table(spark, folder, "lineitem"), ["l_orderkey"], "l_linenumber", ["l_returnflag", "l_linestatus"])
+
+
+SAME_ENTRIES = """
+WITH g AS (SELECT l_orderkey, l_returnflag || '/' || l_linestatus AS text, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT l_orderkey, arg_min(text, first || text) AS text FROM g GROUP BY 1
+"""
+
+
+def page_twins(spark, folder):
+    """Leaves of an order's third line read as the page's own entry, and paths with that step led back to it."""
+    leaves = J.leaf_table(_bodies(spark, folder), ["l_orderkey"], "body", J.CANDIDATES)
+    chosen = leaves.select("l_orderkey").distinct().select("l_orderkey", F.lit("rows").alias("list_path"), F.lit(2).alias("item"))
+    twins = VP.page_twins(leaves, chosen, ["l_orderkey"]).where(F.contains("path", F.lit("[page]")))
+    return twins.select("l_orderkey", "path", "value", VP.on_page(F.col("path"), F.lit("rows"), F.lit(2)).alias("own"))
+
+
+PAGE_TWINS = """
+WITH l AS (SELECT l_orderkey, l_partkey, l_returnflag, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) = 3)
+SELECT l_orderkey, 'rows[page].' || p AS path, v AS value, 'rows[2].' || p AS own FROM (SELECT l_orderkey, unnest(['sku', 'color', 'offers.price']) AS p, unnest([CAST(l_partkey AS VARCHAR), l_returnflag, CAST(l_linenumber AS VARCHAR)]) AS v FROM l)
+"""
+
+
+def assembled_export(spark, folder):
+    """Orders with their lines as a customer gets them: one row a variant, under the customer's names."""
+    fields = [{"key": "o_orderstatus", "name": "State"}, {"key": "l_returnflag", "name": "State", "level": "axis"}, {"key": "l_partkey", "name": "Part", "level": "variant"}]
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_returnflag", "l_partkey", "l_linenumber", "l_quantity")
+    rows = table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumns({"_product_key": F.col("o_orderkey").cast("string"), "_variant_key": F.col("l_partkey").cast("string")})
+    return X.assemble(rows, fields, "nested", ["l_linenumber", "l_partkey", "l_returnflag"])[1]
+
+
+ASSEMBLED_EXPORT = """
+SELECT any_value(o_orderstatus) AS "State", string_agg(l_returnflag, '; ' ORDER BY l_linenumber, l_partkey, l_returnflag) AS "State (2)", string_agg(CAST(l_partkey AS VARCHAR), '; ' ORDER BY l_linenumber, l_partkey, l_returnflag) AS "Part", CAST(o_orderkey AS VARCHAR) AS product_key
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey
+"""
+
+
 QUERIES = {
     name: (globals()[name], globals()[name.upper()])
     for name in (
         "pagination", "card_groups", "walk_items", "walk_reports", "listing_api", "shown_values", "expected_errors", "address_forms", "label_forms", "canonical_paths", "flattened_responses",
         "array_paths", "entity_subtrees", "page_shapes", "page_hints", "fitting_shapes", "page_variants", "path_conflicts", "mechanical_values", "structured_pages", "json_requests", "value_search",
-        "event_windows", "event_sessions",
+        "event_windows", "event_sessions", "string_paths", "collected_identifiers", "concept_candidates", "wrong_variants", "certified_lists", "list_messages", "same_entries", "page_twins",
+        "assembled_export",
     )
 }

@@ -11,6 +11,7 @@ from skein.functions import names as N
 from skein.functions import shape as S
 from skein.functions import text as T
 from skein.functions import urls as U
+from skein.operators import cells as CELLS
 from skein.operators import crawl as C
 from skein.operators import documents as DOC
 from skein.operators import export as X
@@ -515,12 +516,112 @@ FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey
 """
 
 
+def http_urls(spark, folder):
+    """Addresses as links give them on a page: relative, with a fragment, of other schemes, in capitals."""
+    n, u = F.col("page_id"), U.without_fragment(F.col("url"))
+    link = F.when(n % 5 == 0, F.concat(F.lit(" /p/"), n.cast("string"), F.lit("#top"))).when(n % 5 == 1, F.concat(F.lit("HTTPS://Shop.Example.COM/A"), n.cast("string"))).when(n % 5 == 2, F.lit("#only")).when(n % 5 == 3, F.lit("mailto:a@b.c")).otherwise(u)
+    return table(spark, folder, "pages").select("page_id", F.coalesce(U.http_url(link, F.col("url")), F.lit("")).alias("url"))
+
+
+HTTP_URLS = _PARTS + r"""
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN scheme || '://' || host || '/p/' || page_id WHEN 1 THEN 'https://shop.example.com/A' || page_id WHEN 4 THEN regexp_replace(url, '#.*$', '') ELSE '' END AS url FROM s
+"""
+
+
+def rendered_values(spark, folder):
+    """Normalised texts as typed values: prices, yes and no, lists."""
+    price = F.concat(F.lit("$ "), F.format_number("o_totalprice", 2))
+    told = F.when(F.col("o_orderstatus") == "F", "In stock").when(F.col("o_orderstatus") == "O", "no").otherwise("perhaps")
+    words = F.concat(F.lit("b, "), "o_orderpriority", F.lit("; B"))
+    value = lambda kind, raw: S.render_value(kind, S.normalize(kind, raw, fold=False))
+    rows = table(spark, folder, "orders").select("o_orderkey", price.alias("p"), told.alias("t"), words.alias("w"))
+    return rows.select("o_orderkey", F.floor(value("money", F.col("p")) * 100 + 0.5).alias("cents"), F.coalesce(value("boolean", F.col("t")).cast("string"), F.lit("")).alias("told"), F.array_join(value("text_list", F.col("w")), "|").alias("words"))
+
+
+RENDERED_VALUES = """
+SELECT o_orderkey, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS cents, CASE o_orderstatus WHEN 'F' THEN 'true' WHEN 'O' THEN 'false' ELSE '' END AS told,
+  array_to_string(list_sort(list_distinct(['b', lower(o_orderpriority)])), '|') AS words FROM orders
+"""
+
+
+def shown_texts(spark, folder):
+    """Names as pages show them: entities, marks of symbols, blanks, capitals."""
+    raw = F.concat(F.lit(" <"), F.upper("p_name"), F.lit("> &amp; Co &reg;  "), "p_brand", F.lit("&nbsp;™ x"))
+    return table(spark, folder, "part").select("p_partkey", H.shown_key(raw).alias("shown"))
+
+
+SHOWN_TEXTS = "SELECT p_partkey, '<' || lower(p_name) || '> & co®' || lower(p_brand) || '™x' AS shown FROM part"
+
+
+def clean_pages(spark, folder):
+    """Pages without comments, scripts, styles and head."""
+    bare = H.clean_html(F.col("html"))
+    return table(spark, folder, "pages").select("page_id", F.length(bare).cast("long").alias("chars"), F.md5(bare).alias("digest"))
+
+
+CLEAN_PAGES = r"""
+WITH a AS (SELECT page_id, regexp_replace(html, '<!--(?s:.*?)-->', '', 'g') AS x FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(x, '(?is)<head\b[^>]*>.*?</head\s*>', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g') AS x FROM a),
+c AS (SELECT page_id, trim(regexp_replace(regexp_replace(x, '(?i)<(link|meta)\b[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS x FROM b)
+SELECT page_id, length(x) AS chars, md5(x) AS digest FROM c
+"""
+
+
+def _candidates(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    flag = F.when(F.col("l_quantity") > 25, F.col("l_returnflag"))
+    return lines.select("l_orderkey", F.lit("flag").alias("field"), (F.col("l_linenumber") % 3).alias("tier"), F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_quantity").alias("place"), flag.alias("value"), (F.col("l_linenumber") % 2 == 0).alias("stored"))
+
+
+def tier_values(spark, folder):
+    """Lines as candidates in three tiers: per order the first valid one of the lowest tier."""
+    found = E.first_tier(_candidates(spark, folder), ["l_orderkey"], F.col("value").isNotNull())
+    return found.select("l_orderkey", F.col("tier").cast("long").alias("tier"), "value")
+
+
+TIER_VALUES = """
+SELECT l_orderkey, CAST(l_linenumber % 3 AS BIGINT) AS tier, l_returnflag AS value FROM lineitem WHERE l_quantity > 25
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 3, l_linenumber, l_partkey, l_returnflag, l_quantity) = 1
+"""
+
+
+def charged_misses(spark, folder):
+    """Stored candidates whose value was refused, per order."""
+    return E.rejected(_candidates(spark, folder), F.col("value").isNotNull()).groupBy("l_orderkey").agg(F.count("*").alias("misses"))
+
+
+CHARGED_MISSES = "SELECT l_orderkey, count(*) AS misses FROM lineitem WHERE l_quantity <= 25 AND l_linenumber % 2 = 0 GROUP BY 1"
+
+
+def found_candidates(spark, folder):
+    """Leaves of an order that show a wanted part number, as a number."""
+    leaves = J.leaf_table(_bodies(spark, folder), ["l_orderkey"], "body", J.CANDIDATES)
+    wanted = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.concat(F.min("l_partkey").cast("string"), F.lit(".00")).alias("expected"))
+    equal = S.values_equal("number", F.col("value"), F.col("expected"), fold=False)
+    return E.search_candidates(leaves, ["l_orderkey"], wanted, equal).where(F.col("path").endswith(".sku")).groupBy("l_orderkey").agg(F.count("*").alias("places"))
+
+
+FOUND_CANDIDATES = """
+SELECT l_orderkey, count(*) AS places FROM lineitem JOIN (SELECT l_orderkey AS k, min(l_partkey) AS p FROM lineitem GROUP BY 1) ON l_orderkey = k AND l_partkey = p GROUP BY 1
+"""
+
+
+def blanked_defaults(spark, folder):
+    """Cells that a default filled, read as empty again."""
+    filled = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("c_mktsegment"))).otherwise(F.array().cast("array<string>"))
+    rows = CELLS.blank_defaulted(table(spark, folder, "customer").withColumn("defaulted", filled), ["c_mktsegment", "c_name"])
+    return rows.select("c_custkey", F.coalesce("c_mktsegment", F.lit("")).alias("segment"), F.coalesce("c_name", F.lit("")).alias("name"))
+
+
+BLANKED_DEFAULTS = "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS segment, c_name AS name FROM customer"
+
+
 QUERIES = {
     name: (globals()[name], globals()[name.upper()])
     for name in (
         "pagination", "card_groups", "walk_items", "walk_reports", "listing_api", "shown_values", "expected_errors", "address_forms", "label_forms", "canonical_paths", "flattened_responses",
         "array_paths", "entity_subtrees", "page_shapes", "page_hints", "fitting_shapes", "page_variants", "path_conflicts", "mechanical_values", "structured_pages", "json_requests", "value_search",
         "event_windows", "event_sessions", "string_paths", "collected_identifiers", "concept_candidates", "wrong_variants", "certified_lists", "list_messages", "same_entries", "page_twins",
-        "assembled_export",
+        "assembled_export", "http_urls", "rendered_values", "shown_texts", "clean_pages", "tier_values", "charged_misses", "found_candidates", "blanked_defaults",
     )
 }

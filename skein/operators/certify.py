@@ -112,10 +112,11 @@ def response_groups(reads: DataFrame) -> DataFrame:
     return pairs.select("path").distinct().join(labels.withColumnRenamed("node", "path"), "path", "left").select("path", F.coalesce("label", "path").alias("group"))
 
 
-def drift_class(flags: DataFrame) -> DataFrame:
+def drift_class(flags: DataFrame, unread: DataFrame | None = None) -> DataFrame:
     """Flags per (field, page, path): certified_path, fits, equal, reads. Per field the first that holds: other-layout
     (a certified path equals on every page), moved (some other path does, on two pages or more), changed (a certified
-    or fitting path reads a value on every page), lost."""
+    or fitting path reads a value on every page), lost. A field of ``unread`` (field, page: could not be read now)
+    without any page that was read is not-checked."""
     per_path = flags.groupBy("field", "path").agg(
         F.min("equal").alias("all_equal"), F.min("reads").alias("all_read"), F.max("certified_path").alias("own"), F.max("fits").alias("fits"), F.count("*").alias("pages")
     )
@@ -125,7 +126,11 @@ def drift_class(flags: DataFrame) -> DataFrame:
         F.max((F.col("own") | F.col("fits")) & F.col("all_read")).alias("changed"),
     )
     kind = F.when(F.col("other"), "other-layout").when(F.col("moved"), "moved").when(F.col("changed"), "changed").otherwise("lost")
-    return per_field.select("field", kind.alias("drift"))
+    classes = per_field.select("field", kind.alias("drift"))
+    if unread is None:
+        return classes
+    unknown = unread.select("field").distinct().join(classes, "field", "left_anti")
+    return classes.unionByName(unknown.withColumn("drift", F.lit("not-checked")))
 
 
 REFUSALS = ("not-by-nature", "too-few-pages", "empty", "not-same-place", "fixed-variant", "not-shown", "out-of-range")

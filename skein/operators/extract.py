@@ -155,6 +155,14 @@ def agreement_confidence(candidates: DataFrame, keys: Sequence[str]) -> DataFram
     return grouped.select(*keys, "field", F.col("b.best.value").alias("value"), confidence.alias("confidence"))
 
 
+def resolved_fields(candidates: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every wanted field (keys, field) with the value its stored paths agree on, its confidence, and whether it failed: no
+    path gave a filled value."""
+    found = agreement_confidence(candidates.where(is_filled(F.col("value"))), keys)
+    joined = wanted.select(*keys, "field").distinct().join(found, [*keys, "field"], "left")
+    return joined.withColumn("failed", F.col("value").isNull())
+
+
 def search_candidates(leaves: DataFrame, keys: Sequence[str], expected: DataFrame, equal: Column) -> DataFrame:
     """Leaves that show a page's expected value (keys, field, expected): the page's rows meet by key, then compare."""
     return leaves.join(expected, list(keys)).where(equal)

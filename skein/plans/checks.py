@@ -236,11 +236,13 @@ def drift_classes(spark, folder):
         F.col("l_partkey").alias("field"), F.col("l_orderkey").alias("page"), (F.col("l_suppkey") % 7).alias("path"), (F.col("l_suppkey") % 7 == 0).alias("certified_path"), (F.col("l_suppkey") % 3 == 0).alias("fits"),
         (F.col("l_discount") > 0.01).alias("equal"), (F.col("l_quantity") > 4).alias("reads"),
     )
-    return K.drift_class(flags)
+    unread = table(spark, folder, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("field"), F.lit(0).alias("page"))
+    return K.drift_class(flags.where("field % 11 <> 0"), unread)
 
 
 DRIFT_CLASSES = """
-WITH p AS (SELECT l_partkey AS field, l_suppkey % 7 AS path, bool_and(l_discount > 0.01) AS eq, bool_and(l_quantity > 4) AS rd, bool_or(l_suppkey % 7 = 0) AS own, bool_or(l_suppkey % 3 = 0) AS fits, count(*) AS n FROM lineitem GROUP BY 1, 2)
+WITH p AS (SELECT l_partkey AS field, l_suppkey % 7 AS path, bool_and(l_discount > 0.01) AS eq, bool_and(l_quantity > 4) AS rd, bool_or(l_suppkey % 7 = 0) AS own, bool_or(l_suppkey % 3 = 0) AS fits, count(*) AS n FROM lineitem WHERE l_partkey % 11 <> 0 GROUP BY 1, 2)
+SELECT p_partkey AS field, 'not-checked' AS drift FROM part WHERE p_partkey % 2 = 0 AND p_partkey NOT IN (SELECT field FROM p) UNION ALL
 SELECT field, CASE WHEN bool_or(own AND eq) THEN 'other-layout' WHEN bool_or(NOT own AND eq AND n >= 2) THEN 'moved' WHEN bool_or((own OR fits) AND rd) THEN 'changed' ELSE 'lost' END AS drift FROM p GROUP BY 1
 """
 
@@ -365,6 +367,22 @@ SELECT l_orderkey, field, b.value AS value, CASE WHEN n = 1 THEN 750 ELSE CAST(f
 """
 
 
+def resolved_fields(spark, folder):
+    """Flags A, N and R wanted of every order: the status that its lines agree on, or that no line gave one."""
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_returnflag", "l_linenumber").agg(F.max("l_linestatus").alias("s"))
+    status = F.when(F.col("l_linenumber") != 2, F.col("s"))
+    candidates = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("field"), F.col("l_linenumber").alias("rank"), status.alias("value"), F.lit(0.5).alias("confidence"))
+    wanted = table(spark, folder, "orders").select("o_orderkey", F.explode(F.array(*map(F.lit, "ANR"))).alias("field"))
+    return E.resolved_fields(candidates, wanted, ["o_orderkey"]).select("o_orderkey", "field", F.coalesce("value", F.lit("")).alias("value"), "failed")
+
+
+RESOLVED_FIELDS = """
+WITH c AS (SELECT l_orderkey, l_returnflag, arg_min(s, n) AS value FROM (SELECT l_orderkey, l_returnflag, l_linenumber AS n, max(l_linestatus) AS s FROM lineitem WHERE l_linenumber <> 2 GROUP BY 1, 2, 3) GROUP BY 1, 2),
+w AS (SELECT o_orderkey, unnest(['A', 'N', 'R']) AS field FROM orders)
+SELECT o_orderkey, field, coalesce(value, '') AS value, value IS NULL AS failed FROM w LEFT JOIN c ON o_orderkey = l_orderkey AND field = l_returnflag
+"""
+
+
 def usage_growth(spark, folder):
     """Lines as a ledger of tokens per supplier: what the later half of the order numbers added."""
     lines = table(spark, folder, "lineitem")
@@ -445,6 +463,7 @@ QUERIES = {
     "merged_rows": (merged_rows, MERGED_ROWS),
     "representatives": (representatives, REPRESENTATIVES),
     "agreed_values": (agreed_values, AGREED_VALUES),
+    "resolved_fields": (resolved_fields, RESOLVED_FIELDS),
     "usage_growth": (usage_growth, USAGE_GROWTH),
     "summed_counts": (summed_counts, SUMMED_COUNTS),
     "merged_settings": (merged_settings, MERGED_SETTINGS),

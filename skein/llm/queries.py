@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import attachment_part, format_chat, read_loss, read_turns, text_messages, text_part
 from .dedup import exact_dedup
+from .fim import fill_in_middle, restore
 from . import lm_scoring
 from .mixing import mix_plan
 from .packing import pack_documents
@@ -19,6 +20,7 @@ from .sharding import shard_documents
 from .simhash import simhash_classes
 from .toxicity import score_documents
 from .toxicity import train as train_toxicity
+from .whitening import whiten
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +174,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_documents(spark, sf_dir))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP12_SQL = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS unit,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+hashed AS (
+  SELECT *, len(unit) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM units),
+formed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM hashed),
+parts AS (
+  SELECT *, array_to_string(unit[1:a], '') AS prefix, array_to_string(unit[a + 1:b], '') AS middle, array_to_string(unit[b + 1:], '') AS suffix
+  FROM formed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 def queries():
     return {
         "op1_mix": op1_mix,
@@ -184,10 +223,12 @@ def queries():
         "op8_quality": op8_quality,
         "op9_simhash": op9_simhash,
         "op10_toxicity": op10_toxicity,
+        "op11_whitening": op11_whitening,
+        "op12_fill_in_middle": op12_fill_in_middle,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    found = {"op1_mix": OP1_SQL, "op2_chat": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+    found = {"op1_mix": OP1_SQL, "op2_chat": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op12_fill_in_middle": OP12_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -11,6 +11,7 @@ from .chat import attachment_part, format_chat, read_loss, read_turns, text_mess
 from .dedup import exact_dedup
 from .fim import fill_in_middle, restore
 from . import lm_scoring
+from .jaccard import jaccard_classes
 from .mixing import mix_plan
 from .packing import pack_documents
 from .quality import judge_documents, train
@@ -211,6 +212,10 @@ FROM parts
 """
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_documents(spark, sf_dir))
+
+
 def queries():
     return {
         "op1_mix": op1_mix,
@@ -225,6 +230,7 @@ def queries():
         "op10_toxicity": op10_toxicity,
         "op11_whitening": op11_whitening,
         "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_jaccard": op13_jaccard,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from skein.operators.labels import spread_labels
 
 from .rows import PLACE, keep_rows, large_groups, meet_groups, numbered
-from .simhash import SEED, shingle_hashes
 from .storage import materialise
+from .words import SEED, shingle_hashes
 
 #: Shingles of a bucket, about; of the documents sent off together.
 BUCKET, CHUNK = 1_000_000, 1_000_000
@@ -289,7 +289,8 @@ def linked_pairs(n: np.ndarray, matches: np.ndarray, widths: np.ndarray, tokens:
 
 def connected_links(members: DataFrame, lists: DataFrame, share: int) -> DataFrame:
     """Links between the nodes of a component: node, root (the smallest it reaches within its task) and links (documents it is
-    linked with there). ``members`` has node, label, n and size (bytes of its list)."""
+    linked with there). ``members`` has node, label, n and size (bytes of its list); ``lists`` those of ``token_lists`` with
+    copies. Lists of whole sets with no prefix (matches and width 0) have all their pairs compared."""
     step = max(math.log(100 / share), 1e-3) * 1.001
     parts = materialise(members.groupBy("label").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")), "jaccard-components")
     met = meet_groups(members, parts, large_groups(parts, "label", "rows"), "label")

@@ -16,9 +16,10 @@ them.
 
 ``similar_representatives`` links by similarity instead: of the sets of ``shingle``-word shingles, the share of common ones
 must reach ``similarity``. Texts with equal sets are one node. Here a text's keys are bands of min-hashes; under a key the
-same trie walk finds the pairs within a wide Hamming budget, and of these each node's best few by min-hashes and a
-spanning forest of the best are candidates, whose sets are then compared exactly. At similarity 0.8 and the
-parameters below, a pair shares a key with probability 0.996 and is within the budget with 0.999.
+same trie walk finds the pairs within a wide Hamming budget that their min-hashes do not rule out, and hands them on as stars.
+The stars' closure gives candidate classes, and within those every pair of sets is compared exactly, in chunks by matrix
+products (``jaccard.connected_links``), so that no pair the walk finds goes unjudged. At similarity 0.8 and the parameters
+below, a pair shares a key with probability 0.996 and is within the budget with 0.999.
 
 Defined results: null ids rank after all others; repeated rows count each; texts without words are alike; texts of any
 length are hashed whole, in blocks; names of other columns do not matter, as long as they are none of ``rows.PLACE``; an
@@ -30,18 +31,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.labels import spread_labels
 
+from .jaccard import connected_links
 from .rows import FILE, PLACE, ROW, keep_rows, large_groups, meet_groups
 from .storage import materialise
+from .words import SEED, shingle_hashes
 
-SEED = 42
 BITS = 64
 #: Largest number of fingerprints walked under one key; larger keys are split.
 LIMIT = 2048
@@ -52,21 +53,8 @@ WALK_ROWS = 40_000
 #: Pairs that the keys walked together may have at most, but for a single key.
 WALK_PAIRS = 1 << 22
 #: Bands of min-hashes and hashes of a band, the Hamming budget that goes with similarity 0.8, what min-hashes may fall short of
-#: the wanted similarity, and candidates a node keeps under a key beside the spanning forest.
-BANDS, BAND_HASHES, WIDE_BUDGET, SLACK, BEST = 14, 5, 20, 0.2, 3
-
-
-def shingle_hashes(text: bytes | None, shingle: int = 3, seed: int = SEED) -> np.ndarray:
-    """Hashes of the shingles of a text, repeats included; none for a text without words."""
-    words = (text or b"").lower().split()
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([digest(joined, seed)] if words else [], dtype=np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = len(words) - shingle + 1
-    return np.array([digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())], dtype=np.uint64)
+#: the wanted similarity.
+BANDS, BAND_HASHES, WIDE_BUDGET, SLACK = 14, 5, 20, 0.2
 
 
 def print_of(hashes: np.ndarray) -> int:
@@ -374,38 +362,6 @@ def sketches(rows: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
     return rows.select(*columns).mapInArrow(run, f"doc_id {kind}, {FILE} long, {ROW} long, node long, fingerprint long, bands array<long>, sketch binary")
 
 
-def best_pairs(n: int, i: np.ndarray, j: np.ndarray, alike: np.ndarray) -> np.ndarray:
-    """Of the pairs (i, j) among ``n`` nodes: a spanning forest of the most alike, and each node's ``BEST`` most alike."""
-    order = np.lexsort((j, i, -alike))
-    i, j = i[order], j[order]
-    chosen = np.zeros(len(i), dtype=bool)
-    label = np.arange(n)
-    while True:
-        apart = np.flatnonzero(label[i] != label[j])
-        if not len(apart):
-            break
-        first = np.full(n, len(i))
-        np.minimum.at(first, label[i[apart]], apart)
-        np.minimum.at(first, label[j[apart]], apart)
-        best = np.unique(first[first < len(i)])
-        chosen[best] = True
-        while True:  # the joined parts take their smallest label
-            low = np.minimum(label[i[best]], label[j[best]])
-            new = label.copy()
-            np.minimum.at(new, label[i[best]], low)
-            np.minimum.at(new, label[j[best]], low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new[label]
-    ends, pair = np.r_[i, j], np.r_[np.arange(len(i)), np.arange(len(i))]
-    by_node = np.lexsort((pair, ends))
-    begins = np.flatnonzero(np.r_[True, ends[by_node][1:] != ends[by_node][:-1]]) if len(ends) else np.empty(0, dtype=np.int64)
-    nth = np.arange(len(ends)) - np.repeat(begins, np.diff(np.r_[begins, len(ends)]))
-    chosen[pair[by_node][nth < BEST]] = True
-    return order[chosen]
-
-
 def _walk_similar(budget: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sides, prints, nodes, packed in whole_keys(batches):
@@ -423,17 +379,16 @@ def _walk_similar(budget: int, least: float):
                 else:
                     continue
                 alike = np.concatenate([np.empty(0), *[(sketch[i[k : k + 50_000]] == sketch[j[k : k + 50_000]]).mean(axis=1) for k in range(0, len(i), 50_000)]])
-                i, j, alike = i[alike >= least], j[alike >= least], alike[alike >= least]
-                best = best_pairs(b - a, i - a, j - a, alike)
-                if len(best):
-                    x, y = nodes[i[best]], nodes[j[best]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["leaf", "root"])
+                leaf, root = _stars(nodes[a:b], i[alike >= least] - a, j[alike >= least] - a)
+                if len(leaf):
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(root)], ["leaf", "root"])
 
     return run
 
 
-def candidate_pairs(nodes: DataFrame, budget: int, least: float) -> DataFrame:
-    """Distinct pairs (leaf, root) of nodes that share a key, are within the budget and look alike enough."""
+def candidate_stars(nodes: DataFrame, budget: int, least: float) -> DataFrame:
+    """Links (leaf, root) whose closure equals that of all pairs of nodes that share a key, are within the budget and look alike
+    enough."""
     keyed = materialise(nodes.select("node", F.explode("bands").alias("key")), "similar-keys")
     shared = keyed.groupBy("key").count().where("count > 1")
     live = materialise(keyed.join(shared, "key"), "similar-live")
@@ -444,21 +399,6 @@ def candidate_pairs(nodes: DataFrame, budget: int, least: float) -> DataFrame:
     return walked.mapInArrow(_walk_similar(budget, least), "leaf long, root long").distinct()
 
 
-def share_common(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets given as sorted hashes."""
-
-    @F.pandas_udf("double")
-    def share(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(xs, ys):
-            p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(both / max(len(p) + len(q) - both, 1))
-        return pd.Series(out, dtype=float)
-
-    return share(a, b)
-
-
 def similar_representatives(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = WIDE_BUDGET) -> DataFrame:
     """Places of one row of each class of similar texts: the one with the smallest id (null last), of equal ids the one that
     lies first. ``rows`` are ``numbered``."""
@@ -467,13 +407,16 @@ def similar_representatives(rows: DataFrame, id_col: str = "doc_id", text_col: s
     # of equal sets, one keeps the others' place: equal sets have equal fingerprints, bands and min-hashes
     nodes = told.groupBy("node").agg(F.min(first).alias("first"), F.any_value("fingerprint").alias("fingerprint"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     nodes = materialise(nodes, "similar-nodes")
-    pairs = materialise(candidate_pairs(nodes, budget, similarity - SLACK), "similar-pairs")
-    involved = pairs.select(F.explode(F.array("leaf", "root")).alias("node")).distinct()
-    there = nodes.join(involved, "node", "left_semi").select("first.*").select(*PLACE)
+    stars = materialise(candidate_stars(nodes, budget, similarity - SLACK), "similar-stars")
+    classes = materialise(spread_labels(stars), "similar-candidates")
+    there = nodes.join(classes, "node", "left_semi").select("first.*").select(*PLACE)
     own = rows.select(*PLACE, F.col(text_col).alias("text"))
     sets = materialise(shingle_sets(keep_rows(own, there), "text", shingle), "similar-sets")
-    met = pairs.join(sets.withColumnsRenamed({"node": "leaf", "hashes": "left"}), "leaf").join(sets.withColumnsRenamed({"node": "root", "hashes": "right"}), "root")
-    links = materialise(met.where(share_common(F.col("left"), F.col("right")) >= similarity).select("leaf", "root"), "similar-links")
-    labels = spread_labels(links)
+    # every pair of a candidate class is asked for: no token has to be shared beforehand
+    sizes = sets.select("node", (F.octet_length("hashes") / 8).cast("long").alias("n"), F.col("hashes").alias("tokens"))
+    lists = sizes.select("node", "n", F.lit(0).alias("matches"), F.lit(0).alias("width"), F.lit(1).cast("long").alias("copies"), "tokens")
+    members = sizes.join(classes, "node").select("node", "label", "n", F.octet_length("tokens").alias("size"))
+    links = materialise(connected_links(members, lists, round(100 * similarity)), "similar-links")
+    labels = spread_labels(links.select(F.col("node").alias("leaf"), "root"))
     labelled = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return labelled.groupBy("label").agg(F.min("first").alias("first")).select(*[F.col(f"first.{c}").alias(c) for c in PLACE])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skein.llm import rows as R
 from skein.llm import simhash
 from skein.llm.rows import keep_rows, numbered
-from skein.llm.simhash import best_pairs, fingerprint_of, simhash_classes, similar_representatives, spread_labels, trie_pairs
+from skein.llm.simhash import fingerprint_of, simhash_classes, similar_representatives, spread_labels, trie_pairs
 
 
 def slow_fingerprint(text):
@@ -169,26 +169,45 @@ def test_similar_classes_against_all_pairs(spark, monkeypatch, limit):
     assert got == slow_similar(rows)
 
 
-def test_best_pairs_span_what_is_linked():
-    rng = np.random.default_rng(3)
-    i, j = np.triu_indices(40, 1)
-    near = rng.random(len(i)) < 0.1
-    i, j, alike = i[near], j[near], rng.integers(80, 100, near.sum()) / 100
-    chosen = best_pairs(40, i, j, alike)
-
-    def parts(edges):
-        label = list(range(40))
-        for a, b in edges:
-            low, high = sorted((label[a], label[b]))
-            label = [low if x == high else x for x in label]
-        return label
-
-    assert parts(zip(i, j)) == parts(zip(i[chosen], j[chosen])) and len(chosen) <= 4 * 40
-
-
 def test_similar_rows_of_an_empty_table(nothing):
     assert similar_representatives(numbered(nothing)).count() == 0
 
 
 def test_empty_table(nothing):
     assert simhash_classes(nothing).count() == 0
+
+
+def brute_classes(texts, share=80):
+    """Number of classes of distinct five-word shingle sets linked by ``share`` hundredths or more."""
+    sets = sorted({slow_set(t) for t in texts}, key=sorted)
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        common = len(sets[a] & sets[b])
+        if 100 * common >= share * (len(sets[a]) + len(sets[b]) - common):
+            parent[find(b)] = find(a)
+    return len({find(n) for n in range(len(sets))})
+
+
+@pytest.mark.parametrize("limit", [2048, 16])
+def test_dense_families_around_the_similarity(spark, monkeypatch, limit):
+    """Families of variants that are partly just above and partly just below the similarity: no link is lost to a cap."""
+    monkeypatch.setattr(simhash, "LIMIT", limit)
+    rng = np.random.default_rng(9)
+    pool = [f"w{n}" for n in range(4000)]
+    texts = []
+    for _ in range(8):
+        base = rng.choice(pool, 300)
+        for _ in range(40):
+            words = base.copy()
+            for at in rng.integers(0, 300, rng.integers(2, 9)):
+                words[at] = rng.choice(pool)
+            texts.append(" ".join(words))
+    rows = numbered(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    kept = keep_rows(rows, similar_representatives(rows)).collect()
+    assert len(kept) == brute_classes(texts)

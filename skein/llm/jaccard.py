@@ -44,7 +44,7 @@ BUCKET, CHUNK = 1_000_000, 1_000_000
 #: Nodes of a token up to which they meet as pairs.
 HOT = 32
 #: Nodes and bytes of a chunk of connected nodes, about.
-LIMIT, LIMIT_BYTES = 512, 8 << 20
+LIMIT, LIMIT_BYTES = 512, 2 << 20
 #: Greatest number of shared tokens asked for, and the cost of a comparison beside that of one node met, by tokens of the set.
 MOST_MATCHES, COMPARISON = 8, 0.125
 
@@ -258,7 +258,7 @@ def overlaps(rows: np.ndarray, columns: np.ndarray, left: np.ndarray, right: np.
 #: The side of a chunk that is compared with itself.
 OWN = 2
 #: Rows of a column up to which its pairs are counted one by one, and columns of a matrix product.
-FEW, COLUMNS = 12, 4096
+FEW, COLUMNS = 12, 2048
 
 
 def linked_pairs(n: np.ndarray, matches: np.ndarray, widths: np.ndarray, tokens: list[np.ndarray], sides: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +268,8 @@ def linked_pairs(n: np.ndarray, matches: np.ndarray, widths: np.ndarray, tokens:
     if not len(left) or not len(right):
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     lengths = np.array([len(t) for t in tokens])
-    row, column = np.repeat(np.arange(len(n)), lengths), np.unique(np.concatenate(tokens), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(n), dtype=np.int32), lengths)
+    column = np.unique(np.concatenate(tokens), return_inverse=True)[1].astype(np.int32)
     prefix = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) < np.repeat(widths, lengths)
     shared = overlaps(row[prefix], column[prefix], left, right, len(n))
     a, b = n[left][:, None], n[right][None, :]

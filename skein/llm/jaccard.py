@@ -13,7 +13,7 @@ give an empty set, which is linked with nothing). Two documents link when 100 *
    m of those nodes. Two nodes are compared if they share as many prefix tokens as the lesser of their m.
 4. Nodes under a token of at most ``HOT`` nodes meet by a join on the token, and each candidate pair is compared. Nodes that
    hotter tokens connect are dealt into chunks by size and hash, and each pair of chunks is one task: it counts shared prefix
-   tokens and then common tokens by matrix products, and hands on stars and numbers of links. No pair of them is a row.
+   tokens and then common tokens by bit sets, and hands on stars and numbers of links. No pair of them is a row.
 
 Links are closed to classes by label spreading. Nothing is capped: each pair that can link is compared once.
 
@@ -223,8 +223,8 @@ def prefix_tokens(lists: DataFrame) -> DataFrame:
 
 
 def overlaps(rows: np.ndarray, columns: np.ndarray, left: np.ndarray, right: np.ndarray, total: int) -> np.ndarray:
-    """Common columns of each row of ``left`` with each of ``right``. Columns that many rows have go through matrix products, a
-    block at a time; those that few have, through the pairs of their rows."""
+    """Common columns of each row of ``left`` with each of ``right``. Columns that many rows have are rows of bits, a block of
+    columns at a time; those that few have are counted through the pairs of their rows."""
     found = np.zeros((len(left), len(right)), dtype=np.int64)
     order = np.lexsort((rows, columns))
     rows, columns = rows[order], columns[order]
@@ -247,17 +247,18 @@ def overlaps(rows: np.ndarray, columns: np.ndarray, left: np.ndarray, right: np.
         here = slice(*np.searchsorted(rank, [low, low + COLUMNS]))
         sides = []
         for place, size in ((place_left, len(left)), (place_right, len(right))):
-            matrix = np.zeros((size, COLUMNS), dtype=np.float32)
+            marks = np.zeros((size, COLUMNS), dtype=bool)
             at = place[rows[here]]
-            matrix[at[at >= 0], rank[here][at >= 0] - low] = 1
-            sides.append(matrix)
-        found += (sides[0] @ sides[1].T).astype(np.int64)
+            marks[at[at >= 0], rank[here][at >= 0] - low] = True
+            sides.append(np.packbits(marks, axis=1).view(np.uint64))
+        for n, bits in enumerate(sides[0]):
+            found[n] += np.bitwise_count(sides[1] & bits).sum(axis=1, dtype=np.int64)
     return found
 
 
 #: The side of a chunk that is compared with itself.
 OWN = 2
-#: Rows of a column up to which its pairs are counted one by one, and columns of a matrix product.
+#: Rows of a column up to which its pairs are counted one by one, and columns of a block (a multiple of 64).
 FEW, COLUMNS = 12, 2048
 
 

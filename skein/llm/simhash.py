@@ -17,8 +17,8 @@ them.
 ``similar_representatives`` links by similarity instead: of the sets of ``shingle``-word shingles, the share of common ones
 must reach ``similarity``. Texts with equal sets are one node. Here a text's keys are bands of min-hashes; under a key the
 same trie walk finds the pairs within a wide Hamming budget that their min-hashes do not rule out, and hands them on as stars.
-The stars' closure gives candidate classes, and within those every pair of sets is compared exactly, in chunks by matrix
-products (``jaccard.connected_links``), so that no pair the walk finds goes unjudged. At similarity 0.8 and the parameters
+The stars' closure gives candidate classes, and within those every pair of sets is compared exactly, in chunks by bit
+sets (``jaccard.connected_links``), so that no pair the walk finds goes unjudged. At similarity 0.8 and the parameters
 below, a pair shares a key with probability 0.996 and is within the budget with 0.999.
 
 Defined results: null ids rank after all others; repeated rows count each; texts without words are alike; texts of any

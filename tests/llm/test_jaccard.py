@@ -71,7 +71,7 @@ def families():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("settings", [{}, {"HOT": 3, "LIMIT": 16}, {"HOT": 10_000}, {"HOT": 3, "MOST_MATCHES": 1}, {"HOT": 4, "LIMIT_BYTES": 9000, "CHUNK": 900, "BUCKET": 700, "FEW": 3, "COLUMNS": 64}])
+@pytest.mark.parametrize("settings", [{}, {"HOT": 3, "LIMIT": 16}, {"HOT": 10_000}, {"HOT": 3, "MOST_MATCHES": 1}, {"HOT": 4, "LIMIT_BYTES": 9000, "CHUNK": 900, "BUCKET": 700, "FEW": 3, "COLUMNS": 128}])
 def test_families_against_brute_force(spark, families, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(jaccard, name, value)
@@ -102,7 +102,7 @@ def test_overlaps_against_sets(monkeypatch):
     sets = [rng.choice(300, rng.integers(1, 80), replace=False) for _ in range(40)]
     rows, columns = np.repeat(np.arange(40), [len(s) for s in sets]), np.concatenate(sets)
     want = np.array([[len(set(a) & set(b)) for b in sets[25:]] for a in sets[:25]])
-    for few, width in ((12, 4096), (2, 10), (100, 7)):
+    for few, width in ((12, 2048), (2, 64), (100, 128)):
         monkeypatch.setattr(jaccard, "FEW", few)
         monkeypatch.setattr(jaccard, "COLUMNS", width)
         assert (overlaps(rows, columns, np.arange(25), np.arange(25, 40), 40) == want).all()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import certify as K
 from skein.operators import extract as E
+from skein.operators import lean as LEAN
 from skein.operators import queue as Q
 from skein.operators import ranking as R
 from skein.operators import reports
@@ -293,6 +294,39 @@ SELECT CASE WHEN event_type = 'error' THEN -1 ELSE CAST(json_extract_string(prop
 """
 
 
+def lean_readings(orders):
+    """Orders as items of their customers' runs, two fields each: one that the quick reading misses or reads otherwise, one
+    that it does not show."""
+    k = F.col("o_orderkey")
+    false_if = lambda test: F.when(test, False).otherwise(True)
+    first = F.struct(F.lit("a").alias("field"), F.when(k % 4 != 0, F.when(k % 31 == 0, F.lit("other")).otherwise(F.lit("v"))).alias("lean"), F.when(k % 12 != 0, F.lit("v")).alias("full"), F.lit(True).alias("lean_shown"), F.lit(True).alias("full_shown"), F.lit(True).alias("has_paths"))
+    second = F.struct(F.lit("b").alias("field"), F.lit("w").alias("lean"), F.lit("w").alias("full"), false_if(k % 5 == 0).alias("lean_shown"), false_if((k % 5 == 0) & (k % 3 != 0)).alias("full_shown"), F.lit(True).alias("has_paths"))
+    return orders.select(F.col("o_custkey").alias("run"), F.col("o_orderdate").alias("o_orderdate"), "o_orderkey", F.explode(F.array(first, second)).alias("r")).select("run", "o_orderdate", "o_orderkey", "r.*")
+
+
+def lean_outcomes(spark, folder):
+    """How each item of a run is read, by the rule's own thresholds."""
+    found = LEAN.lean_outcomes(lean_readings(table(spark, folder, "orders")), "run", ["o_orderdate", "o_orderkey"])
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return found.select("run", "o_orderkey", "mode", F.coalesce("reason", F.lit("")).alias("reason"), text("fields"), text("disagreed"), text("rescued"))
+
+
+LEAN_OUTCOMES = """
+WITH RECURSIVE o AS (SELECT o_custkey AS run, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+t(run, k, n, reason, fields, dis, res, checks, streak, ma, ub, whole) AS (
+  SELECT run, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', '', '', '', 2, 0, 0, 0, false FROM (SELECT DISTINCT run FROM o)
+  UNION ALL
+  SELECT run, k, n, reason, CASE reason WHEN 'miss' THEN 'a' WHEN 'unshown' THEN 'b' ELSE '' END, CASE WHEN both_ways AND k % 4 <> 0 AND k % 31 = 0 THEN 'a' ELSE '' END,
+    concat_ws(',', CASE WHEN ra THEN 'a' END, CASE WHEN rb THEN 'b' END), checks - CAST(reason = 'check' AS INTEGER), CASE WHEN reason = 'switched' THEN streak WHEN ra OR rb THEN streak + 1 ELSE 0 END,
+    CASE WHEN ra THEN 0 WHEN both_ways AND k % 12 = 0 THEN ma + 1 ELSE ma END, CASE WHEN rb THEN 0 WHEN both_ways AND k % 5 = 0 THEN ub + 1 ELSE ub END,
+    whole OR (both_ways AND k % 4 <> 0 AND k % 31 = 0) OR ((ra OR rb) AND streak + 1 >= 3)
+  FROM (SELECT *, both_ways AND k % 4 = 0 AND k % 12 <> 0 AS ra, both_ways AND k % 15 = 0 AS rb FROM (SELECT *, reason IN ('check', 'miss', 'unshown') AS both_ways FROM (
+    SELECT t.run, o.k, o.n, checks, streak, ma, ub, whole, CASE WHEN whole THEN 'switched' WHEN checks > 0 THEN 'check' WHEN o.k % 4 = 0 AND ma < 3 THEN 'miss' WHEN o.k % 5 = 0 AND ub < 3 THEN 'unshown' ELSE '' END AS reason
+    FROM t JOIN o ON t.run = o.run AND o.n = t.n + 1))))
+SELECT run, k AS o_orderkey, CASE reason WHEN '' THEN 'lean' WHEN 'switched' THEN 'full' ELSE 'lean+full' END AS mode, reason, fields, dis AS disagreed, res AS rescued FROM t WHERE n > 0
+"""
+
+
 def certify_layout(spark, folder):
     """Paths (lines' suppliers modulo ten) against orders' expected values: those right on every page."""
     lines = table(spark, folder, "lineitem")
@@ -350,6 +384,7 @@ QUERIES = {
     "cache_lookup": (cache_lookup, CACHE_LOOKUP),
     "json_paths": (json_paths, JSON_PATHS),
     "certify_layout": (certify_layout, CERTIFY_LAYOUT),
+    "lean_outcomes": (lean_outcomes, LEAN_OUTCOMES),
     "attention": (attention, ATTENTION),
     "overview_rows": (overview_rows, OVERVIEW_ROWS),
 }

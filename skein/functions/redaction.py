@@ -36,12 +36,31 @@ _QUOTED = r'"(?:[^"\\]|\\.)*"'
 _VALUE = r"(?!\*\*\*|(?:bearer|basic)\b)(?:'[^']*'|\[[^\]]*\]|[^\s&\"',;}\])<>]+)"
 
 
+_SCHEME = r"[a-z][a-z0-9+.-]{0,30}"
+_HEADERS = r"((?:proxy-)?authorization|(?:set-)?cookie|x-api-key|api-key)(\s*+:\s*+)"
+#: Applied in this order: a line of query parameters; user information in addresses, also with marks in its password, percent-
+#: encoded, or without a scheme before a host and port; tokens; the rest of a header's line; a bare ``key`` parameter.
+_RULES = [
+    (r"(?m)^([ \t]*params:)[^\n]*", f"$1 {MASK}"),
+    (rf"(?i)\b({_SCHEME}://)[^\s/?#]*@", f"$1{MASK}@"),
+    (rf"(?i)\b({_SCHEME}://)[^\s/?#@:]{{0,256}}:(?!\d{{1,5}}[/?#])[^\s@]{{0,256}}@", f"$1{MASK}@"),
+    (rf"(?i)\b({_SCHEME}%3A%2F%2F)(?:(?!%2F|%3F|%23)[^\s&/?#]){{0,512}}%40", f"$1{MASK}%40"),
+    (r"(?<=^|[\s\"'=(,;<\[{])[^\s:@/\"'=]{1,64}:[^\s/]{1,256}@(?=[\w.-]{1,253}:\d{1,5}\b)", f"{MASK}@"),
+    (r"(?i)\b(bearer)\s+\S+", f"$1 {MASK}"),
+    (r"\b([Bb]asic)\s+\S{6,}", f"$1 {MASK}"),
+    (rf"(?i)\b{_HEADERS}(bearer|basic)\s[^\r\n]{{0,4096}}", f"$1$2$3 {MASK}"),
+    (rf"(?i)\b{_HEADERS}(?!(?:bearer|basic)\s)[^\r\n]{{1,4096}}", f"$1$2{MASK}"),
+    (r"(?i)([?&;]key)=[^\s&\"',;]+", f"$1={MASK}"),
+]
+
+
 def redact_text(text: Column, longest: int = 10_000) -> Column:
-    """Masks user information in addresses (also percent-encoded), bearer and basic tokens, and the value of every name
-    that ``is_secret_key`` calls a secret (``name=value``, ``name: value``, JSON); then cuts to ``longest``."""
-    masked = F.regexp_replace(text, r"(?i)\b([a-z][a-z0-9+.-]{0,30}://)[^\s/?#@]*@", f"$1{MASK}@")
-    masked = F.regexp_replace(masked, r"(?i)\b([a-z][a-z0-9+.-]{0,30}%3A%2F%2F)[^\s/?#@&]*?%40", f"$1{MASK}%40")
-    masked = F.regexp_replace(masked, r"(?i)\b(bearer|basic)\s+[A-Za-z0-9+/_.~=-]{6,}", f"$1 {MASK}")
+    """Masks user information in addresses (also percent-encoded, or before a bare host and port), tokens, the lines of headers
+    that carry secrets, and the value of every name that ``is_secret_key`` calls a secret (``name=value``, ``name: value``,
+    JSON); then cuts to ``longest``."""
+    masked = text
+    for pattern, mask in _RULES:
+        masked = F.regexp_replace(masked, pattern, mask)
     # the names that stand before a sign are judged one by one; a pattern of the secret ones masks their values
     named = F.array_distinct(F.regexp_extract_all(masked, F.lit(rf"(?<![\w.-])({_NAME})[\"']?{_SIGN}"), F.lit(1)))
     secret = F.array_join(F.transform(F.filter(named, is_secret_key), lambda n: F.replace(n, F.lit("."), F.lit("\\."))), "|")

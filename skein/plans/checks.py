@@ -81,7 +81,7 @@ w AS (SELECT *, list_transform(regexp_extract_all(regexp_replace(name, '([a-z0-9
 s AS (SELECT *, NOT (len(words) > 1 AND list_contains({_sql_list(redaction.QUANTITIES)}, words[-1])) AND (list_has_any(words, {_sql_list(redaction.SECRET_WORDS)})
   OR list_has_any(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]), {_sql_list(redaction.SECRET_PAIRS)}) OR regexp_matches(array_to_string(words, ''), '{redaction.SECRET_ENDINGS}')) AS secret FROM w)
 SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'at ' || name || '=' || CASE WHEN secret THEN '***' ELSE 'v' || event_id END || '&page=2'
-  WHEN 1 THEN 'at ' || name || ': ' || CASE WHEN secret THEN '***' ELSE 'v' || event_id END || ', page 2'
+  WHEN 1 THEN 'at ' || name || ': ' || CASE WHEN regexp_matches(name, '(?i)(^|[^A-Za-z0-9_])((proxy-)?authorization|(set-)?cookie|x-api-key|api-key)$') THEN '***' WHEN secret THEN '***, page 2' ELSE 'v' || event_id || ', page 2' END
   ELSE '{{"' || name || '": "' || CASE WHEN secret THEN '***' ELSE 'v ' || event_id END || '", "page": 2}}' END AS text FROM s
 """
 
@@ -297,6 +297,26 @@ SELECT run, o_orderkey, disagreed, rescued, bool_or(disagreed OR twice) OVER (PA
 """
 
 
+def redacted_lines(spark, folder):
+    """Log lines of every kind that can carry a secret, and two that only look like it, made of customers' keys and names."""
+    n = F.col("c_custkey").cast("string")
+    said = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    lines = [
+        said("authorization: bearer t", n), said("GET http://u", n, ":p/", n, "@h:1/x"), said("dial joe", n, ":hunter2@db.example:5432 from ", F.col("c_name")), said("GET /a?key=k", n, "&b=", n),
+        said("Cookie: sid=s", n, "; other=d", n, "\nnext ", n), said('{"apiKey": "v', n, '", "n": ', n, "}"), said("proxy host:8080/path", n, "?e=a@b"), said("to=https%3A%2F%2Fu:p", n, "%40h&n=", n),
+        said("seen ", F.col("c_name"), "\n  params: ", n, ",", F.col("c_name")), said("bought by ", F.col("c_name"), " for ", n), said("redis://:pw", n, "@cache/0 x-api-key: k", n), said("DB_PASSWORD=s", n, " count=", n),
+    ]
+    line = F.element_at(F.array(*lines), (F.col("c_custkey") % len(lines) + 1).cast("int"))
+    return table(spark, folder, "customer").select("c_custkey", redaction.redact_text(line).alias("line"))
+
+
+REDACTED_LINES = """
+SELECT c_custkey, CASE c_custkey % 12 WHEN 0 THEN 'authorization: bearer ***' WHEN 1 THEN 'GET http://***@h:1/x' WHEN 2 THEN 'dial ***@db.example:5432 from ' || c_name WHEN 3 THEN 'GET /a?key=***&b=' || c_custkey
+  WHEN 4 THEN 'Cookie: ***' || chr(10) || 'next ' || c_custkey WHEN 5 THEN '{"apiKey": "***", "n": ' || c_custkey || '}' WHEN 6 THEN 'proxy host:8080/path' || c_custkey || '?e=a@b' WHEN 7 THEN 'to=https%3A%2F%2F***%40h&n=' || c_custkey
+  WHEN 8 THEN 'seen ' || c_name || chr(10) || '  params: ***' WHEN 9 THEN 'bought by ' || c_name || ' for ' || c_custkey WHEN 10 THEN 'redis://***@cache/0 x-api-key: ***' ELSE 'DB_PASSWORD=*** count=' || c_custkey END AS line FROM customer
+"""
+
+
 def stale_runs(spark, folder):
     """Events as run items, one in three running since its time."""
     now = F.lit(NOW).cast("timestamp")
@@ -457,6 +477,7 @@ QUERIES = {
     "refresh_plans": (refresh_plans, REFRESH_PLANS),
     "field_currency": (field_currency, FIELD_CURRENCY),
     "lean_runs": (lean_runs, LEAN_RUNS),
+    "redacted_lines": (redacted_lines, REDACTED_LINES),
     "stale_runs": (stale_runs, STALE_RUNS),
     "closed_rows": (closed_rows, CLOSED_ROWS),
     "rekeyed": (rekeyed, REKEYED),

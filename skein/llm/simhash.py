@@ -210,8 +210,8 @@ def bounded(sizes: np.ndarray) -> Iterator[slice]:
         yield slice(low, len(sizes))
 
 
-def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of the rows of about ``WALK_ROWS`` rows' keys at a time; the first column is the key, in order."""
+def whole_keys(batches: Iterator[pa.RecordBatch], at_once: int = WALK_ROWS) -> Iterator[list[np.ndarray]]:
+    """Columns of the rows of about ``at_once`` rows' keys at a time; the first column is the key, in order."""
     held: list[pa.RecordBatch] = []
     rows = 0
 
@@ -228,7 +228,7 @@ def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         if batch.num_rows:
             held.append(batch)
             rows += batch.num_rows
-        if rows >= WALK_ROWS and (ready := take(False)):
+        if rows >= at_once and (ready := take(False)):
             yield ready
     if rows and (ready := take(True)):
         yield ready
@@ -364,7 +364,7 @@ def sketches(rows: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
 
 def _walk_similar(budget: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sides, prints, nodes, packed in whole_keys(batches):
+        for keys, sides, prints, nodes, packed in whole_keys(batches, 8000):
             ordered = prints.view(np.uint64)
             sketch = np.frombuffer(b"".join(packed), dtype=np.uint32).reshape(len(keys), -1)
             edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -378,7 +378,7 @@ def _walk_similar(budget: int, least: float):
                     i, j = trie_pairs(ordered, one(a), one(t), budget, (one(t), one(b)))
                 else:
                     continue
-                alike = np.concatenate([np.empty(0), *[(sketch[i[k : k + 50_000]] == sketch[j[k : k + 50_000]]).mean(axis=1) for k in range(0, len(i), 50_000)]])
+                alike = np.concatenate([np.empty(0), *[(sketch[i[k : k + 8000]] == sketch[j[k : k + 8000]]).mean(axis=1) for k in range(0, len(i), 8000)]])
                 leaf, root = _stars(nodes[a:b], i[alike >= least] - a, j[alike >= least] - a)
                 if len(leaf):
                     yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(root)], ["leaf", "root"])

@@ -3,6 +3,9 @@ links, and what a walk over listing pages plans before it stops."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -214,24 +217,39 @@ def with_item_list(groups: DataFrame, items: DataFrame, page: str, least: int =
     return joined.select(page, F.when(data, "data").otherwise(F.col("how")).alias("how"), F.when(~data, F.col("shape")).alias("shape"), F.when(data, F.col("listed")).otherwise(F.col("carded")).alias("carded"))
 
 
-def walk(rows: DataFrame, cap: int, share: float = 0.25) -> tuple[DataFrame, DataFrame]:
+def walk(rows: DataFrame, cap: int, share: float = 0.25, most_pages: int | None = None, looks: int = 4) -> tuple[DataFrame, DataFrame]:
     """What a crawl plans from captured listing pages: rows (run, input, page, pos, url; a page without links is one row
-    with a null url), inputs in their order, each address once a run, at most ``cap`` an input.
+    with a null url; links at one place in the order of their addresses), inputs in their order, each address once a run, at most ``cap`` an input from its first
+    ``most_pages`` pages (null: all).
 
     Returns the planned rows, and per input: items, page_one, gained (behind page one), stop (budget, empty-page,
     all-duplicates or null), stop_page, thin (the pages behind the first, with room left, gave less than ``share`` of
-    it). A page that stops an input hides the pages behind it, and their addresses stay free for later inputs. So
-    the inputs' plans are read together again until no address changes hands, at most once per input."""
+    it), certifies (the way to the next page brought something and is not thin, so it may be kept for later runs). A
+    page that stops an input hides the pages behind it, and their addresses stay free for later inputs. So the inputs'
+    plans are read together again until no address changes hands; runs that still change after ``looks`` readings are
+    folded in order, so the number of readings has a bound whatever the number of inputs."""
+    looked = rows.select("run", "input", "page", "pos", "url")
+    if most_pages is not None:
+        nth = F.dense_rank().over(W.partitionBy("run", "input").orderBy("page"))
+        looked = looked.withColumn("nth", nth).where(F.col("nth") <= most_pages).drop("nth")
     first = F.row_number().over(W.partitionBy("run", "input", "url").orderBy("page", "pos"))
-    own = materialise(rows.select("run", "input", "page", "pos", "url").withColumn("own", F.col("url").isNotNull() & (first == 1)), "walk")
+    own = materialise(looked.withColumn("own", F.col("url").isNotNull() & (first == 1)), "walk")
     taken = None
-    while True:
+    for _ in range(looks):
         planned, pages = _look(own, taken, cap)
         now = materialise(planned.groupBy("run", "url").agg(F.min("input").alias("owner")), "taken")
-        settled = taken is not None and now.join(taken.withColumnRenamed("owner", "was"), ["run", "url"], "full").where(~F.col("owner").eqNullSafe(F.col("was"))).isEmpty()
+        changed = None
+        if taken is not None:
+            moved = now.join(taken.withColumnRenamed("owner", "was"), ["run", "url"], "full").where(~F.col("owner").eqNullSafe(F.col("was")))
+            changed = materialise(moved.select("run").distinct(), "moved")
         taken = now
-        if settled:
+        if changed is not None and changed.isEmpty():
             break
+    else:
+        restless = own if changed is None else own.join(changed, "run", "left_semi")
+        folded = _owners_in_order(restless, cap)
+        taken = materialise(folded if changed is None else taken.join(changed, "run", "left_anti").unionByName(folded), "taken")
+        planned, pages = _look(own, taken, cap)
     items = planned.select("run", "input", "page", "pos", "url", "place")
     stops = pages.groupBy("run", "input").agg(
         F.min(F.when(F.col("stop").isNotNull(), F.struct("page", "stop"))).alias("s"), F.min("page").alias("page_one_at")
@@ -241,7 +259,73 @@ def walk(rows: DataFrame, cap: int, share: float = 0.25) -> tuple[DataFrame, Dat
     told = stops.join(gains, ["run", "input"], "left").select("run", "input", count("items").alias("items"), count("page_one").alias("page_one"), F.col("s.stop").alias("stop"), F.col("s.page").alias("stop_page"))
     gained = F.col("items") - F.col("page_one")
     room = ~F.col("stop").eqNullSafe(F.lit("budget"))
-    return items, told.withColumn("gained", gained).withColumn("thin", room & (F.col("page_one") > 0) & (gained < share * F.col("page_one")))
+    thin = room & (F.col("page_one") > 0) & (gained < share * F.col("page_one"))
+    return items, told.withColumns({"gained": gained, "thin": thin, "certifies": (gained > 0) & ~thin})
+
+
+def _owners_in_order(own: DataFrame, cap: int) -> DataFrame:
+    """(run, url, owner) by walking each run's inputs one after another. A run is one task; its rows arrive sorted, in
+    batches, and the fold keeps the addresses that the run has planned."""
+    schema = own.select("run", "url", F.col("input").alias("owner")).schema
+    in_order = own.repartition("run").sortWithinPartitions("run", "input", "page", "pos", "url")
+
+    def folds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run = listing = page = None
+        planned: set = set()
+        count = new = 0
+        ended = False
+        for rows in batches:
+            found = []
+            for r, i, p, url, mine in zip(rows["run"], rows["input"], rows["page"], rows["url"], rows["own"]):
+                if run is None or r != run:
+                    planned, run, listing = set(), r, None
+                if listing is None or i != listing:
+                    listing, page, count, new, ended = i, p, 0, 0, False
+                elif p != page:
+                    ended = ended or new == 0 or count >= cap
+                    page, new = p, 0
+                if ended or not mine or url in planned:
+                    continue
+                count, new = count + 1, new + 1
+                if count <= cap:
+                    planned.add(url)
+                    found.append((r, url, i))
+            yield pd.DataFrame(found, columns=["run", "url", "owner"])
+
+    return in_order.mapInPandas(folds, schema)
+
+
+# Pages and items of a plan without a budget, pages of one that asks for all, and items of any plan.
+PLAN_PAGES, PLAN_ITEMS, ALL_PAGES, MOST_ITEMS = 3, 50, 10, 5000
+
+
+def budget(raw: Column) -> Column:
+    """struct<pages, items> that a plan may take by its budget, a JSON object: positive whole numbers (not as text), or
+    "all"; anything else is the default."""
+    told = F.try_parse_json(raw)
+
+    def part(name: str, default: int) -> Column:
+        value = F.try_variant_get(told, f"$.{name}", "variant")
+        number = F.when(F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(told, f"$.{name}", "double"))
+        return F.when((number > 0) & (number == F.floor(number)), F.least(number, F.lit(2.0**31 - 1)).cast("int")).otherwise(default)
+
+    is_all = lambda name: F.coalesce(F.try_variant_get(told, f"$.{name}", "string") == "all", F.lit(False))
+    pages = F.when(is_all("max_pages"), ALL_PAGES).otherwise(part("max_pages", PLAN_PAGES))
+    items = F.when(is_all("max_items") | is_all("mode"), MOST_ITEMS).otherwise(part("max_items", PLAN_ITEMS))
+    return F.struct(pages.alias("pages"), F.least(items, F.lit(MOST_ITEMS)).alias("items"))
+
+
+def plan_direct(inputs: DataFrame) -> DataFrame:
+    """Plans without listing pages: rows (run, input, url, cap), a null url for an input that gave no address. Each
+    address is planned once a run, by its first input, until the run's ``cap`` is reached. Adds status (planned,
+    skipped_budget, error) and items (1 for the input that holds the address, else 0: a repeated one is planned)."""
+    named = inputs.where("url IS NOT NULL").groupBy("run", "url").agg(F.min("input").alias("owner"), F.min("cap").alias("cap"))
+    place = F.row_number().over(W.partitionBy("run").orderBy("owner", "url"))
+    held = named.withColumn("place", place).where((F.col("place") <= MOST_ITEMS) & (F.col("place") <= F.col("cap"))).select("run", "url", "owner")
+    joined = inputs.join(held, ["run", "url"], "left")
+    status = F.when(F.col("url").isNull(), "error").when(F.col("owner").isNull(), "skipped_budget").otherwise("planned")
+    items = F.coalesce(F.col("owner") == F.col("input"), F.lit(False)).cast("int")
+    return joined.select("run", "input", "url", status.alias("status"), items.alias("items"))
 
 
 def _look(own: DataFrame, taken: DataFrame | None, cap: int) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +333,7 @@ def _look(own: DataFrame, taken: DataFrame | None, cap: int) -> tuple[DataFrame,
     held = own.withColumn("owner", F.lit(None)) if taken is None else own.join(taken, ["run", "url"], "left")
     fresh = F.col("own") & (F.col("owner").isNull() | (F.col("owner") >= F.col("input")))
     marked = held.withColumn("fresh", fresh)
-    upto = W.partitionBy("run", "input").orderBy("page", "pos").rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy("run", "input").orderBy("page", "pos", "url").rowsBetween(W.unboundedPreceding, 0)
     placed = marked.withColumn("place", F.sum(F.col("fresh").cast("long")).over(upto))
     pages = placed.groupBy("run", "input", "page").agg(F.count_if("fresh").alias("new"), F.max("place").alias("sum"), F.max(F.col("url").isNotNull()).alias("any"))
     stop = F.when((F.col("new") > 0) & (F.col("sum") >= cap), "budget").when((F.col("new") == 0) & F.col("any"), "all-duplicates").when(F.col("new") == 0, "empty-page")

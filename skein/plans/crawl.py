@@ -102,6 +102,65 @@ SELECT run, items, page_one, items - page_one AS gained, coalesce(stop, '') AS s
 """
 
 
+def _planned_inputs(spark, folder):
+    """A supplier's lines as captured lists of products: line numbers are the inputs of its run, years their pages, kinds
+    of parts the addresses. Later inputs meet what earlier ones hold, and stop at pages without anything new."""
+    kinds = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("/", F.lit("https://shop.example.com"), "p_brand", "p_type").alias("url"))
+    lines = table(spark, folder, "lineitem").join(kinds, "l_partkey")
+    rows = lines.select(F.col("l_suppkey").alias("run"), F.col("l_linenumber").alias("input"), F.year("l_shipdate").alias("page"), F.col("l_orderkey").alias("pos"), "url")
+    return C.walk(rows, C.PLAN_ITEMS, most_pages=C.PLAN_PAGES)
+
+
+def planned_addresses(spark, folder):
+    """Which input of a run holds each address, by the default budget: 50 addresses of three pages an input."""
+    return _planned_inputs(spark, folder)[0].select("run", "input", "url", "page", "place")
+
+
+def planned_reports(spark, folder):
+    """What each input planned, why it stopped, and whether its way to the next page may be kept."""
+    return _planned_inputs(spark, folder)[1].select("run", "input", "items", "page_one", "gained", F.coalesce("stop", F.lit("")).alias("stop"), "thin", "certifies")
+
+
+# inputs one after another: each step sees what the ones before it hold
+_PLANNED = """
+WITH RECURSIVE w0 AS (SELECT l_suppkey AS run, l_linenumber AS input, CAST(year(l_shipdate) AS INT) AS page, l_orderkey AS pos, 'https://shop.example.com/' || p_brand || '/' || p_type AS url FROM lineitem JOIN part ON l_partkey = p_partkey),
+w AS (SELECT *, row_number() OVER (PARTITION BY run, input, url ORDER BY page, pos) = 1 AS own FROM (SELECT *, dense_rank() OVER (PARTITION BY run, input ORDER BY page) AS nth FROM w0) WHERE nth <= 3),
+b AS (SELECT run, input, page, pos, url, own FROM w UNION ALL SELECT run, i, 0, -2, NULL, false FROM (SELECT DISTINCT run FROM w) CROSS JOIN range(8) t(i) WHERE (run, i) NOT IN (SELECT (run, input) FROM w)),
+st AS (SELECT DISTINCT run, CAST(-1 AS BIGINT) AS input, CAST([] AS VARCHAR[]) AS taken FROM w
+  UNION ALL SELECT run, input, list_concat(any_value(taken), coalesce(list(url) FILTER (fresh AND place <= 50 AND NOT hidden), [])) FROM
+    (SELECT *, coalesce(bool_or(ends) OVER (PARTITION BY run ORDER BY page RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS hidden FROM
+      (SELECT *, max(place) OVER (PARTITION BY run, page) >= 50 OR count(*) FILTER (fresh) OVER (PARTITION BY run, page) = 0 AS ends FROM
+        (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY page, pos, url ROWS UNBOUNDED PRECEDING) AS place FROM
+          (SELECT b.*, st.taken, own AND NOT list_contains(st.taken, b.url) AS fresh FROM st JOIN b ON st.run = b.run AND CAST(b.input AS BIGINT) = st.input + 1)))) GROUP BY run, input),
+f AS (SELECT w.*, own AND NOT list_contains(st.taken, w.url) AS fresh FROM w JOIN st ON w.run = st.run AND w.input = st.input + 1),
+n AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY run, input ORDER BY page, pos, url ROWS UNBOUNDED PRECEDING) AS place FROM f),
+c AS (SELECT run, input, page, count(*) FILTER (fresh) AS new, max(place) AS sum, bool_or(url IS NOT NULL) AS told FROM n GROUP BY 1, 2, 3),
+j AS (SELECT *, CASE WHEN new > 0 AND sum >= 50 THEN 'budget' WHEN new = 0 AND told THEN 'all-duplicates' WHEN new = 0 THEN 'empty-page' END AS stop FROM c),
+e AS (SELECT run, input, min(page) AS one, min(page) FILTER (stop IS NOT NULL) AS ended, arg_min(stop, page) FILTER (stop IS NOT NULL) AS stop FROM j GROUP BY 1, 2),
+i AS (SELECT n.run, n.input, n.url, n.page, CAST(n.place AS BIGINT) AS place, n.page = e.one AS on_one FROM n JOIN e ON n.run = e.run AND n.input = e.input WHERE fresh AND place <= 50 AND (ended IS NULL OR n.page <= ended)),
+k AS (SELECT e.run, e.input, count(i.url) AS items, count(i.url) FILTER (on_one) AS page_one, any_value(e.stop) AS stop FROM e LEFT JOIN i ON e.run = i.run AND e.input = i.input GROUP BY 1, 2)
+"""
+PLANNED_ADDRESSES = _PLANNED + "SELECT run, input, url, page, place FROM i"
+PLANNED_REPORTS = _PLANNED + """
+SELECT *, gained > 0 AND NOT thin AS certifies FROM (SELECT run, input, items, page_one, items - page_one AS gained, coalesce(stop, '') AS stop, coalesce(stop, '') <> 'budget' AND page_one > 0 AND items - page_one < 0.25 * page_one AS thin FROM k)
+"""
+
+
+def direct_plans(spark, folder):
+    """Events as a user's inputs, an address by the product's number: budgets of five kinds, addresses once a run."""
+    k = F.get_json_object("props", "$.k")
+    budgets = F.element_at(F.array(*[F.lit(x) for x in ('{"max_items":3}', '{"max_items":"3"}', '{"mode":"all"}', '{"max_items":2.5}', "none")]), (F.col("user_id") % 5 + 1).cast("int"))
+    inputs = table(spark, folder, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("input"), F.concat(F.lit("https://shop.example.com/p/"), k).alias("url"), C.budget(budgets)["items"].alias("cap"))
+    return C.plan_direct(inputs).select("run", "input", "status", "items")
+
+
+DIRECT_PLANS = """
+WITH e AS (SELECT user_id AS run, event_id AS input, json_extract_string(props, '$.k') AS k, [3, 50, 5000, 50, 50][1 + user_id % 5] AS cap FROM events),
+f AS (SELECT run, k, min(input) AS owner, any_value(cap) AS cap FROM e WHERE k IS NOT NULL GROUP BY 1, 2), h AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY run ORDER BY owner) <= cap)
+SELECT e.run, e.input, CASE WHEN e.k IS NULL THEN 'error' WHEN owner IS NULL THEN 'skipped_budget' ELSE 'planned' END AS status, CAST(coalesce(owner = e.input, false) AS INT) AS items FROM e LEFT JOIN h ON e.run = h.run AND e.k = h.k
+"""
+
+
 def listing_api(spark, folder):
     """Which kind of event holds most of what a user bought: kinds are responses, their numbers are identifiers."""
     k = F.get_json_object("props", "$.k")
@@ -619,7 +678,7 @@ BLANKED_DEFAULTS = "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c
 QUERIES = {
     name: (globals()[name], globals()[name.upper()])
     for name in (
-        "pagination", "card_groups", "walk_items", "walk_reports", "listing_api", "shown_values", "expected_errors", "address_forms", "label_forms", "canonical_paths", "flattened_responses",
+        "pagination", "card_groups", "walk_items", "walk_reports", "planned_addresses", "planned_reports", "direct_plans", "listing_api", "shown_values", "expected_errors", "address_forms", "label_forms", "canonical_paths", "flattened_responses",
         "array_paths", "entity_subtrees", "page_shapes", "page_hints", "fitting_shapes", "page_variants", "path_conflicts", "mechanical_values", "structured_pages", "json_requests", "value_search",
         "event_windows", "event_sessions", "string_paths", "collected_identifiers", "concept_candidates", "wrong_variants", "certified_lists", "list_messages", "same_entries", "page_twins",
         "assembled_export", "http_urls", "rendered_values", "shown_texts", "clean_pages", "tier_values", "charged_misses", "found_candidates", "blanked_defaults",

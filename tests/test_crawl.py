@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from skein.functions import html as H
 from skein.operators import crawl
 
@@ -91,7 +93,29 @@ def test_walk_equals_a_plain_walk(spark):
                 links = dice.randrange(0, 7)
                 rows += [(run, name, page, n, f"u{dice.randrange(25)}") for n in range(links)] or [(run, name, page, 0, None)]
     table = spark.createDataFrame(rows, "run int, input int, page int, pos int, url string")
-    items, reports = crawl.walk(table, 8)
-    got = sorted((r.run, r.input, r.page, r.pos, r.url) for r in items.collect())
-    told = sorted(((r.run, r.input, r["items"], r.page_one, r.stop, r.thin) for r in reports.collect()), key=repr)
-    assert (got, told) == _plain_walk(rows, 8)
+    # a single look leaves every run to the ordered fold, many looks none
+    for looks in (1, 2, 20):
+        items, reports = crawl.walk(table, 8, looks=looks)
+        got = sorted((r.run, r.input, r.page, r.pos, r.url) for r in items.collect())
+        told = sorted(((r.run, r.input, r["items"], r.page_one, r.stop, r.thin) for r in reports.collect()), key=repr)
+        assert (got, told) == _plain_walk(rows, 8)
+        assert all(r.certifies == (r.gained > 0 and not r.thin) for r in reports.collect())
+    few, _ = crawl.walk(table, 8, most_pages=2)
+    assert sorted((r.run, r.input, r.page, r.pos, r.url) for r in few.collect()) == _plain_walk([r for r in rows if r[2] <= 2], 8)[0]
+    empty, none = crawl.walk(table.limit(0), 8)
+    assert empty.count() == none.count() == 0
+
+
+def test_budgets(spark):
+    raws = [None, "x", "{}", '{"max_pages":7,"max_items":9}', '{"max_pages":"all","max_items":"all"}', '{"mode":"all","max_items":2}', '{"max_items":9999}', '{"max_items":-1,"max_pages":1.5}', '{"max_items":"4"}']
+    got = spark.createDataFrame([(n, r) for n, r in enumerate(raws)], "n int, raw string").select("n", crawl.budget(F.col("raw")).alias("b")).orderBy("n").collect()
+    assert [tuple(r.b) for r in got] == [(3, 50), (3, 50), (3, 50), (7, 9), (10, 5000), (3, 5000), (3, 5000), (3, 50), (3, 50)]
+
+
+def test_direct_plans_hold_an_address_once_and_stop_at_the_cap(spark):
+    inputs = [("a", 1, "u", 2), ("a", 2, None, 2), ("a", 3, "u", 2), ("a", 4, "v", 2), ("a", 5, "w", 2), ("a", 6, "v", 2), ("a", 7, "w", 2), ("b", 1, "u", 2)]
+    plan = crawl.plan_direct(spark.createDataFrame(inputs, "run string, input int, url string, cap int"))
+    got = {(r.run, r.input): (r.status, r["items"]) for r in plan.collect()}
+    assert got == {
+        ("a", 1): ("planned", 1), ("a", 2): ("error", 0), ("a", 3): ("planned", 0), ("a", 4): ("planned", 1), ("a", 5): ("skipped_budget", 0), ("a", 6): ("planned", 0), ("a", 7): ("skipped_budget", 0), ("b", 1): ("planned", 1),
+    }

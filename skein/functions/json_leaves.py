@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Walk:
-    """How deep and wide a document is read; ``whole_lists`` keeps lists of plain values as one leaf."""
+    """How deep and wide a document is read; ``whole_lists`` keeps lists of plain values as one leaf, ``ends`` makes
+    nulls, empty objects and lists, and what lies too deep leaves without a value."""
 
     depth: int
     items: int
     whole_lists: bool = False
+    ends: bool = False
 
 
 #: Recorded responses, linked data, candidate search, suggestions.
@@ -24,6 +26,8 @@ FLATTEN = Walk(depth=8, items=3, whole_lists=True)
 LINKED_DATA = Walk(depth=4, items=1, whole_lists=True)
 CANDIDATES = Walk(depth=12, items=25)
 SUGGESTIONS = Walk(depth=12, items=30)
+#: Keys of objects twelve levels deep, those without a value too.
+ENTITIES = Walk(depth=13, items=20, ends=True)
 
 LEAVES = "array<struct<pos: int, path: string, depth: int, value: string>>"
 
@@ -50,10 +54,12 @@ def _leaves(body: str | None, walk: Walk) -> list[tuple]:
         elif isinstance(value, dict):
             children = [(f"{path}.{k}" if path else k, v) for k, v in value.items()]
         else:
-            if value is not None:
-                found.append((len(found), path, depth, _text(value)))
+            if value is not None or walk.ends:
+                found.append((len(found), path, depth, None if value is None else _text(value)))
             continue
-        if depth < walk.depth:
+        if walk.ends and (not children or depth >= walk.depth):
+            found.append((len(found), path, depth, None))
+        elif depth < walk.depth:
             todo.extend((p, depth + 1, v) for p, v in reversed(children))
     return found
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -62,17 +63,27 @@ def product_group_variants(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def entity_subtree(leaves: DataFrame, keys: Sequence[str], tokens: Sequence[str] = ENTITY_TOKENS, least: int = 2) -> DataFrame:
-    """The object whose keys hold the most distinct tokens; one under a ``selected`` key wins if within one of the best.
-    Every leaf counts for its own parent: (keys, path, score)."""
-    parent = F.regexp_replace("path", r"\.?[^.\[]+$", "")
-    key = F.lower(F.regexp_extract("path", r"([^.\[\]]+)$", 1))
-    matched = F.filter(F.array(*map(F.lit, tokens)), lambda t: F.contains(key, t))
-    scored = leaves.select(*keys, parent.alias("parent"), "pos", F.explode(matched).alias("token")).groupBy(*keys, "parent").agg(F.count_distinct("token").alias("score"), F.min("pos").alias("pos"))
-    selected = F.lower(F.regexp_extract("parent", r"([^.\[\]]+)$", 1)).contains("selected")
-    best = F.max("score").over(W.partitionBy(*keys))
-    close = scored.where(F.col("score") >= least).withColumn("_selected", selected & (F.col("score") >= best - 1))
-    order = W.partitionBy(*keys).orderBy(F.col("_selected").desc(), F.col("score").desc(), "pos")
-    return close.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*keys, F.col("parent").alias("path"), "score")
+    """The object of a document whose own keys hold the most distinct tokens, the first in document order of equals;
+    one that stands under a ``selected`` key wins if it has at most one token less: (keys, path, score). ``leaves`` come
+    from the walk ``ENTITIES``, which has keys without values too. Each leaf tells a key to every object above it, so
+    keys that hold objects count. Documents whose objects have less than ``least`` tokens have no row."""
+    steps = F.regexp_extract_all("path", F.lit(r"(\.?[^.\[\]]+|\[\d+\])"), F.lit(1))
+    is_key = lambda step: ~step.startswith("[")
+    word = lambda step: F.lower(F.ltrim(step, F.lit(".")))
+
+    def told(step, i):
+        over = F.try_element_at("steps", i)
+        chosen = F.when(i > 0, is_key(over) & F.contains(word(over), F.lit("selected")))
+        bits = [F.when(F.contains(word(step), F.lit(t)), F.lit(1 << n)).otherwise(F.lit(0)) for n, t in enumerate(tokens)]
+        return F.when(is_key(step), F.struct(F.array_join(F.slice("steps", F.lit(1), i), "").alias("path"), i.alias("level"), F.coalesce(chosen, F.lit(False)).alias("chosen"), reduce(lambda a, b: a + b, bits).cast("long").alias("bits")))
+
+    pairs = leaves.select(*keys, "pos", steps.alias("steps")).select(*keys, "pos", F.explode(F.array_compact(F.transform("steps", told))).alias("t")).select(*keys, "pos", "t.*")
+    objects = pairs.groupBy(*keys, "path").agg(F.bit_count(F.bit_or("bits")).cast("long").alias("score"), F.min("pos").alias("pos"), F.first("level").alias("level"), F.first("chosen").alias("chosen")).where(F.col("score") >= least)
+    first = F.struct("score", -F.col("pos"), -F.col("level"))
+    found = F.struct("path", "score")
+    best, chosen = F.max_by(found, first), F.max_by(found, F.when(F.col("chosen"), first))
+    both = objects.groupBy(*keys).agg(best.alias("best"), chosen.alias("chosen"))
+    return both.select(*keys, F.when(F.col("chosen.score") >= F.col("best.score") - 1, F.col("chosen")).otherwise(F.col("best")).alias("b")).select(*keys, "b.*")
 
 
 def page_shapes(pages: DataFrame, leaves: DataFrame, keys: Sequence[str], url: str) -> DataFrame:

@@ -280,14 +280,32 @@ ARRAY_PATHS = "SELECT l_orderkey, 'rows' AS array_path, count(*) AS items FROM l
 
 
 def entity_subtrees(spark, folder):
-    """The object of a document whose keys say most: with a ``selected`` one close by, that one."""
-    n = F.col("p_partkey")
-    thin = F.concat(F.lit('{"other":{"name":"x","price":1,"sku":"a"},"selectedItem":{"name":"y","price":2'), F.when(n % 3 == 0, F.lit("")).otherwise(F.lit(',"brand":"b"')), F.when(n % 3 == 2, F.lit(',"color":"c","size":"d"')).otherwise(F.lit("")), F.lit('},"page":{"a":1}}'))
-    leaves = J.leaf_table(table(spark, folder, "part").select("p_partkey", thin.alias("body")), ["p_partkey"], "body", J.CANDIDATES)
-    return DOC.entity_subtree(leaves, ["p_partkey"])
-
-
-ENTITY_SUBTREES = "SELECT p_partkey, 'selectedItem' AS path, CAST(CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 5 END AS BIGINT) AS score FROM part"
+    """Orders as documents of differing depth: their richest object, with a ``selected`` one close by that one."""
+    n = F.col("o_orderkey")
+    own = F.concat(
+        F.lit('{"'), F.lower("o_orderstatus"), F.lit('Name":"x","prices":{"currency":"c","amount":'), n.cast("string"), F.lit("}"),
+        F.when(F.col("o_custkey") % 2 == 0, ',"brand":{}').otherwise(""), F.when(F.col("o_custkey") % 3 == 0, ',"colors":null,"sizes":[]').otherwise(""), F.lit("}"),
+    )
+    key = F.when(n % 5 == 0, '"product"').when(n % 5 == 1, '"selected":[{"x"').otherwise('"selectedItem"')
+    close = F.when(n % 5 == 1, "}]").otherwise("")
+    document = F.concat(F.lit("{"), key, F.lit(":"), own, close, F.lit(',"other":{"title":"t","image":"i","sku":"s"}}'))
+    depth = (n % 8 * 2).cast("int")
+    body = F.concat(F.repeat(F.lit('{"page":['), depth), document, F.repeat(F.lit("]}"), depth))
+    leaves = J.leaf_table(table(spark, folder, "orders").select("o_orderkey", body.alias("body")), ["o_orderkey"], "body", J.ENTITIES)
+    return DOC.entity_subtree(leaves, ["o_orderkey"])
+
+
+_TOKENS = ", ".join(f"'{t}'" for t in DOC.ENTITY_TOKENS)
+ENTITY_SUBTREES = rf"""
+WITH d AS (SELECT o_orderkey, repeat('{{"page":[', CAST(o_orderkey % 8 * 2 AS INT)) || '{{' || CASE o_orderkey % 5 WHEN 0 THEN '"product"' WHEN 1 THEN '"selected":[{{"x"' ELSE '"selectedItem"' END || ':{{"' || lower(o_orderstatus) || 'Name":"x","prices":{{"currency":"c","amount":' || o_orderkey || '}}'
+  || CASE WHEN o_custkey % 2 = 0 THEN ',"brand":{{}}' ELSE '' END || CASE WHEN o_custkey % 3 = 0 THEN ',"colors":null,"sizes":[]' ELSE '' END || '}}' || CASE WHEN o_orderkey % 5 = 1 THEN '}}]' ELSE '' END || ',"other":{{"title":"t","image":"i","sku":"s"}}}}' || repeat(']}}', CAST(o_orderkey % 8 * 2 AS INT)) AS body FROM orders),
+t AS (SELECT d.o_orderkey, j.id, j.parent, j.key, j.fullkey, j.type, j.path FROM d, json_tree(d.body) j),
+k AS (SELECT c.o_orderkey, c.parent AS id, c.key, x.token FROM t c JOIN (SELECT unnest([{_TOKENS}]) AS token) x ON contains(lower(c.key), x.token)),
+o AS (SELECT p.o_orderkey, p.id, substr(p.fullkey, 3) AS path, coalesce(contains(lower(p.key), 'selected') AND NOT ends_with(p.fullkey, ']'), false) AS chosen, count(DISTINCT token) AS score FROM t p JOIN k ON p.o_orderkey = k.o_orderkey AND p.id = k.id
+  WHERE p.type = 'OBJECT' AND len(regexp_extract_all(p.fullkey, '\.|\[')) <= 12 GROUP BY ALL HAVING count(DISTINCT token) >= 2),
+m AS (SELECT o_orderkey, max(score) AS most FROM o GROUP BY 1), c AS (SELECT o.*, chosen AND score >= most - 1 AS wins FROM o JOIN m USING (o_orderkey))
+SELECT o_orderkey, path, score FROM c QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY wins DESC, score DESC, id) = 1
+"""
 
 
 def page_shapes(spark, folder):

@@ -112,11 +112,35 @@ def test_variant_lists_and_groups(spark):
     assert got == {0: ("s1", 1200.0, "i1", "red", None), 1: ("m2", 5.0, None, None, "L")}
 
 
+def _entity(spark, body):
+    rows = spark.createDataFrame([(1, body if isinstance(body, str) or body is None else json.dumps(body))], "page int, body string")
+    found = D.entity_subtree(json_leaves.leaf_table(rows, ["page"], "body", json_leaves.ENTITIES), ["page"]).collect()
+    return [(r.path, r.score) for r in found]
+
+
 def test_entity_subtree_prefers_the_selected(spark):
-    body = {"a": {"name": "n", "price": 1, "sku": "s", "brand": "b"}, "selectedProduct": {"productName": "n", "prices": 1, "sku": "s"}, "c": {"id": 1}}
-    assert D.entity_subtree(leaves(spark, body), ["page"]).first().path == "selectedProduct"
-    del body["selectedProduct"]["sku"], body["selectedProduct"]["prices"]
-    assert D.entity_subtree(leaves(spark, body), ["page"]).first().path == "a"
+    body = {"a": {"name": "n", "price": 1, "sku": "s", "brand": "b"}, "selectedItem": {"itemName": "n", "prices": 1, "sku": "s"}, "c": {"id": 1}}
+    assert _entity(spark, body) == [("selectedItem", 3)]
+    del body["selectedItem"]["sku"], body["selectedItem"]["prices"]
+    assert _entity(spark, body) == [("a", 4)]
+
+
+def test_entity_subtree_counts_keys_of_all_objects_above(spark):
+    # keys that hold objects, lists, nulls or nothing count for the object they stand in
+    assert _entity(spark, {"x": {"brand": {"id": 1}, "reviews": [], "rating": None, "sizes": {}}}) == [("x", 4)]
+    # an entry of a list is not under the key of the list, and of equals the first in the document wins
+    assert _entity(spark, {"one": {"name": 1, "price": 2}, "selected": [{"name": 1, "price": 2}]}) == [("one", 2)]
+    assert _entity(spark, {"name": 1, "price": {"name": 1, "price": 2}}) == [("", 2)]
+    assert _entity(spark, {"name": 1, "productName": 2}) == [("", 2)]
+    # past twenty entries and twelve levels nothing is looked at
+    assert _entity(spark, {"rows": [{"name": n} for n in range(20)] + [{"name": 1, "price": 2}]}) == []
+    deep = {"name": 1, "price": 2}
+    for _ in range(12):
+        deep = {"k": deep}
+    assert _entity(spark, deep) == [(".".join(["k"] * 12), 2)]
+    assert _entity(spark, {"k": deep}) == []
+    for none in (None, "", "no json", "[]", "1", {}):
+        assert _entity(spark, none) == []
 
 
 def test_page_shapes(spark):

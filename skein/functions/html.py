@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+from functools import reduce
 from html import unescape
 from html.parser import HTMLParser
 
@@ -230,6 +233,52 @@ def extract_rows(node_table: DataFrame, id_col: str, row_path: str, fields: dict
     return kept.select(id_col, nth.alias("item"), *[F.col(f"`{n}`") for n in fields])
 
 
+def extracted(xpath: str) -> Column:
+    """What a path reads of a matching node as a field's value: never of scripts and styles, no text that looks like code or is
+    longer than 5,000 characters, without the words of shop buttons and names around it; null if nothing is left."""
+    value = xpath_value(xpath)
+    if "/@" not in xpath:
+        value = F.when(~(value.startswith("{") | value.startswith("[{") | value.startswith("function ")) & (F.length(value) <= 5000), value)
+    named = F.trim(F.regexp_replace(F.regexp_replace(value, r"(?i)^Visit the\s+", ""), r"(?i)\s+Store$", ""))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(named, r"(?i)^(Shop|Buy|Order|Get)\s+(now|it|this)?\s*", ""), SPACES, " "))
+    return F.when(~F.col("xpath").rlike(r"/(script|style|noscript)\[") & ~plain.isin("", "undefined", "null"), plain)
+
+
+def extract_page(node_table: DataFrame, id_col: str, row_path: str, fields: dict[str, str], lists: Sequence[str] = ()) -> DataFrame:
+    """One row for a page about one thing. A field's path is read from the first node of ``row_path``, if there is one; if
+    that gives nothing, from the whole page (``./a`` as ``/a``, ``.//a`` as ``//a``, ``a`` as ``//a``). Paths that begin
+    with ``/`` always mean the whole page. A field has the value of the first matching node, even if that is none; fields
+    in ``lists`` are arrays of the values of all matching nodes in page order, null if there is none. Pages without any
+    value have no row."""
+    first = node_table.where(matches_xpath(row_path)).groupBy(id_col).agg(F.min_by("xpath", "pos").alias("row_xpath"))
+    placed = node_table.join(first, id_col, "left").withColumn("page_xpath", F.col("xpath"))
+    inside = (F.col("xpath") == F.col("row_xpath")) | F.col("xpath").startswith(F.concat("row_xpath", F.lit("/")))
+    near, far, read = {}, {}, {}
+    for n, (name, path) in enumerate(fields.items()):
+        relative = path.removeprefix(".") if path.startswith(".") else f"/{path}"
+        whole = path if path.startswith("/") else path.removeprefix(".") if path.startswith(".") else f"//{path}"
+        itself = re.sub(r"^/(@[\w-]+|text\(\))$", "", relative) == ""
+        on_row = (F.col("xpath") == "") if itself else matches_xpath(relative)
+        near[f"_near{n}"] = F.lit(False) if path.startswith("/") else F.coalesce(F.col("inside") & on_row, F.lit(False))
+        far[f"_far{n}"] = F.lit(False) if itself else matches_xpath(whole)
+        read[f"_value{n}"] = extracted(whole)
+    # the tests of one kind see the path from the row, those of the other the path from the page
+    rowed = placed.withColumns({"inside": inside, "xpath": F.when(inside, F.substr("xpath", F.length("row_xpath") + 1))}).withColumns(near)
+    tested = rowed.withColumn("xpath", F.col("page_xpath")).withColumns({**far, **read})
+    gathered = []
+    for n, name in enumerate(fields):
+        value = F.struct("pos", F.col(f"_value{n}").alias("value"))
+        for test in (f"_near{n}", f"_far{n}"):
+            if name in lists:
+                hits = F.array_sort(F.collect_list(F.when(F.col(test) & F.col(f"_value{n}").isNotNull(), value)))
+                gathered.append(F.when(F.size(hits) > 0, F.transform(hits, lambda h: h["value"])).alias(test))
+            else:
+                gathered.append(F.min(F.when(F.col(test), value))["value"].alias(test))
+    told = tested.groupBy(id_col).agg(*gathered)
+    named = [F.coalesce(f"_near{n}", f"_far{n}").alias(name) for n, name in enumerate(fields)]
+    return told.select(id_col, *named).where(reduce(lambda a, b: a | b, [F.col(f"`{name}`").isNotNull() for name in fields]))
+
+
 def search_value(node_table: DataFrame, id_col: str, expected: DataFrame, most: int = 3) -> DataFrame:
     """Nodes whose own text equals an expected value (id, field, value), up to ``most`` paths each, in page order."""
     from pyspark.sql import Window as W

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,4 +73,26 @@ SELECT o_custkey, o_orderkey, CASE WHEN NOT captured THEN 'not_captured' WHEN NO
 """
 
 
-QUERIES = {name: (globals()[name], globals()[name.upper()]) for name in ("link_collectors", "link_messages")}
+def page_fields(spark, folder):
+    """Fields of each page as one thing: read from the article where it has them, else from the whole page; lists in full."""
+    found = H.nodes(table(spark, folder, "pages").select("page_id", "html"), "page_id", "html")
+    fields = {"heading": "./h1", "headings": ".//h1", "links": ".//li/a/@href", "menu": ".//li/a", "notice": './/div[@class="ad"]', "foot": "footer", "missing": "./footer", "language": "/html/@lang"}
+    read = H.extract_page(found, "page_id", "//article", fields, ["headings", "links", "menu"])
+    joined = [F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c) for c in ("headings", "links", "menu")]
+    return read.select("page_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("heading", "notice", "foot", "missing", "language")], *joined)
+
+
+PAGE_FIELDS = r"""
+WITH l AS (SELECT page_id, html, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>', 1) AS l FROM pages)
+SELECT page_id, TIDY[regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)] AS heading, TIDY[regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1)] AS notice, TIDY[regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)] AS foot, '' AS missing,
+  regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, TIDY[regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)] AS headings,
+  array_to_string(list_filter(list_transform(l, lambda x: TIDY[regexp_extract(x, '<a href="([^"]*)"', 1)]), lambda x: x <> ''), '|') AS links,
+  array_to_string(list_filter(list_transform(l, lambda x: TIDY[regexp_extract(x, '(?s)<a [^>]*>(.*?)</a>', 1)]), lambda x: x <> ''), '|') AS menu FROM l
+"""
+# the twin's own tidying of a value stands for TIDY[...]
+_TIDY = r"""trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(replace(replace(replace(VALUE, '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '(?i)^\s*Visit the\s+', ''), '(?i)\s+Store\s*$', '')), '(?i)^(Shop|Buy|Order|Get)\s+(now|it|this)?\s*', ''), '\s+', ' ', 'g'))"""
+
+PAGE_FIELDS = re.sub(r"TIDY\[(regexp_extract\(.*?, 1\))\]", lambda m: _TIDY.replace("VALUE", m[1]), PAGE_FIELDS)
+
+
+QUERIES = {name: (globals()[name], globals()[name.upper()]) for name in ("link_collectors", "link_messages", "page_fields")}

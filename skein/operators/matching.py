@@ -102,6 +102,23 @@ def fits_page1(url: Column, origins: Column, path_prefix: Column) -> Column:
     return F.coalesce(F.array_contains(origins, origin) & U.path(url).startswith(path_prefix), F.lit(False))
 
 
+def guarded_rows(rows: DataFrame, shapes: DataFrame, keys: Sequence[str], by: Sequence[str], value: str, base: str, pos: str) -> tuple[DataFrame, DataFrame]:
+    """Addresses in the rows of later pages that page 1 lets one believe: (rows, report). ``shapes`` comes from ``page1_shape``
+    (keys, origins, path_prefix), ``by`` names the page of a row within its listing. A value must look like an address (a
+    slash in it, or an http address) and, joined with ``base``, lie on an origin and in the directory of page 1; in
+    listings without a shape none does. Empty and null values count for nothing.
+
+    Rows that may be planned keep their raw value; the report has (keys, by, usable, refused): their number and the
+    first value refused, by ``pos`` and then by the value, null if none was. Pages without any value have no row there."""
+    told = rows.where(F.col(value) != "").join(shapes.select(*keys, "origins", "path_prefix"), list(keys), "left")
+    shaped = F.contains(F.col(value), F.lit("/")) | F.col(value).rlike(r"(?i)^https?:")
+    whole = F.when(shaped & F.col("origins").isNotNull(), U.absolute(F.col(value), F.col(base)))
+    checked = told.withColumn("_fits", F.coalesce(fits_page1(whole, F.col("origins"), F.col("path_prefix")), F.lit(False)))
+    first = F.min(F.when(~F.col("_fits"), F.struct(F.col(pos), F.col(value).alias("raw"))))["raw"]
+    report = checked.groupBy(*keys, *by).agg(F.count_if("_fits").alias("usable"), first.alias("refused"))
+    return checked.where("_fits").drop("_fits", "origins", "path_prefix"), report
+
+
 def carried_marks(readings: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A mark's value carried from one page to others: per page and field the first filled reading of ranked paths."""
     filled = readings.where(is_filled(F.col("value")))

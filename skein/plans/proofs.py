@@ -1,4 +1,4 @@
-"""Queries of the proof family: variants certified by links, entities of documents, fields of single pages."""
+"""Queries of the proof family: variants certified by links, fields of single pages, addresses that page 1 bears out."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import html as H
+from skein.operators import matching as M
 from skein.operators import variant_links as VL
 from skein.sources.tables import table
 
@@ -95,4 +96,38 @@ _TIDY = r"""trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replac
 PAGE_FIELDS = re.sub(r"TIDY\[(regexp_extract\(.*?, 1\))\]", lambda m: _TIDY.replace("VALUE", m[1]), PAGE_FIELDS)
 
 
-QUERIES = {name: (globals()[name], globals()[name.upper()]) for name in ("link_collectors", "link_messages", "page_fields")}
+def _guarded(spark, folder):
+    """Orders as listings: their first two lines are page 1, the lines behind it what an interface answers, each line number a
+    page. Returned lines name another host, every third is a relative address, the fifth a bare number."""
+    where = F.concat(F.lit("/"), F.lower("p_type"), F.lit("/"), (F.col("p_size") % 3).cast("string"), F.lit("/"), F.col("p_partkey").cast("string"))
+    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), where.alias("path"))
+    origin = F.when(F.col("l_returnflag") == "A", "https://old.example.com").otherwise("https://shop.example.com")
+    lines = table(spark, folder, "lineitem").join(parts, "l_partkey").withColumn("url", F.concat(origin, "path"))
+    number = F.col("l_linenumber")
+    raw = F.when(number == 5, F.col("l_partkey").cast("string")).when(number % 3 == 0, F.col("path")).when(number == 7, "").otherwise(F.col("url"))
+    rows = lines.where(number > 2).select("l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw"), F.lit("https://shop.example.com/list").alias("base"))
+    return M.guarded_rows(rows, M.page1_shape(lines.where(number <= 2), ["l_orderkey"], "url"), ["l_orderkey"], ["l_linenumber"], "raw", "base", "l_partkey")
+
+
+def guarded_rows(spark, folder):
+    """Addresses of later pages that fit what page 1 showed."""
+    return _guarded(spark, folder)[0].select("l_orderkey", "l_linenumber", "l_partkey", "raw")
+
+
+def row_refusals(spark, folder):
+    """How many addresses of each later page may be planned, and the first that may not."""
+    return _guarded(spark, folder)[1].select("l_orderkey", "l_linenumber", "usable", F.coalesce("refused", F.lit("")).alias("refused"))
+
+
+_GUARDED = """
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'A' THEN 'https://old.example.com' ELSE 'https://shop.example.com' END AS origin, lower(p_type) AS kind, p_size % 3 AS size FROM lineitem JOIN part ON l_partkey = p_partkey),
+s AS (SELECT l_orderkey, list(DISTINCT origin) AS origins, CASE WHEN count(DISTINCT kind) > 1 THEN '/' WHEN count(DISTINCT size) > 1 THEN '/' || min(kind) || '/' ELSE '/' || min(kind) || '/' || min(size) || '/' END AS prefix FROM l WHERE l_linenumber <= 2 GROUP BY 1),
+r AS (SELECT *, '/' || kind || '/' || size || '/' || l_partkey AS path FROM l WHERE l_linenumber > 2 AND l_linenumber <> 7),
+c AS (SELECT r.l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 5 THEN CAST(l_partkey AS VARCHAR) WHEN l_linenumber % 3 = 0 THEN path ELSE origin || path END AS raw,
+  coalesce(l_linenumber <> 5 AND starts_with(path, prefix) AND list_contains(origins, CASE WHEN l_linenumber % 3 = 0 THEN 'https://shop.example.com' ELSE origin END), false) AS fits FROM r LEFT JOIN s ON r.l_orderkey = s.l_orderkey)
+"""
+GUARDED_ROWS = _GUARDED + "SELECT l_orderkey, l_linenumber, l_partkey, raw FROM c WHERE fits"
+ROW_REFUSALS = _GUARDED + "SELECT l_orderkey, l_linenumber, count(*) FILTER (fits) AS usable, coalesce(arg_min(raw, (l_partkey, raw)) FILTER (NOT fits), '') AS refused FROM c GROUP BY 1, 2"
+
+
+QUERIES = {name: (globals()[name], globals()[name.upper()]) for name in ("link_collectors", "link_messages", "page_fields", "guarded_rows", "row_refusals")}

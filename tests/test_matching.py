@@ -92,6 +92,19 @@ def test_row_urls_stay_in_the_first_page_directory(spark):
     assert [r.ok for r in got] == [True, False, False]
 
 
+def test_guarded_rows(spark):
+    shape = M.page1_shape(spark.createDataFrame([("l", "https://x.io/shop/p/1"), ("l", "https://x.io/shop/q/22")], "list string, url string"), ["list"], "url")
+    raws = ["https://x.io/shop/r/3", "/shop/z", "r/9", "", None, "887766", "https://y.io/shop/p/1", "/api/1", "../shop/k", "HTTPS://X.io/shop/u", "javascript:x/y"]
+    rows = [("l", 2, n, raw, "https://x.io/shop/list") for n, raw in enumerate(raws)] + [("l", 3, 0, "/shop/a", "https://x.io/shop/list"), ("none", 2, 0, "/shop/a", "https://x.io/"), ("l", 4, 0, None, "https://x.io/")]
+    table = spark.createDataFrame(rows, "list string, page int, pos int, raw string, base string")
+    kept, report = M.guarded_rows(table, shape, ["list"], ["page"], "raw", "base", "pos")
+    assert kept.columns == table.columns
+    assert sorted((r.list, r.page, r.raw) for r in kept.collect()) == [("l", 2, "../shop/k"), ("l", 2, "/shop/z"), ("l", 2, "HTTPS://X.io/shop/u"), ("l", 2, "https://x.io/shop/r/3"), ("l", 2, "r/9"), ("l", 3, "/shop/a")]
+    assert {(r.list, r.page): (r.usable, r.refused) for r in report.collect()} == {("l", 2): (5, "887766"), ("l", 3): (1, None), ("none", 2): (0, "/shop/a")}
+    kept, report = M.guarded_rows(table.limit(0), shape, ["list"], ["page"], "raw", "base", "pos")
+    assert kept.count() == report.count() == 0
+
+
 BODY = {
     "@type": "ProductGroup",
     "name": "Chair",

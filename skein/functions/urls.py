@@ -220,6 +220,6 @@ NOISE_PATHS = r"/optimizely/|(?i:/otFlat\.json$)|(?i:/otPcPanel\.json$)"
 
 def is_third_party_noise(url: Column) -> Column:
     """Requests of trackers: a known host or its subdomain, or a tracker's path. What cannot be read is no noise."""
-    name = host(url)
-    by_host = reduce(lambda a, b: a | b, [(name == h) | name.endswith("." + h) for h in NOISE_HOSTS])
+    # a list of one binds the host, so that the address is read once and not once a tracker
+    by_host = F.exists(F.array(host(url)), lambda name: reduce(lambda a, b: a | b, [(name == h) | name.endswith("." + h) for h in NOISE_HOSTS]))
     return F.coalesce(by_host | path(url).rlike(NOISE_PATHS), F.lit(False))

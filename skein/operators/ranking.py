@@ -128,13 +128,14 @@ def hits(values: Column, among: Sequence[str]) -> Column:
 def request_score(url: Column, keys: Column, body_size: Column, weights: dict[str, int] = WEIGHTS) -> Column:
     """Words of the path (the first matching list counts), keys of the body, and its size if it has product keys.
     Bodies with fewer than three keys score 0."""
-    words = url_words(url)
-    by_words = (
+    by_list = lambda words: (
         hits(words, RELATION_URL_WORDS) * weights["relation_word"]
         + hits(words, NEGATIVE_URL_WORDS) * weights["negative_word"]
         + hits(words, PRODUCT_URL_WORDS) * weights["product_word"]
         + hits(words, API_URL_WORDS) * weights["api_word"]
     )
+    # a list of one binds the words, so that they are split once and not once a list of words
+    by_words = F.transform(F.array(url_words(url)), by_list)[0]
     product = hits(keys, PRODUCT_KEYS)
     size = (
         F.when(product == 0, 0)

@@ -8,7 +8,7 @@ from skein.functions import html as H
 from skein.functions import urls as U
 from skein.operators import contract
 from skein.operators import pages as P
-from skein.operators.ranking import API_URL_WORDS, CONFIG_KEYS, NEGATIVE_URL_WORDS, PRODUCT_KEYS, PRODUCT_URL_WORDS, RELATION_URL_WORDS, WEIGHTS, analysis_sources, dense_window, hits, request_score
+from skein.operators.ranking import API_URL_WORDS, CONFIG_KEYS, NEGATIVE_URL_WORDS, PRODUCT_KEYS, PRODUCT_URL_WORDS, RELATION_URL_WORDS, WEIGHTS, analysis_sources, dense_window, hits, rank_requests, request_score
 from skein.sources.tables import table
 
 _PARTS = r"""
@@ -233,6 +233,27 @@ SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 0 ELSE CAST(-30 * len(list_inters
 """
 
 
+def ranked_requests(spark, folder):
+    """A domain's recorded responses by what their addresses, keys and sizes tell: ten at most, trackers and thin bodies out."""
+    n = F.col("page_id")
+    more = F.concat(F.when(n % 3 == 0, ',"modules":[{"Layout":1}]').otherwise(""), F.when(n % 5 == 0, ',"name":null').otherwise(""))
+    pad = F.concat(F.lit('"pad":"'), F.repeat(F.lit("x"), F.length("html")), F.lit('"'))
+    body = F.when(n % 4 == 0, F.concat(F.lit("{"), pad, F.lit("}"))).otherwise(F.concat(F.lit('{"price":1,"item":{"sku":"s"},'), pad, more, F.lit("}")))
+    url = F.when(n % 7 == 0, F.lit("https://cdn.onetrust.com/product")).when(n % 11 == 0, F.concat(U.without_fragment(F.regexp_replace("url", r"\?.*$", "")), F.lit("/api/products"))).otherwise(F.col("url"))
+    requests = table(spark, folder, "pages").select(U.root_domain(U.host(F.col("url"))).alias("root"), n.alias("seq"), url.alias("url"), body.alias("body"))
+    return rank_requests(requests, ["root"]).select("root", "seq", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+RANKED_REQUESTS = _PARTS + rf"""
+, q AS (SELECT array_to_string(labels[-2:], '.') AS root, page_id, length(html) AS chars, CASE WHEN page_id % 11 = 0 THEN path || '/api/products' ELSE path END AS path FROM s WHERE page_id % 7 <> 0 AND page_id % 4 <> 0),
+w AS (SELECT root, page_id, length('{{"price":1,"item":{{"sku":"s"}},"pad":""}}') + chars + CASE WHEN page_id % 3 = 0 THEN length(',"modules":[{{"Layout":1}}]') ELSE 0 END + CASE WHEN page_id % 5 = 0 THEN length(',"name":null') ELSE 0 END AS size,
+  list_distinct(list_filter(string_split_regex(lower(regexp_replace(path, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM q),
+k AS (SELECT root, page_id AS seq, CAST(-30 * len(list_intersect(w, {_LISTS["relation"]})) - 10 * len(list_intersect(w, {_MORE["negative"]})) + 4 * len(list_intersect(w, {_LISTS["product"]})) + 2 * len(list_intersect(w, {_LISTS["api"]}))
+  + 4 + CASE WHEN page_id % 5 = 0 THEN 2 ELSE 0 END - CASE WHEN page_id % 3 = 0 THEN 8 ELSE 0 END + CASE WHEN size > 2000 AND size < 50000 THEN 3 WHEN size > 500 AND size < 100000 THEN 2 WHEN size > 100000 THEN -2 ELSE 0 END AS BIGINT) AS score FROM w)
+SELECT root, seq, score, row_number() OVER (PARTITION BY root ORDER BY score DESC, seq) AS rank FROM k WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def analysis_sources_query(spark, folder):
     """Five sources of each host to look at: inline pages first, then the largest."""
     pages = table(spark, folder, "pages").select(U.bare_host(F.col("url")).alias("host"), F.col("page_id").alias("seq"), F.length("html").alias("size"), (F.col("page_id") % 4 == 0).alias("is_inline"))
@@ -336,6 +357,7 @@ QUERIES = {
     "input_urls": (input_urls, INPUT_URLS),
     "request_words": (request_words, REQUEST_WORDS),
     "request_scores": (request_scores, REQUEST_SCORES),
+    "ranked_requests": (ranked_requests, RANKED_REQUESTS),
     "analysis_sources": (analysis_sources_query, ANALYSIS_SOURCES),
     "dense_windows": (dense_windows, DENSE_WINDOWS),
     "page_nodes": (page_nodes, PAGE_NODES),

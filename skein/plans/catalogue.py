@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cells, certification, checks, crawl, exports, matches, pages, proofs, relational, values, work
+from . import cells, certification, checks, crawl, exports, matches, pages, proofs, readings, relational, values, work
 
-FAMILIES = (relational, cells, values, pages, exports, work, matches, checks, crawl, certification, proofs)
+FAMILIES = (relational, cells, values, pages, exports, work, matches, checks, crawl, certification, proofs, readings)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

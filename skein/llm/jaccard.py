@@ -38,6 +38,7 @@ from skein.operators.labels import spread_labels
 from .rows import PLACE, keep_rows, large_groups, meet_groups, numbered
 from .storage import materialise
 from .words import SEED, shingle_hashes
+from .workers import give_back
 
 #: Shingles of a bucket, about; of the documents sent off together.
 BUCKET, CHUNK = 1_000_000, 1_000_000
@@ -45,6 +46,8 @@ BUCKET, CHUNK = 1_000_000, 1_000_000
 HOT = 32
 #: Nodes and bytes of a chunk of connected nodes, about.
 LIMIT, LIMIT_BYTES = 512, 2 << 20
+#: Bytes of a key's rows from which their memory is given back at once.
+LARGE_KEY = 1 << 18
 #: Greatest number of shared tokens asked for, and the cost of a comparison beside that of one node met, by tokens of the set.
 MOST_MATCHES, COMPARISON = 8, 0.125
 
@@ -334,7 +337,13 @@ def connected_links(members: DataFrame, lists: DataFrame, share: int) -> DataFra
         some = links > 0
         return pa.table({"node": node[some], "root": node[label[some]], "links": links[some]})
 
-    return rows.groupBy("key").applyInArrow(compare, "node long, root long, links long")
+    def one_key(table: pa.Table) -> pa.Table:
+        found = compare(table)
+        if table.nbytes > LARGE_KEY:
+            give_back()
+        return found
+
+    return rows.groupBy("key").applyInArrow(one_key, "node long, root long, links long")
 
 
 def smallest_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -42,6 +42,7 @@ from .jaccard import connected_links
 from .rows import FILE, PLACE, ROW, keep_rows, large_groups, meet_groups
 from .storage import materialise
 from .words import SEED, shingle_hashes
+from .workers import giving_back
 
 BITS = 64
 #: Largest number of fingerprints walked under one key; larger keys are split.
@@ -337,7 +338,7 @@ def shingle_sets(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_digest(x) for x in sets], type=pa.int64()), pa.array([x.tobytes() for x in sets], type=pa.binary())], ["node", "hashes"])
 
-    return rows.select(F.col(text_col).cast("binary")).mapInArrow(run, "node long, hashes binary")
+    return rows.select(F.col(text_col).cast("binary")).mapInArrow(giving_back(run), "node long, hashes binary")
 
 
 def sketches(rows: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -359,7 +360,7 @@ def sketches(rows: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, type=pa.int64()), pa.array(signed(prints)), lists, pa.array(packed, type=pa.binary())], names)
 
     columns = [F.col(id_col).alias("doc_id"), *PLACE, F.col(text_col).cast("binary").alias("text")]
-    return rows.select(*columns).mapInArrow(run, f"doc_id {kind}, {FILE} long, {ROW} long, node long, fingerprint long, bands array<long>, sketch binary")
+    return rows.select(*columns).mapInArrow(giving_back(run), f"doc_id {kind}, {FILE} long, {ROW} long, node long, fingerprint long, bands array<long>, sketch binary")
 
 
 def _walk_similar(budget: int, least: float):
@@ -396,7 +397,7 @@ def candidate_stars(nodes: DataFrame, budget: int, least: float) -> DataFrame:
     few = full.where(F.col("count") <= LIMIT).select("key", F.lit(0).alias("side"), "fingerprint", "node", "sketch")
     rows = few.unionByName(_chunk_pairs(full.where(F.col("count") > LIMIT)))
     walked = rows.repartition("key").sortWithinPartitions("key", "side", F.expr("fingerprint < 0"), "fingerprint")
-    return walked.mapInArrow(_walk_similar(budget, least), "leaf long, root long").distinct()
+    return walked.mapInArrow(giving_back(_walk_similar(budget, least)), "leaf long, root long").distinct()
 
 
 def similar_representatives(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = WIDE_BUDGET) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialise
+from .workers import giving_back
 
 NUMBER = "piece_number"
 
@@ -152,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(rows[5], type=pa.list_(pa.int32()))] * with_ids, names)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(giving_back(run), schema)
 
 
 class OpenWindows:

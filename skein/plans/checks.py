@@ -172,11 +172,17 @@ def placeholders(spark, folder):
 PLACEHOLDERS = "SELECT event_id, event_id % 8 IN (0, 1, 2, 3, 5) AS none FROM events"
 
 
+def _padded(number):
+    """Six digits at least; lpad alone would cut longer numbers."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0"))
+
+
 def same_pages(spark, folder):
     """Whether an entity describes the page: one of a product type with other identifiers does not."""
     kind = _pick(["Product", "WebPage", "Book"], F.col("p_partkey"))
     other = F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey")).otherwise(F.col("p_partkey") + 1)
-    ids = lambda n: E.identifiers(F.concat(F.lit("Nice item ab"), F.lpad(n.cast("string"), 6, "0"), F.lit(" in blue")))
+    ids = lambda n: E.identifiers(F.concat(F.lit("Nice item ab"), _padded(n), F.lit(" in blue")))
     return table(spark, folder, "part").select("p_partkey", E.describes_same_page(kind, ids(other), ids(F.col("p_partkey"))).alias("same"))
 
 

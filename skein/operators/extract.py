@@ -34,9 +34,11 @@ POOLS = {"api": 0, "json-ld": 1, "meta": 2}
 
 
 def alias_table(spark, fields: Sequence[str], aliases: dict[str, list[str]] = FIELD_ALIASES) -> DataFrame:
-    """(field, alias, alias_rank): the field's own name has rank -1."""
+    """(field, alias, alias_rank): the field's own name has rank -1. Made of literals, whose size the optimizer knows: rows
+    handed in from Python count as endless to it, so that the other side of a join is broadcast in their place."""
     rows = [(f, name, n - 1) for f in fields for n, name in enumerate([f, *aliases.get(f, [])])]
-    return spark.createDataFrame(rows, "field string, alias string, alias_rank int")
+    listed = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(name).alias("alias"), F.lit(rank).alias("alias_rank")) for f, name, rank in rows])
+    return spark.range(1).select(F.inline(listed))
 
 
 def mechanical(leaves: DataFrame, keys: Sequence[str], names: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from skein.operators import extract
 from skein.plans import catalogue
 from tests.compare import rows
 
@@ -24,3 +25,8 @@ def test_same_pages_with_keys_of_seven_digits(spark, tmp_path):
 def test_page_fields_with_other_and_cut_entities(spark, tmp_path):
     page = '<html lang="en"><body><nav><ul><li><a href="/a&quot;b">A &lt; B</a></li></ul></nav><article><h1>One &amp; &quot;two&quot; &copy; three&amp</h1></article><footer>&copy; x &middot; y &#169;</footer></body></html>'
     _agrees(spark, tmp_path, "page_fields", {"pages": spark.createDataFrame([(1, "http://a.example/", page)], "page_id long, url string, html string")})
+
+
+def test_alias_tables_have_a_known_size(spark):
+    names = extract.alias_table(spark, ["title", "price"])
+    assert names.count() == 17 and int(str(names._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000

@@ -27,6 +27,11 @@ def test_page_fields_with_other_and_cut_entities(spark, tmp_path):
     _agrees(spark, tmp_path, "page_fields", {"pages": spark.createDataFrame([(1, "http://a.example/", page)], "page_id long, url string, html string")})
 
 
+def test_shown_values_of_a_zero_balance(spark, tmp_path):
+    rows_ = [(n, f"Customer#{n:09d}", balance, "FURNITURE") for n, balance in enumerate([0.0, 0.0, -0.0, 12.5, 0.0, 1234.0, 0.0, 0.0, 0.5])]
+    _agrees(spark, tmp_path, "shown_values", {"customer": spark.createDataFrame(rows_, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string")})
+
+
 def test_alias_tables_have_a_known_size(spark):
     names = extract.alias_table(spark, ["title", "price"])
     assert names.count() == 17 and int(str(names._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000

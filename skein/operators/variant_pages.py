@@ -53,12 +53,15 @@ def wrong_variant(url: Column, ids: Column, pairs: Column, labels: Column) -> Co
 
 def page_twins(leaves: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Leaves with a twin for each one in the page's own entry of a list: ``rows[3].price`` is also ``rows[page].price``.
-    ``chosen`` has (keys, list_path, item), one row a list."""
-    joined = leaves.join(chosen, list(keys))
-    stem = F.concat("list_path", F.lit("["), F.col("item").cast("string"), F.lit("]"))
-    inside = joined.where(F.col("path").startswith(stem) & F.substr("path", F.length(stem) + 1, F.lit(1)).isin("", ".", "["))
-    twin = inside.withColumn("path", F.concat("list_path", F.lit("[page]"), F.substr("path", F.length(stem) + 1)))
-    return leaves.unionByName(twin.select(*leaves.columns))
+    ``chosen`` has (keys, list_path, item), one row a list. The leaves are read once: each goes on beside its twins."""
+    lists = chosen.groupBy(*keys).agg(F.collect_list(F.struct("list_path", "item")).alias("_lists"))
+    stem = lambda c: F.concat(c["list_path"], F.lit("["), c["item"].cast("string"), F.lit("]"))
+    rest = lambda c: F.substr("path", F.length(stem(c)) + 1)
+    inside = F.filter("_lists", lambda c: F.col("path").startswith(stem(c)) & F.left(rest(c), F.lit(1)).isin("", ".", "["))
+    twins = F.transform(inside, lambda c: F.concat(c["list_path"], F.lit("[page]"), rest(c)))
+    paths = F.concat(F.array("path"), F.coalesce(twins, F.array().cast("array<string>")))
+    told = leaves.join(lists, list(keys), "left").withColumn("_path", F.explode(paths))
+    return told.select(*[F.col("_path").alias(c) if c == "path" else c for c in leaves.columns])
 
 
 def on_page(path: Column, list_path: Column, item: Column) -> Column:

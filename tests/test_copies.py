@@ -2,6 +2,7 @@
 
 import duckdb
 
+from skein.functions import html
 from skein.operators import extract
 from skein.plans import catalogue
 from tests.compare import rows
@@ -35,3 +36,17 @@ def test_shown_values_of_a_zero_balance(spark, tmp_path):
 def test_alias_tables_have_a_known_size(spark):
     names = extract.alias_table(spark, ["title", "price"])
     assert names.count() == 17 and int(str(names._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000
+
+
+def test_node_reader_hands_on_large_pages_in_parts(spark, monkeypatch):
+    page = "<html><body>a" + "".join(f"<div id='{n}'>x<br>&amp;<b>y</b>z" + ("</div>" if n % 3 else "") for n in range(40)) + "</body><i>end"
+    whole = sorted(html._nodes_of(page), key=lambda e: e["pos"])
+    reader = html._nodes_of(page)
+    monkeypatch.setattr(html, "PIECE", 7)
+    first = next(reader)
+    # a void element leaves before the page is read to its end
+    assert first["tag"] == "br" and first["pos"] == 3
+    text = lambda rows_: [(e["pos"], e["parent"], e["xpath"], "".join(e["text"])) for e in rows_]
+    assert text(whole) == text(sorted([first, *reader], key=lambda e: e["pos"]))
+    frame = spark.createDataFrame([(1, page), (2, None), (3, "<p>q")], "id int, html string")
+    assert {r.id: r.n for r in html.nodes(frame, "id", "html").groupBy("id").count().toDF("id", "n").collect()} == {1: len(whole), 3: 1}

@@ -5,10 +5,12 @@ spans always stay. Candidates are all base spans and every other token-like run
 plain word (letters in one case, first letter aside, under 16 of them, a full stop or hyphen behind). The network reads each
 candidate with its surrounding characters (candidates longer than its view in overlapping views, the best of which
 counts) and gives each a calibrated probability; a candidate outside the base spans is added as kind ``model`` where it
-reaches the threshold of the candidate's class. It is trained in numpy on labelled findings: those of ``documents``
-(base spans are secrets, other candidates are none; a bounded sample by hash) and a seeded set of further
-notations. One document in five is held out; there, thresholds are the largest that keep the wanted recall, but no
-higher than ``CEILING``.
+reaches the threshold of the candidate's class. It is trained in numpy on labelled findings: all those of ``documents``
+(base spans are secrets, other candidates are none) and a seeded set of further notations. A start is fitted on findings
+chosen by hash; where documents have more, every one of them takes part in the rounds that follow: shards of findings each
+go on from the common weights, and the weights are averaged. Base spans, other candidates and the seeded set keep the
+weights that they have in the start. One document in five is held out; over all of these, probabilities are calibrated
+and thresholds are the largest that keep the wanted recall, but no higher than ``CEILING``.
 
 Null and empty texts have no spans; offsets are code points, end exclusive; a model span may reach beyond a base span
 that it overlaps, but lies inside none; repeated rows are scanned each; ids of any type come back as they are; other
@@ -18,12 +20,11 @@ columns are not read, so names cannot clash; an empty table gives no rows. Whole
 from __future__ import annotations
 
 import bisect
-import heapq
 import itertools
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -53,8 +54,12 @@ CLASSES = ("hex", "upper", "mixed")
 #: Share of held-out secrets that a class's threshold must keep, and its highest value: findings that separate
 #: perfectly would else push it to 1, where unseen notations fail.
 RECALL, CEILING = 0.95, 0.8
-#: Findings of documents of each kind in the training sample, chosen by hash.
+#: Findings of documents of each kind that the start is fitted on, chosen by hash; also the weight of all findings of the kind.
 SAMPLE = 2000
+#: Findings of a shard, rounds over all shards and their rate, and the unit that weights and log odds are rounded to, so that
+#: sums do not depend on their order.
+SHARD, ROUNDS, RATE = 32_000, 2, 0.003
+WEIGHT_UNIT, ODDS_UNIT = 2.0**-32, 2.0**-7
 
 #: text, start, end, label, and what findings are held out by (a document)
 Finding = tuple[str, int, int, int, str]
@@ -187,31 +192,40 @@ def seeded_findings(count: int = 8000, seed: int = 7) -> list[Finding]:
     return found
 
 
-def document_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[Finding]:
-    """At most ``sample`` base spans and ``sample`` other candidates of documents, those with the smallest hashes; each as
-    the text around it that a view holds. Every task hands in its own smallest only."""
+def all_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The base spans and other candidates of all documents, each as the text around it that a view holds; stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list] = ([], [])
         for batch in batches:
+            rows = []
             for name, text, spread in zip(*(batch.column(c).to_pylist() for c in ("name", "text", "spread"))):
                 base = base_spans(text or "")
                 found = [(a, b, 1) for a, _, b in base] + [(a, b, 0) for a, b in candidates(text or "", base)]
                 for n, (a, b, label) in enumerate(found):
-                    rank = -zlib.crc32(f"{spread} {n}".encode())
                     low = max(a - BEFORE, 0)
-                    row = (rank, text[low : a + INSIDE + AFTER], a - low, min(b, a + INSIDE + AFTER) - low, label, name)
-                    (heapq.heappush if len(held[label]) < sample else heapq.heappushpop)(held[label], row)
-        columns = list(zip(*held[0], *held[1])) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names)
-
-    names = ["rank", "text", "start", "stop", "label", "name"]
+                    rows.append((zlib.crc32(f"{spread} {n}".encode()), text[low : a + INSIDE + AFTER], a - low, min(b, a + INSIDE + AFTER) - low, label, name, is_held_out(name)))
+                if len(rows) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], names)
+
+    names = ["rank", "text", "start", "stop", "label", "name", "held"]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    found = docs.select(name.alias("name"), F.col(text_col).alias("text"), F.xxhash64(name, F.col(text_col)).alias("spread")).mapInArrow(run, "rank long, text string, start long, stop long, label long, name string")
-    found = materialise(found, "findings")
-    smallest = [found.where(F.col("label") == label).orderBy(F.desc("rank"), "name", "text", "start").limit(sample).collect() for label in (0, 1)]
-    rows = [r for part in smallest for r in part]
-    return [(r.text, r.start, r.stop, r.label, r.name) for r in rows]
+    found = docs.select(name.alias("name"), F.col(text_col).alias("text"), F.xxhash64(name, F.col(text_col)).alias("spread"))
+    return materialise(found.mapInArrow(run, "rank long, text string, start long, stop long, label long, name string, held boolean"), "findings")
+
+
+def smallest_findings(found: DataFrame, sample: int = SAMPLE) -> list[Finding]:
+    """At most ``sample`` base spans and ``sample`` other candidates of ``all_findings``, those with the smallest hashes."""
+    smallest = [found.where(F.col("label") == label).orderBy("rank", "name", "text", "start").limit(sample).collect() for label in (0, 1)]
+    return [(r.text, r.start, r.stop, r.label, r.name) for part in smallest for r in part]
+
+
+def document_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[Finding]:
+    """The findings of documents that a start is fitted on."""
+    return smallest_findings(all_findings(docs, id_col, text_col), sample)
 
 
 def is_held_out(group: str) -> bool:
@@ -243,10 +257,11 @@ class CharNet:
         hidden = np.maximum(pooled @ w["dense"] + w["dense_b"], 0)
         return hidden @ w["out"] + w["out_b"][0], (wide, conv, top, pooled, hidden)
 
-    def gradients(self, codes: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, codes: np.ndarray, y: np.ndarray, share: np.ndarray | None = None) -> dict[str, np.ndarray]:
         w = self.weights
+        share = np.full(len(y), 1 / len(y)) if share is None else share
         z, (wide, conv, top, pooled, hidden) = self._forward(codes)
-        dz = (1 / (1 + np.exp(-z)) - y) / len(y)
+        dz = (1 / (1 + np.exp(-z)) - y) * share
         g = {"out": hidden.T @ dz, "out_b": np.array([dz.sum()])}
         dh = np.outer(dz, w["out"]) * (hidden > 0)
         g["dense"], g["dense_b"] = pooled.T @ dh, dh.sum(axis=0)
@@ -286,30 +301,104 @@ def train(findings: list[Finding], epochs: int = 6, seed: int = 3) -> CharNet:
             "out_b": np.zeros(1),
         }
     )
+    x, y = codes[~held], labels[~held]
+    _descend(net, x, y, np.ones(len(y)), epochs, 0.01, rng)
+    _calibrate(net, net.logits(codes[held]), labels[held], classes[held], np.ones(held.sum()))
+    return net
+
+
+def _descend(net: CharNet, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, rate: float, rng: np.random.Generator) -> None:
+    """Steps of Adam over the views, in an order drawn from ``rng``; a view counts by its weight."""
     first = {k: np.zeros_like(v) for k, v in net.weights.items()}
     second = {k: np.zeros_like(v) for k, v in net.weights.items()}
-    x, y, step = codes[~held], labels[~held], 0
+    step, mean = 0, weight.mean() if len(weight) else 1.0
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for low in range(0, len(x), 64):
             rows, step = order[low : low + 64], step + 1
-            for k, g in net.gradients(x[rows], y[rows]).items():
+            for k, g in net.gradients(x[rows], y[rows], weight[rows] / (mean * len(rows))).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
-                net.weights[k] -= 0.01 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-    z, t = net.logits(codes[held]), labels[held]
+                net.weights[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+
+
+def _calibrate(net: CharNet, z: np.ndarray, t: np.ndarray, classes: np.ndarray, weight: np.ndarray) -> None:
+    """Scale and thresholds from held-out log odds, their labels and classes; each counts by its weight."""
     a, b = 1.0, 0.0
     for _ in range(200):  # Platt scaling by gradient steps, with a little decay against separable data
         p = 1 / (1 + np.exp(-(a * z + b)))
-        a, b = a - 0.05 * (((p - t) * z).mean() + 0.01 * (a - 1)), b - 0.05 * (p - t).mean()
+        off = (p - t) * weight / weight.sum()
+        a, b = a - 0.05 * ((off * z).sum() + 0.01 * (a - 1)), b - 0.05 * off.sum()
     net.scale = (float(a), float(b))
-    p = net.probabilities(codes[held])
+    p = 1 / (1 + np.exp(-(a * z + b)))
     for c in range(len(CLASSES)):
-        true = np.sort(p[(classes[held] == c) & (t == 1)])
-        net.thresholds[c] = float(min(true[int((1 - RECALL) * len(true))], CEILING)) if len(true) else CEILING
+        mine = (classes == c) & (t == 1)
+        order = np.argsort(p[mine], kind="stable")
+        true, reached = p[mine][order], np.cumsum(weight[mine][order])
+        net.thresholds[c] = float(min(true[np.searchsorted(reached, (1 - RECALL) * reached[-1], side="right")], CEILING)) if len(true) else CEILING
+
+
+def fit(docs: DataFrame, seeded: list[Finding], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> CharNet:
+    """The network of all findings of documents and the seeded ones."""
+    found = all_findings(docs, id_col, text_col)
+    net = train(smallest_findings(found, sample) + seeded)
+    count = {(r.label, r.held): r["count"] for r in found.groupBy("label", "held").count().collect()}
+    of_label = {label: count.get((label, False), 0) + count.get((label, True), 0) for label in (0, 1)}
+    if max(of_label.values()) <= sample:
+        return net  # the start has seen all of them
+    share = {label: min(1.0, sample / max(n, 1)) for label, n in of_label.items()}
+    shards = max(1, round((count.get((0, False), 0) + count.get((1, False), 0)) / SHARD))
+    rows = found.where(~F.col("held")).withColumn("shard", F.pmod(F.xxhash64("rank", "name", "text", "start"), F.lit(shards)))
+    kept = [f for f in seeded if not is_held_out(f[4])]
+    for turn in range(ROUNDS):
+        sums = rows.groupBy("shard").applyInPandas(_shard_steps(net, kept, share, shards, turn), "at long, total long").groupBy("at").agg(F.sum("total").alias("total"), F.count(F.lit(1)).alias("shards"))
+        flat = np.array([r.total / r.shards for r in sums.orderBy("at").collect()]) * WEIGHT_UNIT
+        net = CharNet(_unflatten(flat, net.weights))
+    held = [(*key, n, share[key[1]]) for key, n in _held_odds(net, found).items()]
+    apart = [f for f in seeded if is_held_out(f[4])]
+    odds = net.logits(np.concatenate([_views(t, a, b)[:1] for t, a, b, _, _ in apart])) if apart else []
+    held += [(class_of(f[0][f[1] : f[2]]), f[3], z, 1, 1.0) for f, z in zip(apart, odds)]
+    classes, labels, z, n, each = (np.array(c, dtype=float) for c in zip(*held))
+    _calibrate(net, z, labels, classes, n * each)
     return net
 
 
+def _unflatten(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    ends = np.cumsum([v.size for v in like.values()])
+    return {k: part.reshape(v.shape) for (k, v), part in zip(like.items(), np.split(flat, ends[:-1]))}
+
+
+def _shard_steps(net: CharNet, seeded: list[Finding], share: dict[int, float], shards: int, turn: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """From the rows of a shard to the weights after an epoch over them and the seeded findings, in units."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["rank", "name", "text", "start", "stop", "label"])
+        findings = [*zip(rows["text"], rows["start"], rows["stop"], rows["label"]), *(f[:4] for f in seeded)]
+        weight = np.concatenate((rows["label"].map(share).to_numpy(float) * shards, np.ones(len(seeded))))
+        own = CharNet({k: v.copy() for k, v in net.weights.items()})
+        codes = np.concatenate([_views(t, a, b)[:1] for t, a, b, _ in findings])
+        _descend(own, codes, np.array([f[3] for f in findings], dtype=float), weight, 1, RATE, np.random.default_rng([int(rows["shard"].iloc[0]), turn]))
+        flat = np.concatenate([v.ravel() for v in own.weights.values()])
+        return pd.DataFrame({"at": np.arange(len(flat)), "total": np.rint(flat / WEIGHT_UNIT).astype(np.int64)})
+
+    return run
+
+
+def _held_odds(net: CharNet, found: DataFrame) -> dict[tuple[int, int, float], int]:
+    """How many held-out findings of documents have each class, label and log odds, these rounded down to units: a table whose
+    size does not grow with the documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            places = list(zip(rows["text"], rows["start"], rows["stop"]))
+            if places:
+                odds = net.logits(np.concatenate([_views(t, a, b)[:1] for t, a, b in places]))
+                yield pd.DataFrame({"class": [class_of(t[a:b]) for t, a, b in places], "label": rows["label"], "bin": np.floor(odds / ODDS_UNIT).astype(np.int64)})
+
+    held = found.where("held").select("text", "start", "stop", "label").mapInPandas(run, "class long, label long, bin long")
+    return {(r["class"], r.label, r.bin * ODDS_UNIT): r["count"] for r in held.groupBy("class", "label", "bin").count().orderBy("class", "label", "bin").collect()}
+
+
 def scan(texts: list[str], net: CharNet) -> list[list[tuple[int, int, int, float]]]:
     """All spans (start, kind number, end, probability) of each text, sorted."""
     places, views = [], []

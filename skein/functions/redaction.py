@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,10 +25,19 @@ def is_secret_key(key: Column) -> Column:
     """A name is judged by its words, never by a substring: ``apiKey`` and ``DB_PASSWORD`` are secrets, ``design``,
     ``passCount`` and ``dedupeKey`` are not."""
     words = F.transform(F.regexp_extract_all(F.substring(key, 1, 200), F.lit(_WORD), F.lit(0)), F.lower)
+    return F.coalesce(_once(words, _names_secret), F.lit(False))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that it reads several times: a list of one binds the value, so that it is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _names_secret(words: Column) -> Column:
     pairs = F.transform(F.sequence(F.lit(2), F.greatest(F.size(words), F.lit(2))), lambda i: F.concat_ws(" ", F.try_element_at(words, i - 1), F.try_element_at(words, i)))
     quantity = (F.size(words) > 1) & F.try_element_at(words, F.lit(-1)).isin(QUANTITIES)
     named = F.arrays_overlap(words, F.array(*map(F.lit, SECRET_WORDS))) | F.arrays_overlap(pairs, F.array(*map(F.lit, SECRET_PAIRS)))
-    return F.coalesce(~quantity & (named | F.array_join(words, "").rlike(SECRET_ENDINGS)), F.lit(False))
+    return ~quantity & (named | F.array_join(words, "").rlike(SECRET_ENDINGS))
 
 
 _NAME = r"[A-Za-z_][\w.-]*"
@@ -61,14 +72,25 @@ def redact_text(text: Column, longest: int = 10_000) -> Column:
     masked = text
     for pattern, mask in _RULES:
         masked = F.regexp_replace(masked, pattern, mask)
+    return _once(masked, lambda m: _cut(_mask_named(m), longest))
+
+
+def _mask_named(masked: Column) -> Column:
     # the names that stand before a sign are judged one by one; a pattern of the secret ones masks their values
     named = F.array_distinct(F.regexp_extract_all(masked, F.lit(rf"(?<![\w.-])({_NAME})[\"']?{_SIGN}"), F.lit(1)))
     secret = F.array_join(F.transform(F.filter(named, is_secret_key), lambda n: F.replace(n, F.lit("."), F.lit("\\."))), "|")
-    head = F.concat(F.lit(r"(?<![\w.-])([\"']?(?:"), secret, F.lit(rf")[\"']?{_SIGN})"))
-    quoted = F.regexp_replace(masked, F.concat(head, F.lit(_QUOTED)), F.lit(f'$1"{MASK}"'))
-    plain = F.regexp_replace(quoted, F.concat(F.lit("(?i)"), head, F.lit(_VALUE)), F.lit(f"$1{MASK}"))
-    masked = F.when(secret != "", plain).otherwise(masked)
-    return F.when(F.length(masked) > longest, F.concat(F.substring(masked, 1, longest), F.lit("…"))).otherwise(masked)
+
+    def mask(names: Column) -> Column:
+        head = F.concat(F.lit(r"(?<![\w.-])([\"']?(?:"), names, F.lit(rf")[\"']?{_SIGN})"))
+        quoted = F.regexp_replace(masked, F.concat(head, F.lit(_QUOTED)), F.lit(f'$1"{MASK}"'))
+        plain = F.regexp_replace(quoted, F.concat(F.lit("(?i)"), head, F.lit(_VALUE)), F.lit(f"$1{MASK}"))
+        return F.when(names != "", plain).otherwise(masked)
+
+    return _once(secret, mask)
+
+
+def _cut(masked: Column, longest: int) -> Column:
+    return _once(masked, lambda m: F.when(F.length(m) > longest, F.concat(F.substring(m, 1, longest), F.lit("…"))).otherwise(m))
 
 
 def redact_map(values: Column) -> Column:

@@ -11,7 +11,7 @@ from skein.functions import redaction
 from skein.functions import urls as U
 from skein.operators import matching as M
 from skein.operators import reports
-from skein.sources.tables import table
+from skein.sources.tables import spread, table
 
 
 def first_hits(spark, folder):
@@ -45,7 +45,7 @@ UNION ALL SELECT nation, 1 + 2 * i, 'items[' || i || '].id', 3, CAST(s_suppkey A
 
 def redacted(spark, folder):
     text = F.concat(F.lit("GET https://u"), "c_custkey", F.lit(":pw@shop.example/a?token=t"), "c_custkey", F.lit("&page=2 by "), "c_name")
-    rows = table(spark, folder, "customer").select("c_custkey", text.alias("text"))
+    rows = spread(table(spark, folder, "customer"), "c_custkey").select("c_custkey", text.alias("text"))
     return rows.select("c_custkey", redaction.redact_text(F.col("text")).alias("text"))
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions.redaction import redact_text
+from skein.plans.catalogue import queries
 
 LINES = [
     ("authorization: bearer abc12", "authorization: bearer ***"),
@@ -35,3 +36,15 @@ def redacted(spark):
 @pytest.mark.parametrize("n", range(len(LINES)))
 def test_lines(redacted, n):
     assert redacted[n] == LINES[n][1]
+
+
+def test_a_small_file_of_customers_is_read_by_many_tasks(spark, sf_dir):
+    found = queries()["redacted"](spark, sf_dir)
+    parts = {r.part for r in found.select("c_custkey", F.spark_partition_id().alias("part")).collect()}
+    assert len(parts) >= spark.sparkContext.defaultParallelism
+
+
+def test_a_value_is_worked_out_once(spark):
+    """The rules stand once in the plan, however often their result is read."""
+    plan = spark.range(1).select(redact_text(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("params:") <= 2

@@ -19,7 +19,7 @@ from skein.operators import extract as E
 from skein.operators import queue as Q
 from skein.operators import relational as R
 from skein.operators import reports
-from skein.sources.tables import table
+from skein.sources.tables import spread, table
 
 NOW = "2024-01-20 00:00:00"
 
@@ -192,6 +192,7 @@ SAME_PAGES = "SELECT p_partkey, p_partkey % 3 = 1 OR p_partkey % 2 = 0 AS same F
 def _order_leaves(spark, folder):
     """Lines as variants of orders: leaves of a linked-data group."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("price"), "l_returnflag")
+    lines = spread(lines, "l_orderkey")
     stem = F.concat(F.lit("hasVariant["), "l_linenumber", F.lit("]."))
     leaf = lambda name, value: F.struct(F.concat(stem, F.lit(name)).alias("path"), value.cast("string").alias("value"))
     return lines.select("l_orderkey", F.explode(F.array(leaf("sku", F.col("l_partkey")), leaf("offers.price", F.col("price")), leaf("color", F.col("l_returnflag")))).alias("l")).select("l_orderkey", "l.*")

@@ -11,14 +11,14 @@ from skein.operators import queue as Q
 from skein.operators import ranking as R
 from skein.operators import reports
 from skein.functions.json_leaves import by_path, stable_json
-from skein.sources.tables import table
+from skein.sources.tables import spread, table
 
 NOW = "2024-01-20 00:00:00"
 
 
 def _paths(spark, folder):
     """Supplier-part pairs as stored paths: parts are fields, suppliers paths."""
-    lines = table(spark, folder, "lineitem")
+    lines = spread(table(spark, folder, "lineitem").select("l_partkey", "l_suppkey", "l_discount"), "l_partkey")
     grouped = lines.groupBy("l_partkey", "l_suppkey").agg(F.count_if(F.col("l_discount") > 0.04).alias("hits"), F.count_if(F.col("l_discount") <= 0.04).alias("misses"))
     names = F.array(*[F.lit(s) for s in ("api", "json-ld", "meta", "xpath", "human")])
     source = F.element_at(names, (F.col("l_suppkey") % 5 + 1).cast("int"))

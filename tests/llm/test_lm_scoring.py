@@ -78,6 +78,43 @@ def test_first_bytes_form_a_distribution():
     assert (10 ** mixer.log10(L.chunked_units(every))).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_first_bytes_take_no_sample(spark, monkeypatch):
+    """Nothing of a first byte is fitted on a bounded part of the tokens."""
+
+    def none(*_):
+        raise AssertionError("a sample is fitted on")
+
+    monkeypatch.setattr(L, "train_borders", none)
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 7} gamma") for i in range(60)], "doc_id long, text string")
+    assert all(r.score < 0 for r in L.score_documents(docs).collect())
+
+
+def test_first_bytes_of_all_counts_against_the_learnt_weights(monkeypatch):
+    """Chances form a distribution, and tokens that are not counted are foreseen about as well as by weights learnt on a sample."""
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
+    apart, units = np.array([held(i) for i in docs["doc_id"].to_pylist()]), []
+    count = L.Block._count_borders
+
+    def noted(self, tokens, starts, learning):
+        count(self, tokens, starts, learning)
+        previous = L.before(tokens, starts)
+        units.append(L._pack_unit(self.whole[previous], self.whole[L.before(previous, starts)], self.tail[previous], self.first[tokens])[~learning])
+
+    monkeypatch.setattr(L.Block, "_count_borders", noted)
+    block, texts = L.Block(), docs["text"].combine_chunks().cast(pa.binary()).fill_null(b"")
+    for low, part in L.slices(texts):
+        block.add(part, apart[low : low + len(part)])
+    leaves, unseen = block.leaves.astype(float), np.concatenate(units)[:20_000]
+    said, learnt = L.first_bytes(leaves), L.train_borders(leaves, L.split_sample(block.sample())[0])
+    every = np.concatenate([L._pack_unit(*[np.array([v]) for v in (5, 9, 400, b)]) for b in range(256)])
+    assert (10 ** said.log10(L.chunked_units(every))).sum() == pytest.approx(1, abs=1e-5)
+    own, other = (m.log10(L.chunked_units(unseen)).mean() for m in (said, learnt))
+    print(own, other)
+    assert own > other - 0.05
+
+
 def test_node_counts_against_a_dictionary():
     leaves = np.zeros((3 << L.BORDER_BITS, 256))
     # the last of the three contexts, the previous word, also gives the counts without a context

@@ -72,11 +72,11 @@ def certify_links(counted: DataFrame, nodes: DataFrame, by: Sequence[str], noun:
     href = F.when(F.col("tag") == "a", F.col("attrs")["href"])
     kept = nodes.where(href.isNotNull() | F.map_contains_key("attrs", "id") | F.map_contains_key("attrs", "class") | F.map_contains_key("attrs", "aria-label"))
     kept = materialise(kept.select(*key, "xpath", U.http_url(href, page).alias("href"), _names(F.col("attrs")).alias("names")), "named")
-    anchors = kept.where(likely_variant(page, F.col("href"))).select(*key, "xpath", "href")
+    anchors = materialise(kept.where(likely_variant(page, F.col("href"))).select(*key, "xpath", "href"), "anchors")
     given = counted.select(*key, F.explode("links").alias("link")).select(*key, F.coalesce(U.http_url(F.col("link")), F.trim("link")).alias("href"))
-    confirmed = given.where(likely_variant(page, F.col("href"))).distinct()
+    confirmed = materialise(given.where(likely_variant(page, F.col("href"))).distinct(), "confirmed")
     wanted = confirmed.groupBy(*key).agg(F.count("*").alias("wanted"))
-    pages = counted.select(*key, "n", "count", "captured").join(wanted, key, "left").withColumn("wanted", F.coalesce("wanted", F.lit(0)))
+    pages = materialise(counted.select(*key, "n", "count", "captured").join(wanted, key, "left").withColumn("wanted", F.coalesce("wanted", F.lit(0))), "confirmed-pages")
 
     # the lowest element around all confirmed links: what the first and the last of their paths share
     steps = F.split("xpath", "/")

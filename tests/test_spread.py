@@ -13,3 +13,19 @@ def test_parts_grow_with_the_rows(spark, sf_dir, monkeypatch, name):
     found = catalogue.queries()[name](spark, sf_dir)
     parts = found.select(F.spark_partition_id().alias("part")).distinct().count()
     assert parts > 4 * spark.sparkContext.defaultParallelism
+
+
+def test_proof_pages_are_read_by_all_tasks(spark, sf_dir, monkeypatch):
+    """Pages made of small tables come in one part, but each of them costs a reader much."""
+    from skein.plans import proofs
+
+    parts, nodes = [], proofs.H.nodes
+
+    def noted(pages, *columns):
+        parts.append(pages.rdd.getNumPartitions())
+        return nodes(pages, *columns)
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 20)
+    monkeypatch.setattr(proofs.H, "nodes", noted)
+    catalogue.queries()["link_messages"](spark, sf_dir)
+    assert parts[0] >= spark.sparkContext.defaultParallelism

@@ -227,14 +227,15 @@ def walk(rows: DataFrame, cap: int, share: float = 0.25, most_pages: int | None
     it), certifies (the way to the next page brought something and is not thin, so it may be kept for later runs). A
     page that stops an input hides the pages behind it, and their addresses stay free for later inputs. So the inputs'
     plans are read together again until no address changes hands; runs that still change after ``looks`` readings are
-    folded in order, so the number of readings has a bound whatever the number of inputs."""
+    folded in order, so the number of readings has a bound whatever the number of inputs. With no looks all runs are
+    folded in order, and read together once."""
     looked = rows.select("run", "input", "page", "pos", "url")
     if most_pages is not None:
         nth = F.dense_rank().over(W.partitionBy("run", "input").orderBy("page"))
         looked = looked.withColumn("nth", nth).where(F.col("nth") <= most_pages).drop("nth")
     first = F.row_number().over(W.partitionBy("run", "input", "url").orderBy("page", "pos"))
     own = materialise(looked.withColumn("own", F.col("url").isNotNull() & (first == 1)), "walk")
-    taken = None
+    taken = changed = None
     for _ in range(looks):
         planned, pages = _look(own, taken, cap)
         now = materialise(planned.groupBy("run", "url").agg(F.min("input").alias("owner")), "taken")

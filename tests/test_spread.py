@@ -29,3 +29,16 @@ def test_proof_pages_are_read_by_all_tasks(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(proofs.H, "nodes", noted)
     catalogue.queries()["link_messages"](spark, sf_dir)
     assert parts[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_planned_inputs_are_read_together_once(spark, sf_dir, monkeypatch):
+    """Each reading together moves all rows again; runs folded in order need one, and plan the same."""
+    from skein.operators import crawl
+
+    looks, look = [], crawl._look
+    monkeypatch.setattr(crawl, "_look", lambda *given: looks.append(1) or look(*given))
+    catalogue.queries()["planned_reports"](spark, sf_dir)
+    assert len(looks) == 1
+    rows = spark.range(400).selectExpr("id % 3 AS run", "id % 4 AS input", "id % 5 AS page", "id AS pos", "concat('u', pmod(xxhash64(id), 40)) AS url")
+    folded, read = (crawl.walk(rows, 6, looks=n)[0].select("run", "input", "url", "page", "place").collect() for n in (0, 4))
+    assert sorted(folded) == sorted(read)

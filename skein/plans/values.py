@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from skein.functions import dates as D
@@ -186,42 +188,65 @@ SELECT p_partkey, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS slug FR
 
 
 #: Words up to this length meet the tokens in them by their substrings; the few longer ones are searched.
-LONGEST = 40
-
-
-def _words_showing(vocabulary, tokens):
-    """(word, token) for each word of ``vocabulary`` that has a token as a substring. Only substrings as long as some
-    token are made: their lengths, few and read from the tokens, travel with every word."""
-    from skein.operators.relational import small
-
-    length = F.length("word")
-    lengths = F.broadcast(tokens.agg(F.array_sort(F.collect_set(F.length("token"))).alias("lengths")))
-    starts = lambda n: F.transform(F.sequence(F.lit(1), length - n + 1), lambda at: F.substring(F.col("word"), at, n))
-    parts = F.flatten(F.transform(F.filter("lengths", lambda n: n <= length), starts))
-    short = vocabulary.where(length <= LONGEST).join(lengths).select("word", F.explode(F.array_distinct(parts)).alias("token"))
-    long = vocabulary.where(length > LONGEST).join(small(tokens), F.contains("word", "token"))
-    return short.join(small(tokens), "token").select("word", "token").unionByName(long.select("word", "token"))
+LONGEST = 300
+#: Tokens are told apart by so many characters first (none is shorter: ``long_words``).
+HEAD = 3
+#: A task keeps what it found in so many words; then it begins anew.
+KEPT_WORDS = 1 << 18
+
+
+def _shares(passages):
+    """Batches of texts (doc_id, seen) to (doc_id, item_id, share). ``passages`` are rows of item_id and tokens, which hold no
+    spaces: a text shows a token if one of its words does, so that a word is looked through once for all texts of a task that have it."""
+    ids = {t: n for n, t in enumerate(sorted({t for p in passages for t in p.tokens}))}
+    heads = {}
+    for t in sorted(ids, key=len):
+        heads.setdefault(t[:HEAD], {})[len(t)] = True
+    owners = [[] for _ in ids]
+    for n, p in enumerate(passages):
+        for t in p.tokens:
+            owners[ids[t]].append(n)
+    owners = [np.array(o) for o in owners]
+    items, sizes = pa.array([p.item_id for p in passages], pa.int64()), np.array([len(p.tokens) for p in passages])
+
+    def tokens_in(word):
+        if len(word) > LONGEST:
+            return tuple(n for t, n in ids.items() if t in word)
+        return tuple(ids[part] for at in range(len(word)) for n in heads.get(word[at : at + HEAD], ()) if (part := word[at : at + n]) in ids)
+
+    def run(batches):
+        known = {}
+        for batch in batches:
+            docs, places, shares = [], [], []
+            for doc, seen in zip(batch.column("doc_id").to_pylist(), batch.column("seen").to_pylist()):
+                shown = set()
+                for word in set((seen or "").split(" ")):
+                    found = known.get(word)
+                    if found is None:
+                        found = tokens_in(word)
+                        if len(word) <= LONGEST:
+                            known[word] = found
+                    shown.update(found)
+                if len(known) > KEPT_WORDS:
+                    known.clear()
+                if shown:
+                    share = np.bincount(np.concatenate([owners[n] for n in shown]), minlength=len(sizes)) / sizes
+                    good = np.flatnonzero(share >= 0.6)
+                    docs.append(np.full(len(good), doc))
+                    places.append(good)
+                    shares.append(share[good])
+            if docs:
+                yield pa.record_batch([pa.array(np.concatenate(docs), pa.int64()), items.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(shares))], ["doc_id", "item_id", "share"])
+
+    return run
 
 
 def corroboration(spark, folder):
-    """Documents whose text shows at least 0.6 of a benchmark passage's words. To show that share of k words a text must
-    hold one of any k - ceil(0.6 k) + 1 of them; documents that hold one of the longest are looked at in full. Words meet
-    passages in narrow rows, and texts come back for the pairs that met."""
-    from pyspark.sql import Window as W
-
-    from skein.operators.relational import small
-
-    docs = table(spark, folder, "documents").select("doc_id", T.prepared(F.col("text")).alias("seen"))
-    passages = table(spark, folder, "benchmark").select("item_id", T.long_words(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
-    times = passages.select("item_id", F.size("tokens").alias("k"), F.explode("tokens").alias("token")).groupBy("item_id", "k", "token").agg(F.count("*").alias("times"))
-    before = F.sum("times").over(W.partitionBy("item_id").orderBy(F.length("token").desc(), "token")) - F.col("times")
-    # any choice of so many words is exact; the longest stand in the fewest texts. ceil(0.6 k) in whole numbers
-    telling = times.withColumn("before", before).where(F.col("before") < F.col("k") - F.floor((3 * F.col("k") + 4) / 5) + 1).select("item_id", "token")
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.split("seen", " "))).alias("word"))
-    shown = _words_showing(held.select("word").distinct(), telling.select("token").distinct())
-    met = held.join(shown.join(telling, "token").select("word", "item_id").distinct(), "word").groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
-    pairs = docs.join(met, "doc_id").select("doc_id", "seen", F.explode("items").alias("item_id")).join(small(passages), "item_id")
-    return pairs.select("doc_id", "item_id", T.share_of(F.col("tokens"), F.col("seen")).alias("share")).where("share >= 0.6")
+    """Documents whose text shows at least 0.6 of a benchmark passage's words. The passages' words go to every task, and each
+    text is read once, where it lies, for all of them."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long"), T.prepared(F.col("text")).alias("seen"))
+    passages = table(spark, folder, "benchmark").select(F.col("item_id").cast("long"), T.long_words(F.col("text")).alias("tokens")).where(F.size("tokens") > 0).collect()
+    return docs.mapInArrow(_shares(passages), "doc_id long, item_id long, share double")
 
 
 CORROBORATION = """

@@ -88,3 +88,18 @@ def test_corroboration_takes_the_whole_passage(spark, sf_dir, tmp_path):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     want = sorted(brute(docs, items))
     assert want and found(sf_dir) == want
+
+
+def test_corroboration_reads_each_text_once_where_it_lies(spark, tmp_path, monkeypatch):
+    """No exchange of texts, words or pairs; words longer than ``LONGEST`` and what is forgotten in between change nothing."""
+    from skein.plans import values
+
+    monkeypatch.setattr(values, "KEPT_WORDS", 3)
+    passages = [(1, "abc abcd abc bcdefg zzz"), (2, "abcd éa xyz x")]
+    texts = ["q" * 400 + "abcdefg", "xyz abc", "abcdé bcdefg " * 3, "abc zzz zbcdz", "ab cd", None]
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = values.corroboration(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [(0, 1, 0.8), (2, 1, 0.8), (3, 1, 0.6)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

@@ -116,3 +116,12 @@ def test_fixed_twins(spark):
     pairs = [("offers[page].price", "offers[0].price", True), ("a[page].b[1]", "a[7].b[1]", True), ("a[page].b[1]", "a[7].b[2]", False), ("a.b", "a.b", False), ("a[page]", "a[x]", False), ("a.c[page]", "abc[1]", False)]
     frame = spark.createDataFrame(pairs, "p string, q string, want boolean")
     assert frame.where(is_fixed_twin(F.col("p"), F.col("q")) != F.col("want")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["certified_fields", "certified_cells"])
+def test_orders_are_numbered_once(spark, sf_dir, name):
+    """What the queries join last comes from stored proof pages, not from the orders again."""
+    from skein.plans import certification
+
+    files = certification.QUERIES[name][0](spark, sf_dir).inputFiles()
+    assert files and not [f for f in files if f.endswith("/orders.parquet")]

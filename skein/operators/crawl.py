@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -230,70 +230,78 @@ def walk(rows: DataFrame, cap: int, share: float = 0.25, most_pages: int | None
     folded in order, so the number of readings has a bound whatever the number of inputs. With no looks all runs are
     folded in order, and read together once."""
     looked = rows.select("run", "input", "page", "pos", "url")
+    if not looks:
+        looked = looked.repartition("run")
     if most_pages is not None:
         nth = F.dense_rank().over(W.partitionBy("run", "input").orderBy("page"))
         looked = looked.withColumn("nth", nth).where(F.col("nth") <= most_pages).drop("nth")
     first = F.row_number().over(W.partitionBy("run", "input", "url").orderBy("page", "pos"))
-    own = materialise(looked.withColumn("own", F.col("url").isNotNull() & (first == 1)), "walk")
-    taken = changed = None
-    for _ in range(looks):
-        planned, pages = _look(own, taken, cap)
-        now = materialise(planned.groupBy("run", "url").agg(F.min("input").alias("owner")), "taken")
-        changed = None
-        if taken is not None:
-            moved = now.join(taken.withColumnRenamed("owner", "was"), ["run", "url"], "full").where(~F.col("owner").eqNullSafe(F.col("was")))
-            changed = materialise(moved.select("run").distinct(), "moved")
-        taken = now
-        if changed is not None and changed.isEmpty():
-            break
-    else:
-        restless = own if changed is None else own.join(changed, "run", "left_semi")
-        folded = _owners_in_order(restless, cap)
-        taken = materialise(folded if changed is None else taken.join(changed, "run", "left_anti").unionByName(folded), "taken")
-        planned, pages = _look(own, taken, cap)
-    items = planned.select("run", "input", "page", "pos", "url", "place")
-    stops = pages.groupBy("run", "input").agg(
-        F.min(F.when(F.col("stop").isNotNull(), F.struct("page", "stop"))).alias("s"), F.min("page").alias("page_one_at")
+    own = looked.withColumn("own", F.col("url").isNotNull() & (first == 1))
+    judged = _look(_in_order(own, cap), cap) if not looks else _looked_again(materialise(own, "walk"), cap, looks)
+    items = judged.where("planned").select("run", "input", "page", "pos", "url", "place")
+    told = judged.groupBy("run", "input").agg(
+        F.count_if("planned").alias("items"), F.count_if(F.col("planned") & (F.col("page") == F.col("one"))).alias("page_one"), F.min(F.when(F.col("stop").isNotNull(), F.struct("page", "stop"))).alias("s")
     )
-    gains = items.join(stops.select("run", "input", "page_one_at"), ["run", "input"]).groupBy("run", "input").agg(F.count("*").alias("items"), F.count_if(F.col("page") == F.col("page_one_at")).alias("page_one"))
-    count = lambda c: F.coalesce(c, F.lit(0))
-    told = stops.join(gains, ["run", "input"], "left").select("run", "input", count("items").alias("items"), count("page_one").alias("page_one"), F.col("s.stop").alias("stop"), F.col("s.page").alias("stop_page"))
+    told = told.select("run", "input", "items", "page_one", F.col("s.stop").alias("stop"), F.col("s.page").alias("stop_page"))
     gained = F.col("items") - F.col("page_one")
     room = ~F.col("stop").eqNullSafe(F.lit("budget"))
     thin = room & (F.col("page_one") > 0) & (gained < share * F.col("page_one"))
     return items, told.withColumns({"gained": gained, "thin": thin, "certifies": (gained > 0) & ~thin})
 
 
-def _owners_in_order(own: DataFrame, cap: int) -> DataFrame:
-    """(run, url, owner) by walking each run's inputs one after another. A run is one task; its rows arrive sorted, in
-    batches, and the fold keeps the addresses that the run has planned."""
-    schema = own.select("run", "url", F.col("input").alias("owner")).schema
-    in_order = own.repartition("run").sortWithinPartitions("run", "input", "page", "pos", "url")
-
-    def folds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run = listing = page = None
+def _looked_again(own: DataFrame, cap: int, looks: int) -> DataFrame:
+    """All inputs judged, read together until no address changes hands, then runs that still change folded in order. Runs and
+    addresses meet by shuffles: their stored form is much smaller than their rows, so that sizes of files tell too little."""
+    taken = changed = None
+    for _ in range(looks):
+        judged = _look(_given(own, taken), cap)
+        now = materialise(judged.where("planned").groupBy("run", "url").agg(F.min("input").alias("owner")), "taken")
+        changed = None
+        if taken is not None:
+            moved = now.join(taken.withColumnRenamed("owner", "was").hint("merge"), ["run", "url"], "full").where(~F.col("owner").eqNullSafe(F.col("was")))
+            changed = materialise(moved.select("run").distinct(), "moved")
+        taken = now
+        if changed is not None and changed.isEmpty():
+            return judged
+    restless, quiet = own, None
+    if changed is not None:
+        restless, quiet = own.join(changed.hint("merge"), "run", "left_semi"), own.join(changed.hint("merge"), "run", "left_anti")
+    marked = _in_order(restless.repartition("run"), cap)
+    return _look(marked if quiet is None else marked.unionByName(_given(quiet, taken)), cap)
+
+
+def _in_order(own: DataFrame, cap: int) -> DataFrame:
+    """(run, input, page, pos, url, fresh) by walking each run's inputs one after another: fresh addresses are those that no
+    input before has planned. ``own`` is laid out by run, which is one task; its rows arrive sorted, in batches, and the fold
+    keeps the addresses that the run has planned."""
+    columns = ["run", "input", "page", "pos", "url"]
+    schema = own.select(*columns, F.col("own").alias("fresh")).schema
+
+    def folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = listing = page = object()
         planned: set = set()
         count = new = 0
         ended = False
         for rows in batches:
             found = []
-            for r, i, p, url, mine in zip(rows["run"], rows["input"], rows["page"], rows["url"], rows["own"]):
-                if run is None or r != run:
-                    planned, run, listing = set(), r, None
-                if listing is None or i != listing:
+            for r, i, p, url, mine in zip(*[rows.column(c).to_pylist() for c in ("run", "input", "page", "url", "own")]):
+                if r != run:
+                    planned, run, listing = set(), r, object()
+                if i != listing:
                     listing, page, count, new, ended = i, p, 0, 0, False
                 elif p != page:
                     ended = ended or new == 0 or count >= cap
                     page, new = p, 0
-                if ended or not mine or url in planned:
+                fresh = mine and url not in planned
+                found.append(fresh)
+                if ended or not fresh:
                     continue
                 count, new = count + 1, new + 1
                 if count <= cap:
                     planned.add(url)
-                    found.append((r, url, i))
-            yield pd.DataFrame(found, columns=["run", "url", "owner"])
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in columns], pa.array(found, pa.bool_())], [*columns, "fresh"])
 
-    return in_order.mapInPandas(folds, schema)
+    return own.sortWithinPartitions("run", "input", "page", "pos", "url").mapInArrow(folds, schema)
 
 
 # Pages and items of a plan without a budget, pages of one that asks for all, and items of any plan.
@@ -329,16 +337,23 @@ def plan_direct(inputs: DataFrame) -> DataFrame:
     return joined.select("run", "input", "url", status.alias("status"), items.alias("items"))
 
 
-def _look(own: DataFrame, taken: DataFrame | None, cap: int) -> tuple[DataFrame, DataFrame]:
-    """One look at all inputs, given which input holds each address: planned rows, and the pages with what stops there."""
-    held = own.withColumn("owner", F.lit(None)) if taken is None else own.join(taken, ["run", "url"], "left")
+def _given(own: DataFrame, taken: DataFrame | None) -> DataFrame:
+    """Rows with fresh, given which input holds each address."""
+    held = own.withColumn("owner", F.lit(None)) if taken is None else own.join(taken.hint("merge"), ["run", "url"], "left")
     fresh = F.col("own") & (F.col("owner").isNull() | (F.col("owner") >= F.col("input")))
-    marked = held.withColumn("fresh", fresh)
-    upto = W.partitionBy("run", "input").orderBy("page", "pos", "url").rowsBetween(W.unboundedPreceding, 0)
+    return held.select("run", "input", "page", "pos", "url", fresh.alias("fresh"))
+
+
+def _look(marked: DataFrame, cap: int) -> DataFrame:
+    """One look at all inputs, given which of their rows are fresh: adds place, stop (what stops the input on the row's page),
+    one (the input's first page) and planned. All windows lie in the tasks of their inputs."""
+    own = W.partitionBy("run", "input")
+    upto = own.orderBy("page", "pos", "url").rowsBetween(W.unboundedPreceding, 0)
     placed = marked.withColumn("place", F.sum(F.col("fresh").cast("long")).over(upto))
-    pages = placed.groupBy("run", "input", "page").agg(F.count_if("fresh").alias("new"), F.max("place").alias("sum"), F.max(F.col("url").isNotNull()).alias("any"))
-    stop = F.when((F.col("new") > 0) & (F.col("sum") >= cap), "budget").when((F.col("new") == 0) & F.col("any"), "all-duplicates").when(F.col("new") == 0, "empty-page")
-    judged = pages.withColumn("stop", stop)
-    ends = judged.groupBy("run", "input").agg(F.min(F.when(F.col("stop").isNotNull(), F.col("page"))).alias("end"))
-    planned = placed.join(ends, ["run", "input"]).where(F.col("fresh") & (F.col("place") <= cap) & (F.col("end").isNull() | (F.col("page") <= F.col("end"))))
-    return planned, judged
+    on = W.partitionBy("run", "input", "page")
+    new, sum_, any_ = F.count_if("fresh").over(on), F.max("place").over(on), F.max(F.col("url").isNotNull()).over(on)
+    stop = F.when((F.col("_new") > 0) & (F.col("_sum") >= cap), "budget").when((F.col("_new") == 0) & F.col("_any"), "all-duplicates").when(F.col("_new") == 0, "empty-page")
+    judged = placed.withColumns({"_new": new, "_sum": sum_, "_any": any_}).withColumn("stop", stop).drop("_new", "_sum", "_any")
+    ended = judged.withColumns({"_end": F.min(F.when(F.col("stop").isNotNull(), F.col("page"))).over(own), "one": F.min("page").over(own)})
+    planned = F.col("fresh") & (F.col("place") <= cap) & (F.col("_end").isNull() | (F.col("page") <= F.col("_end")))
+    return ended.withColumn("planned", planned).drop("_end")

@@ -42,3 +42,25 @@ def test_planned_inputs_are_read_together_once(spark, sf_dir, monkeypatch):
     rows = spark.range(400).selectExpr("id % 3 AS run", "id % 4 AS input", "id % 5 AS page", "id AS pos", "concat('u', pmod(xxhash64(id), 40)) AS url")
     folded, read = (crawl.walk(rows, 6, looks=n)[0].select("run", "input", "url", "page", "place").collect() for n in (0, 4))
     assert sorted(folded) == sorted(read)
+
+
+@pytest.mark.parametrize("name", ["planned_addresses", "planned_reports"])
+def test_plans_broadcast_nothing(spark, sf_dir, name):
+    """Parts and held addresses are small files of many long rows, which the driver would hold whole."""
+    plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_runs_and_their_held_addresses_meet_without_broadcasts(spark, monkeypatch):
+    from skein.operators import crawl
+
+    plans, look = [], crawl._look
+
+    def noted(*given):
+        found = look(*given)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(crawl, "_look", noted)
+    rows = spark.range(400).selectExpr("id % 3 AS run", "id % 4 AS input", "id % 5 AS page", "id AS pos", "concat('u', pmod(xxhash64(id), 40)) AS url")
+    assert crawl.walk(rows, 6, looks=2)[0].count() and len(plans) == 3 and not any("Broadcast" in p for p in plans)

@@ -125,3 +125,12 @@ def test_orders_are_numbered_once(spark, sf_dir, name):
 
     files = certification.QUERIES[name][0](spark, sf_dir).inputFiles()
     assert files and not [f for f in files if f.endswith("/orders.parquet")]
+
+
+def test_a_cover_of_more_pages_than_a_long_has_bits(spark):
+    """The page that only the second path reads is the 66th."""
+    values = [f"v{n}" for n in range(70)]
+    pages = {str(n): v for n, v in enumerate(values)}
+    first = [None if n == 65 else v for n, v in enumerate(values)]
+    certified, cells, verdicts, _ = run(spark, {"many": ("text", "x", None, pages, {"api:p": first, "api:q": [None] * 65 + values[65:67] + [None] * 3})})
+    assert certified == {"many": ["api:p", "api:q"]} and verdicts["many"].state == "cover" and set(cells["many"].values()) == {"pass"}

@@ -50,3 +50,21 @@ def test_node_reader_hands_on_large_pages_in_parts(spark, monkeypatch):
     assert text(whole) == text(sorted([first, *reader], key=lambda e: e["pos"]))
     frame = spark.createDataFrame([(1, page), (2, None), (3, "<p>q")], "id int, html string")
     assert {r.id: r.n for r in html.nodes(frame, "id", "html").groupBy("id").count().toDF("id", "n").collect()} == {1: len(whole), 3: 1}
+
+
+def _orders(spark, per_customer):
+    """Customers with so many orders each; a customer's last one has another status than the ones before."""
+    made = [(c * 1000 + k + 1, c, "O" if k + 1 == n else "F", f"{k % 5}-P") for c, n in enumerate(per_customer) for k in range(n)]
+    return spark.createDataFrame(made, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+
+
+def test_certified_fields_reads_all_orders(spark, tmp_path):
+    orders = {"orders": _orders(spark, [1, 6, 7, 70, 130])}
+    _agrees(spark, tmp_path, "certified_fields", orders)
+    weak = catalogue.queries()["certified_fields"](spark, str(tmp_path)).where("field = 'status'").collect()
+    # of seven orders or more the first six have one status, all of them have two
+    assert {r.custkey: r.weak_evidence for r in weak} == {0: False, 1: False, 2: False, 3: False, 4: False}
+
+
+def test_certified_cells_still_reads_six_orders(spark, tmp_path):
+    _agrees(spark, tmp_path, "certified_cells", {"orders": _orders(spark, [1, 6, 7, 70])})

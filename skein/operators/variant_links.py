@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import urls as U
+from skein.functions.html import NODES
 
 from .storage import materialise
 
@@ -28,13 +30,25 @@ def likely_variant(page: Column, link: Column) -> Column:
     """A link to a variant stays on the page's host and, where the page lies in a section, in that section: the first
     segment of the path, or the first two if the first is a language and the page lies deeper. Addresses without a host
     never qualify."""
-    segments = lambda url: F.filter(F.split(F.lower(U.path(url)), "/"), lambda s: s != "")
-    own, other = segments(page), segments(link)
+    return _in_section(_section(page), link)
+
+
+def _segments(url: Column) -> Column:
+    return F.filter(F.split(F.lower(U.path(url)), "/"), lambda s: s != "")
+
+
+def _section(page: Column) -> Column:
+    """Where links to a page's variants stay: struct<authority, path>, the segments of the section."""
+    own = _segments(page)
     first = F.try_element_at(own, F.lit(1))
     spoken = first.rlike("^[a-z]{2}([-_][a-z]{2,4})?$") & F.left(first, F.lit(2)).isin(LANGUAGES.split())
     section = F.when(F.size(own) < 2, 0).when((F.size(own) >= 3) & spoken, 2).otherwise(1)
-    authority = lambda url: F.lower(U.part(url, "AUTHORITY"))
-    return F.coalesce((authority(page) == authority(link)) & (F.slice(own, F.lit(1), section) == F.slice(other, F.lit(1), section)), F.lit(False))
+    return F.struct(F.lower(U.part(page, "AUTHORITY")).alias("authority"), F.slice(own, F.lit(1), section).alias("path"))
+
+
+def _in_section(section: Column, link: Column) -> Column:
+    same_path = (F.size(section["path"]) == 0) | (F.slice(_segments(link), F.lit(1), F.greatest(F.size(section["path"]), F.lit(1))) == section["path"])
+    return F.coalesce((section["authority"] == F.lower(U.part(link, "AUTHORITY"))) & same_path, F.lit(False))
 
 
 def _above(xpath: Column, most: int | None = None) -> Column:
@@ -67,45 +81,33 @@ def certify_links(counted: DataFrame, nodes: DataFrame, by: Sequence[str], noun:
     Returns (by, collector, fits) and per page (by, url, status, message, found): ok, none, not_captured, failed.
     Null links are none, repeated ones one; pages without any node are read as empty."""
     key = [*by, "url"]
-    page = F.col("url")
-    # links and elements with a name are kept once: every later step reads these few columns, not the pages
-    href = F.when(F.col("tag") == "a", F.col("attrs")["href"])
-    kept = nodes.where(href.isNotNull() | F.map_contains_key("attrs", "id") | F.map_contains_key("attrs", "class") | F.map_contains_key("attrs", "aria-label"))
-    kept = materialise(kept.select(*key, "xpath", U.http_url(href, page).alias("href"), _names(F.col("attrs")).alias("names")), "named")
-    anchors = materialise(kept.where(likely_variant(page, F.col("href"))).select(*key, "xpath", "href"), "anchors")
-    given = counted.select(*key, F.explode("links").alias("link")).select(*key, F.coalesce(U.http_url(F.col("link")), F.trim("link")).alias("href"))
-    confirmed = materialise(given.where(likely_variant(page, F.col("href"))).distinct(), "confirmed")
-    wanted = confirmed.groupBy(*key).agg(F.count("*").alias("wanted"))
-    pages = materialise(counted.select(*key, "n", "count", "captured").join(wanted, key, "left").withColumn("wanted", F.coalesce("wanted", F.lit(0))), "confirmed-pages")
-
-    # the lowest element around all confirmed links: what the first and the last of their paths share
-    steps = F.split("xpath", "/")
-    ends = anchors.join(confirmed, [*key, "href"]).groupBy(*key).agg(F.min(steps).alias("low"), F.max(steps).alias("high"))
-    differ = F.array_min(F.filter(F.sequence(F.lit(1), F.size("low")), lambda i: ~F.try_element_at("low", i).eqNullSafe(F.try_element_at("high", i))))
-    around = ends.select(*key, F.array_join(F.slice("low", F.lit(1), F.coalesce(differ - 1, F.size("low"))), "/").alias("at"))
-    around = around.join(pages.where("captured AND count > 0").select(*key, "n"), key)
-    levels = around.select(*key, "n", F.posexplode(F.concat(F.array("at"), _above(F.col("at"), LEVELS - 1))).alias("level", "xpath"))
-    named = kept.where(F.size("names") > 0).select(*key, "xpath", "names")
-    on_page = levels.join(named, [*key, "xpath"]).select(*key, "n", "level", F.posexplode("names").alias("nth", "collector"))
-    once = on_page.groupBy(*key, "collector").agg(F.min(F.struct("n", "level", "nth")).alias("o"))
-    few = once.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy("o"))).where(F.col("rank") <= NAMES_A_PAGE)
-    candidates = materialise(few.groupBy(*by, "collector").agg(F.min("o").alias("o")), "collectors")
-
-    # what each name reads: links below an element that bears it
-    bearers = named.select(*key, F.col("xpath").alias("above"), F.explode("names").alias("collector")).join(candidates.select(*by, "collector"), [*by, "collector"])
-    below = anchors.select(*key, "href", F.explode(_above(F.col("xpath"))).alias("above"))
-    read = below.join(bearers, [*key, "above"]).select(*key, "collector", "href").distinct()
-    hits = read.join(confirmed.withColumn("confirmed", F.lit(True)), [*key, "href"], "left")
-    counts = materialise(hits.groupBy(*key, "collector").agg(F.count("*").alias("found"), F.count("confirmed").alias("matched")), "read")
-    tried = candidates.join(pages.where("captured"), list(by)).join(counts, [*key, "collector"], "left").withColumns({"found": F.coalesce("found", F.lit(0)), "matched": F.coalesce("matched", F.lit(0))})
-    tried = tried.withColumn("fits", _fits())
-    scored = tried.groupBy(*by, "collector").agg(F.count_if("fits").alias("fits"), F.min("o").alias("o"))
+    named = nodes.where((F.col("tag") == "a") | F.map_contains_key("attrs", "id") | F.map_contains_key("attrs", "class") | F.map_contains_key("attrs", "aria-label"))
+    read = named.groupBy(*key).agg(F.collect_list(F.struct("tag", "xpath", "attrs", U.absolute(F.trim(F.col("attrs")["href"]), F.col("url")).alias("address"))).alias("nodes"))
+    return certify_pages(counted.join(read.hint("merge"), key, "left"), by, noun)
+
+
+def certify_pages(pages: DataFrame, by: Sequence[str], noun: str = "variants") -> tuple[DataFrame, DataFrame]:
+    """``certify_links`` over the rows of ``counted``, each with the ``nodes`` of its page as an array of (tag, xpath,
+    attrs, address), or null.
+
+    What a page says is told in its row and stored, counts for the most part: no element and no link moves. Rows then meet
+    at what they are certified ``by``, by shuffles, as stored rows are much smaller than those that a broadcast would hold."""
+    told = materialise(_page_links(pages, by), "page-links")
+    few = told.where("captured").repartition(*by).select(*by, F.inline("candidates"))
+    candidates = few.groupBy(*by, "collector").agg(F.min(F.struct("n", "level", "nth")).alias("o"))
+    sites = candidates.groupBy(*by).agg(F.collect_list(F.struct("collector", "o")).alias("_names"))
+    met = told.drop("candidates").repartition(*by).join(sites.hint("merge"), list(by), "left")
+    # what a name reads on a page: nothing where the page has no link below it
+    pages = met.select(*by, "url", "n", "count", "captured", "wanted", "reads", "_names")
+    tried = pages.where("captured").select(*by, "n", "count", "wanted", "reads", F.inline("_names"))
+    tried = tried.select(*by, "collector", "o", "count", "wanted", _of("reads", F.col("collector")).alias("r")).withColumns({"found": F.coalesce("r.found", F.lit(0)), "matched": F.coalesce("r.matched", F.lit(0))})
+    scored = tried.withColumn("fits", _fits()).groupBy(*by, "collector").agg(F.count_if("fits").alias("fits"), F.min("o").alias("o"))
     best = F.max_by(F.struct("collector", "fits"), F.struct("fits", -F.col("o.n"), -F.col("o.level"), -F.col("o.nth")))
     chosen = scored.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
 
-    some = pages.groupBy(*by).agg(F.max(F.col("count") > 0).alias("some"))
-    told = pages.join(some, list(by)).join(chosen.drop("fits"), list(by), "left").join(counts, [*key, "collector"], "left")
-    told = told.withColumns({"found": F.coalesce("found", F.lit(0)), "matched": F.coalesce("matched", F.lit(0))})
+    some = pages.withColumn("some", F.max(F.col("count") > 0).over(W.partitionBy(*by)))
+    told = some.join(chosen.drop("fits").hint("merge"), list(by), "left").withColumn("r", _of("reads", F.col("collector")))
+    told = told.withColumns({"found": F.coalesce("r.found", F.lit(0)), "matched": F.coalesce("r.matched", F.lit(0))})
     said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     message = (
         F.when(_fits(), F.lit(None).cast("string"))
@@ -116,7 +118,49 @@ def certify_links(counted: DataFrame, nodes: DataFrame, by: Sequence[str], noun:
     )
     checked = F.col("captured") & F.col("some")
     status = F.when(~F.col("captured"), "not_captured").when(~F.col("some"), "none").when(message.isNotNull(), "failed").when(F.col("count") == 0, "none").otherwise("ok")
-    return chosen, told.select(*key, status.alias("status"), F.when(checked, message).alias("message"), F.when(checked, F.col("found")).alias("found"))
+    return chosen, told.select(*by, "url", status.alias("status"), F.when(checked, message).alias("message"), F.when(checked, F.col("found")).alias("found"))
+
+
+def _of(reads: str, collector: Column) -> Column:
+    """The entry of ``reads`` of a name, null without one."""
+    return F.get(F.filter(reads, lambda r: r["collector"] == collector), F.lit(0))
+
+
+def _page_links(pages: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per page: by, url, n, count, captured, wanted (confirmed links of its section), candidates (collector, n, level, nth: names
+    around its confirmed links, in order), reads (collector, found, matched: links that each name on the page reads, and
+    how many of them are confirmed)."""
+    none = F.array().cast(NODES)
+    given = pages.select(*by, "url", "n", "count", "captured", "links", F.coalesce("nodes", none).alias("nodes"), _section(F.col("url")).alias("section"))
+    linked = given.withColumn("linked", F.filter("nodes", lambda e: (e["tag"] == "a") & e["attrs"]["href"].isNotNull()))
+    addressed = linked.withColumn("hrefs", U.http_urls(F.transform("linked", lambda e: e["attrs"]["href"]), F.transform("linked", lambda e: e["address"])))
+    within = lambda href: _in_section(F.col("section"), href)
+    confirmed = F.array_distinct(F.filter(F.zip_with(U.http_urls(F.col("links")), "links", lambda x, own: F.coalesce(x, F.trim(own))), within))
+    bears = F.filter("nodes", lambda e: reduce(lambda x, y: x | y, [e["attrs"][c].isNotNull() for c in ("id", "class", "aria-label")]))
+    named = F.filter(F.transform(bears, lambda e: F.struct(e["xpath"].alias("xpath"), _names(e["attrs"]).alias("names"))), lambda e: F.size(e["names"]) > 0)
+    anchors = F.filter(F.zip_with("linked", "hrefs", lambda e, href: F.struct(e["xpath"].alias("xpath"), href.alias("href"))), lambda a: within(a["href"]))
+    read = addressed.select(*by, "url", "n", "count", "captured", F.coalesce(confirmed, F.array().cast("array<string>")).alias("confirmed"), named.alias("named"), anchors.alias("anchors"))
+
+    # the lowest element around all confirmed links: what the first and the last of their paths share
+    steps = F.transform(F.filter("anchors", lambda a: F.array_contains(F.col("confirmed"), a["href"])), lambda a: F.split(a["xpath"], "/"))
+    ends = read.withColumns({"low": F.array_min(steps), "high": F.array_max(steps)})
+    differ = F.array_min(F.filter(F.sequence(F.lit(1), F.size("low")), lambda i: ~F.try_element_at("low", i).eqNullSafe(F.try_element_at("high", i))))
+    at = F.array_join(F.slice("low", F.lit(1), F.coalesce(differ - 1, F.size("low"))), "/")
+    around = ends.withColumn("at", F.when(F.col("captured") & (F.col("count") > 0) & F.col("low").isNotNull(), at))
+    levels = around.withColumn("levels", F.when(F.col("at").isNotNull(), F.concat(F.array("at"), _above(F.col("at"), LEVELS - 1))))
+    of = lambda path: F.filter("named", lambda e: e["xpath"] == path)
+    name = lambda collector, level, nth: F.struct(collector.alias("collector"), F.col("n").alias("n"), level.alias("level"), nth.alias("nth"))
+    ordered = F.flatten(F.transform("levels", lambda path, level: F.flatten(F.transform(of(path), lambda e: F.transform(e["names"], lambda c, nth: name(c, level, nth))))))
+    listed = levels.withColumn("ordered", ordered).withColumn("names", F.transform("ordered", lambda o: o["collector"]))
+    first = F.filter("ordered", lambda o, i: F.array_position("names", o["collector"]) == i + 1)
+
+    # what each name reads: links below an element that bears it
+    bearing = F.transform("anchors", lambda a: F.struct(a["href"].alias("href"), F.flatten(F.transform(F.filter("named", lambda e: F.startswith(a["xpath"], F.concat(e["xpath"], F.lit("/")))), lambda e: e["names"])).alias("names")))
+    below = listed.select(*by, "url", "n", "count", "captured", "confirmed", F.slice(first, 1, NAMES_A_PAGE).alias("candidates"), bearing.alias("bearing"))
+    below = below.withColumn("names", F.array_distinct(F.flatten(F.transform("bearing", lambda b: b["names"]))))
+    hrefs = F.transform("names", lambda c: F.struct(c.alias("collector"), F.array_distinct(F.transform(F.filter("bearing", lambda b: F.array_contains(b["names"], c)), lambda b: b["href"])).alias("hrefs")))
+    counts = F.transform(hrefs, lambda h: F.struct(h["collector"].alias("collector"), F.size(h["hrefs"]).alias("found"), F.size(F.array_intersect(h["hrefs"], F.col("confirmed"))).alias("matched")))
+    return below.select(*by, "url", "n", "count", "captured", F.size("confirmed").alias("wanted"), "candidates", counts.alias("reads"))
 
 
 def _fits() -> Column:

@@ -77,3 +77,49 @@ def test_no_variants_no_names_and_empty_tables(spark):
     assert chosen == [] and told == {"1": ("failed", "found no variants on product 1"), "2": ("none", None)}
     chosen, told = _certify(spark, [], [])
     assert chosen == [] and told == {}
+
+
+def test_a_page_is_told_in_its_own_row(spark, sf_dir, monkeypatch):
+    """Neither elements nor links are stored or moved: one table with a row a page is all that stays."""
+    from skein.plans import proofs
+
+    stored = []
+    monkeypatch.setattr(V, "materialise", lambda df, name: stored.append((name, df.columns)) or df)
+    told = proofs.link_messages(spark, sf_dir)
+    assert stored == [("page-links", ["o_custkey", "url", "n", "count", "captured", "wanted", "candidates", "reads"])]
+    assert "Broadcast" not in told._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_read_together_are_the_node_table(spark):
+    """With the page's address: the same elements, those with attributes, a row a page."""
+    pages = ['<html lang="en"><body class="a b"><a href=" ../x?y#z ">l</a><A HREF=/p/1#t>m</A><p>n<img src="i" alt=\'"\'><td id="">', "", None, "<b>no attributes</b>", '<a name="x" href="/q/&amp;r"><div class="c"']
+    frame = spark.createDataFrame([(n, h, f"https://x.io/t/{n}") for n, h in enumerate(pages)], "id int, html string, url string")
+    told = {r.id: [(e.tag, e.xpath, e.attrs) for e in r.nodes] for r in H.nodes(frame, "id", "html", "url").collect()}
+    want = {n: [] for n in range(len(pages))}
+    for r in H.nodes(frame, "id", "html").orderBy("pos").collect():
+        want[r.id] += [(r.tag, r.xpath, r.attrs)] if r.attrs else []
+    assert {n: sorted(e, key=str) for n, e in told.items()} == {n: sorted(e, key=str) for n, e in want.items()}
+    joined = [a for r in H.nodes(frame, "id", "html", "url").collect() for a in [e.address for e in r.nodes if e.tag == "a"]]
+    assert sorted(joined) == ["https://x.io/p/1#t", "https://x.io/q/&r", "https://x.io/x?y#z"]
+
+
+def test_plain_tags_are_read_as_by_the_parser_itself(monkeypatch):
+    import itertools
+    from html.parser import HTMLParser
+
+    bits = ['<div class="a b">', '<a href="/x">', '<a href="/x&amp;y">', "<p id='x'>", "<td id=y>", '<main  id="m">', '<script src="s">', "</script>", '<li id="l"/>', "<B>", "</a>", "t&lt;", '<h1 a="<">', "<", '<p class="c"']
+    texts = ["".join(b) for b in itertools.product(bits, repeat=3)]
+    fast = [list(H._nodes_of(t)) for t in texts]
+    monkeypatch.setattr(H._Nodes, "parse_starttag", HTMLParser.parse_starttag)
+    monkeypatch.setattr(H._Nodes, "updatepos", HTMLParser.updatepos)
+    assert fast == [list(H._nodes_of(t)) for t in texts]
+
+
+def test_addresses_from_the_root_are_joined_as_by_the_library():
+    from urllib.parse import urljoin
+
+    from skein.functions.urls import joined_url
+
+    for base in ("https://x.io/a/b", "http://X.io:81/", "https://x.io", "HTTPS://x.io/a", "https://x.io/a?b", "", "x"):
+        for url in ("/", "/p/1#top", "/p/1#", "/a//b/", "//y.io/a", "/a/../b", "/a/.", "/a?", "/a?b", "/a;b", "/é", "/a b", "x", "#", "", "/%41", "/a:b", "/a\n"):
+            assert joined_url(url, base) == urljoin(base, url)
